@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,30 @@ class Workspace:
     def of(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def stage(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).parquet(self.of(name))
+    def stage(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows``: rows of an Arrow batch at most, where texts may be long."""
+        with arrow_batches(self.spark, batch_rows):
+            df.write.option("compression", "zstd").parquet(self.of(name))
         return self.spark.read.schema(df.schema).parquet(self.of(name))
 
     def drop(self, name: str) -> None:
         _remove(self.spark, self.of(name))
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None):
+    """Within it, Arrow batches hold so many rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

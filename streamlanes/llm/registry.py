@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .mixing import pareto_mix
+from .near_dup import near_duplicates
 
 QUERIES: dict = {}
 #: None of these can be put into SQL: random draws by a hash that SQL engines don't share, training, or file formats.
@@ -21,3 +22,8 @@ def query(f):
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pareto_mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op6_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
