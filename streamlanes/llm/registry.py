@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
+from .rp_forest import embedding_near_duplicates
 
 QUERIES: dict = {}
 #: None of these can be put into SQL: random draws by a hash that SQL engines don't share, training, or file formats.
@@ -27,3 +28,8 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(read_table(spark, sf_dir, "embeddings"))
