@@ -8,6 +8,14 @@ from .common import read_table
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .rp_forest import embedding_near_duplicates
+from .token_planes import read_token_planes, write_token_planes
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict = {}
 #: None of these can be put into SQL: random draws by a hash that SQL engines don't share, training, or file formats.
@@ -33,3 +41,8 @@ def op6_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_planes(write_token_planes(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
