@@ -19,7 +19,7 @@ def open_new(path: str):
     """A binary file to write, its folders made. Names must be new: each task attempt uses its own."""
     fs, name = _at(path)
     fs.create_dir(os.path.dirname(name), recursive=True)
-    return fs.open_output_stream(name)
+    return fs.open_output_stream(name, compression=None)
 
 
 def open_old(path: str):

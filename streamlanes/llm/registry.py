@@ -9,6 +9,7 @@ from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .rp_forest import embedding_near_duplicates
 from .token_planes import read_token_planes, write_token_planes
+from .warc import normalise_archives, read_warc, write_warc
 
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is."""
@@ -46,3 +47,8 @@ def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_planes(write_token_planes(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+@query
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(normalise_archives(write_warc(read_table(spark, sf_dir, "pages"))))
