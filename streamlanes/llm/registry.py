@@ -8,6 +8,7 @@ from .common import read_table
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .rp_forest import embedding_near_duplicates
+from .secrets import scan_secrets
 from .token_planes import read_token_planes, write_token_planes
 from .warc import normalise_archives, read_warc, write_warc
 
@@ -52,3 +53,8 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(normalise_archives(write_warc(read_table(spark, sf_dir, "pages"))))
+
+
+@query
+def op8_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
