@@ -10,6 +10,7 @@ from .near_dup import near_duplicates
 from .rp_forest import embedding_near_duplicates
 from .secrets import scan_secrets
 from .token_planes import read_token_planes, write_token_planes
+from .url_filter import filter_urls
 from .warc import normalise_archives, read_warc, write_warc
 
 def vocabulary(name: str) -> str:
@@ -58,3 +59,8 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages"))
