@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .rp_forest import embedding_near_duplicates
@@ -64,3 +65,8 @@ def op8_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
