@@ -8,6 +8,7 @@ from .common import read_table
 from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
+from .quality import score_quality, train_quality
 from .rp_forest import embedding_near_duplicates
 from .secrets import scan_secrets
 from .token_planes import read_token_planes, write_token_planes
@@ -70,3 +71,9 @@ def op7_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
