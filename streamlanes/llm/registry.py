@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontam import find_contamination
 from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
@@ -77,3 +78,8 @@ def op4_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
