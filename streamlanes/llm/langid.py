@@ -35,9 +35,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.longest = min(LONGEST, max(map(len, pieces), default=1))
-        self.powers = np.ones(self.longest + 1, np.uint64)
-        for i in range(self.longest):
-            self.powers[i + 1] = self.powers[i] * BASE
+        self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         slots = (keys * BASE) >> np.uint64(64 - BITS)
         self.keys, self.ids = [], []  # tables by slot; pieces that share a slot go to further tables
