@@ -93,8 +93,7 @@ def _taps_sql(taps) -> str:
 
 
 def _taps(spark: SparkSession, sf_dir: str, taps) -> DataFrame:
-    y = num.correlate_column("value", taps, ["channel"], ["pos"])
-    return lanes.event_lanes(spark, sf_dir).withColumn("y", y).where("y IS NOT NULL").select("channel", "pos", *r4("y"))
+    return profile.tap_filter(lanes.event_lanes(spark, sf_dir), taps).select("channel", "pos", *r4("y"))
 
 
 PATTERN, GAUSS, LOG = (1.0, -2.0, 3.0, -1.0), num.gauss_kernel(7, 1.5), num.log_kernel(7, 1.5)[0]
