@@ -81,15 +81,32 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def prefix_of(n, k: int, percent: int, sure: int):
-    """How many of its rarest retained values a document of ``n`` shingles must be listed under."""
-    whole = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1  # any partner is retained whole too
-    return F.when(n * 100 < percent * (k + 1), whole).otherwise(F.least(n, F.lit(k)) - sure + 1)
+def sure_share(k: int, percent: int) -> int:
+    """How many of the union's ``k`` smallest values a linked pair shares, 5 standard deviations on the safe side."""
+    share = percent / 100
+    return max(1, math.floor(k * share - 5 * math.sqrt(k * share * (1 - share))))
+
+
+def _lists(sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """(v, doc_id, n, alone, place): each document under the rarest of its retained values, for ``sketches`` (doc_id, n, own, sketch).
+
+    ``place`` counts from 1 in the order of rarity, ``alone`` is the number of values that no other document has. Sets
+    whose partners must all be retained whole too need the prefix for exact overlaps; others that for ``sure_share``.
+    """
+    values = sketches.select("doc_id", F.col("n").cast("int").alias("n"), "own", F.explode("sketch").alias("v"))
+    of_one = Window.partitionBy("doc_id", "own")
+    shared = values.join(values.groupBy("v").count().where("count > 1"), "v")
+    alone = (F.least(F.col("n"), F.lit(k)) - F.count("*").over(of_one)).cast("int")
+    n = F.col("n")
+    whole = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
+    room = F.when(n * 100 < percent * (k + 1), whole).otherwise(F.least(n, F.lit(k)) - sure_share(k, percent) + 1)
+    ranked = shared.withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(of_one.orderBy("count", "v")))
+    return ranked.where(F.col("place") <= room).select("v", "doc_id", "n", "alone", "place")
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 64,
-    star_rounds: int = 2,
+    k_last: int = 512,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
@@ -101,10 +118,12 @@ def near_duplicates(
        whose mean is ``sure``. Two documents that share ``sure`` of k retained values meet in the list of one of the
        k - sure + 1 that are rarest in the corpus, so only those lists are kept. Common passages and license lines head
        no list unless a document holds little else. Sets of up to k shingles are retained whole; for them it is exact.
-    3. In each list, documents are paired with the list's hub, ``star_rounds`` times with another hub. Pairs whose
-       union sketch holds fewer than ``sure`` shared values are dropped; the rest is verified on full sets.
-    4. Then every pair of a list that is in different components still is checked, so no link is lost to stars; pairs
-       inside a component say nothing new. No list is cut short.
+    3. In each list, documents are paired with the list's hub, the one with the fewest values of its own: of edited
+       copies, the one closest to what they were copied from. Pairs whose union sketch holds fewer than ``sure`` shared
+       values are dropped; the rest is verified on full sets.
+    4. Where a list still holds several components, its documents are listed again under sketches of ``k_last`` values,
+       which hold most sets whole, and every pair in different components that can still reach the overlap is checked.
+       Pairs inside a component say nothing new. No list is cut short.
 
     Memory: no task gathers a list; texts travel for documents in lists only.
 
@@ -115,21 +134,14 @@ def near_duplicates(
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     schema = "doc_id long, n_shingles long, digest binary, sketch array<long>"
-    share = percent / 100
-    sure = max(1, math.floor(k * share - 5 * math.sqrt(k * share * (1 - share))))
+    sure = sure_share(k, percent)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = ws.stage(own.mapInArrow(_sketcher(width, k), schema), "sketches", batch_rows=1000)
     usable = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = ws.stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    # Lists of the rarest retained values. Values of one class only head no list, but count among the rarest.
-    values = classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n"), F.hash("digest").alias("own"), F.explode("sketch").alias("v"))
-    df = values.groupBy("v").count().where("count > 1")
-    of_class = Window.partitionBy("doc_id", "own")
-    shared = values.join(df, "v").withColumn("common", F.count("*").over(of_class))
-    nth = F.row_number().over(of_class.orderBy("count", "v"))
-    room = prefix_of(F.col("n"), k, percent, sure) - (F.least(F.col("n"), F.lit(k)) - F.col("common"))
-    listed = ws.stage(shared.withColumn("nth", nth).where(F.col("nth") <= room).select("v", "doc_id", "n").distinct(), "listed")
+    # Values of one class only head no list, but count among the rarest.
+    listed = ws.stage(_lists(classes.select(F.col("rep").alias("doc_id"), "n", F.hash("digest").alias("own"), "sketch"), k, percent), "listed")
     if listed.isEmpty():
         return _result(ws, sketched, classes, None)
     members = listed.select("doc_id").distinct()
@@ -153,22 +165,33 @@ def near_duplicates(
     # Rows that share an id but not a text hold their classes together.
     twice = usable.join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
     links = ws.stage(twice.select("a", "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")), "links-twice")
-    tried, found = None, None
-    for turn in range(star_rounds):
-        order = F.struct(F.col("doc_id")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "doc_id"), F.col("doc_id"))
-        hubs = listed.groupBy("v").agg(F.min(order).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
-        pairs = listed.join(hubs, "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-        if found is not None:
-            pairs = _apart(pairs, found)
-        links = links.unionByName(verified(pairs, f"links-star-{turn}"))
-        found = connected_components(ws, links, f"cc-{turn}")
-    # What stars left open: pairs of one list in different components.
-    named = listed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = ws.stage(named.join(named.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1"), "v").select("v", "doc_id", "n", "component"), "mixed")
-    left, right = (mixed.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "component")]) for x in "ab")
+    hubs = listed.groupBy("v").agg(F.min(F.struct("alone", "doc_id")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
+    stars = listed.join(hubs, "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = links.unionByName(verified(stars, "links-star"))
+    found = connected_components(ws, links, "cc-star").withColumnRenamed("node", "doc_id")
+
+    # What stars left open: lists that hold several components. Their documents are listed anew under longer sketches.
+    def split_lists(lists: DataFrame) -> DataFrame:
+        named = lists.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = named.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
+        return named.join(several, "v")
+
+    unclear = ws.stage(split_lists(listed).select("doc_id").distinct(), "unclear")
+    longer = ws.stage(
+        texts.join(unclear, "doc_id").select("doc_id", "text").mapInArrow(_sketcher(width, k_last), schema)
+        .select("doc_id", F.col("n_shingles").alias("n"), F.hash("digest").alias("own"), "sketch"),
+        "longer-sketches", batch_rows=1000,
+    )
+    again = ws.stage(split_lists(_lists(longer, k_last, percent)), "listed-again")
+    left, right = (again.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "component")]) for x in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    # At the first value that two whole sets share in this order, what follows must still reach the overlap they need.
+    reach = 1 + F.least(na - F.col("place_a"), nb - F.col("place_b"))
+    whole = F.greatest(na, nb) <= k_last
     open_pairs = left.join(right, "v").where(
-        (F.col("doc_ida") > F.col("doc_idb")) & (F.col("componenta") != F.col("componentb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    ).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct()
+        (F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
+        & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (~whole | (reach * (100 + percent) >= (na + nb) * percent))
+    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     last = verified(open_pairs, "links-open")
     return _result(ws, sketched, classes, connected_components(ws, links.unionByName(last), "cc-last"))
 
