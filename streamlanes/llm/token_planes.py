@@ -10,9 +10,12 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -134,61 +137,95 @@ class PlaneReader:
         self.file.close()
 
 
+def _octets(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class CachedEncoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library, each distinct word once.
 
     Such a tokenizer cuts a text into pieces before it merges bytes, and a single blank between two other characters
     always starts a piece. So a text is cut at blanks, and what lies between is looked up or encoded once. Texts with
-    other white space beside a blank are encoded whole. Words are remembered in tables of bounded size.
+    other white space beside a blank are encoded whole. Words are remembered in two tables of bounded size: when the
+    younger is full it becomes the older, from which words still in use return.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
-        import regex
+    def __init__(self, path: str, cache: int = 300_000):
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces_of = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache, self.words, self.pieces = cache, {}, {}
+        self.cache, self.words, self.older, self.pieces = cache, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _octets(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [_octets(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > self.cache:
-            self.words = {}
-        if len(self.pieces) > self.cache:
+    def _learn(self, missing: set[str]) -> None:
+        if len(self.words) > self.cache:
+            self.older, self.words = self.words, {}
+        if len(self.pieces) > self.cache // 4:
             self.pieces = {}
-        # A word with white space at an end may stand beside a blank: then cutting there would be wrong.
-        cut = {w: self.pieces_of(" " + w) for w in missing if w and not w[0].isspace() and not w[-1].isspace()}
-        fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
+        words, older, plain, ended, rest = self.words, self.older, set(), [], []
         for w in missing:
-            self.words[w] = b"".join([self.pieces[p] for p in cut[w]]) if w in cut else None
+            if w in older:
+                words[w] = older[w]
+            elif w.isalpha():  # letters behind a blank are one piece
+                plain.add(w)
+            elif w[:-1].isalpha() and w[-1] in ENDS:  # and a sign behind them is another
+                stem = w[:-1]
+                ended.append(w)
+                if stem in older:
+                    words[stem] = older[stem]
+                elif stem not in words:
+                    plain.add(stem)
+            elif not w or w[0].isspace() or w[-1].isspace():
+                words[w] = None  # white space beside a blank: cutting there would be wrong
+            else:
+                rest.append((w, self.pieces_of(" " + w)))
+        fresh = list(plain)
+        words.update(zip(fresh, self._encode([" " + w for w in fresh]), strict=True))
+        new = list(({p for _, ps in rest for p in ps} | set(ENDS)).difference(self.pieces))
+        self.pieces.update(zip(new, self._encode(new), strict=True))
+        for w in ended:
+            words[w] = words[w[:-1]] + self.pieces[w[-1]]
+        for w, ps in rest:
+            words[w] = b"".join([self.pieces[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        cut = [t.split(" ") for t in texts]
-        # The first word has no blank before it, and a text with a special token's string is not plain.
-        missing = {w for ws in cut for w in ws[1:]}.difference(self.words)
-        if missing:
-            if len(missing) + len(self.words) > self.cache and len(texts) > 1:
-                half = len(texts) // 2
-                if len(missing) > self.cache // 2:
-                    return self.encode(texts[:half]) + self.encode(texts[half:])
-                self.words = {}
-                missing = {w for ws in cut for w in ws[1:]}
-            self._learn(list(missing))
-        for text, ws in zip(texts, cut, strict=True):
-            got = [self.words[w] for w in ws[1:]]
-            if "<|" in text or not ws[0] or ws[0][-1].isspace() or None in got:
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(ws[0]) + b"".join(got))
+        for s in range(0, len(texts), 200):
+            cut = [t.split(" ") for t in texts[s : s + 200]]
+            missing = set().union(*[ws[1:] for ws in cut]).difference(self.words)
+            if len(self.words) > self.cache:
+                missing = set().union(*[ws[1:] for ws in cut])
+            if missing:
+                self._learn(missing)
+            for text, ws in zip(texts[s : s + 200], cut, strict=True):
+                # The first word has no blank before it; a special token's string is not plain text.
+                out.append(self._joined(ws) if "<|" not in text and ws[0] and not ws[0][-1].isspace() else None)
+                if out[-1] is None:
+                    out[-1] = self.whole(text)
         return out
 
+    def _joined(self, ws: list[str]) -> bytes | None:
+        try:
+            return self.whole(ws[0]) + b"".join(map(self.words.__getitem__, islice(ws, 1, None)))
+        except TypeError:  # a word that is None
+            return None
+
+
+#: Signs that a word may end in, to skip cutting it by the pattern.
+ENDS = ".,!?;:"
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
@@ -222,6 +259,7 @@ def _writer(vocabulary: str, folder: str, end_id: int, kind: str, file_ids: int)
         if open_file is not None:
             open_file.close()
             open_file.docs = len(open_file.docs)
+        pa.default_memory_pool().release_unused()
         columns = [[part] * len(files), range(len(files)), [f.path for f in files], [f.docs for f in files], [f.n_ids for f in files]]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, FILES.types, strict=True)], schema=FILES)
 
