@@ -87,15 +87,16 @@ def sure_share(k: int, percent: int) -> int:
     return max(1, math.floor(k * share - 5 * math.sqrt(k * share * (1 - share))))
 
 
-def _lists(sketches: DataFrame, k: int, percent: int) -> DataFrame:
+def _lists(ws: Workspace, sketches: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """(v, doc_id, n, alone, place): each document under the rarest of its retained values, for ``sketches`` (doc_id, n, own, sketch).
 
     ``place`` counts from 1 in the order of rarity, ``alone`` is the number of values that no other document has. Sets
     whose partners must all be retained whole too need the prefix for exact overlaps; others that for ``sure_share``.
+    Counts are staged: a join of two plain exchanges is one whose hot values Spark can split over tasks.
     """
     values = sketches.select("doc_id", F.col("n").cast("int").alias("n"), "own", F.explode("sketch").alias("v"))
     of_one = Window.partitionBy("doc_id", "own")
-    shared = values.join(values.groupBy("v").count().where("count > 1"), "v")
+    shared = values.join(ws.stage(values.groupBy("v").count().where("count > 1"), f"counts-{name}"), "v")
     alone = (F.least(F.col("n"), F.lit(k)) - F.count("*").over(of_one)).cast("int")
     n = F.col("n")
     whole = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
@@ -141,7 +142,7 @@ def near_duplicates(
     classes = ws.stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # Values of one class only head no list, but count among the rarest.
-    listed = ws.stage(_lists(classes.select(F.col("rep").alias("doc_id"), "n", F.hash("digest").alias("own"), "sketch"), k, percent), "listed")
+    listed = ws.stage(_lists(ws, classes.select(F.col("rep").alias("doc_id"), "n", F.hash("digest").alias("own"), "sketch"), k, percent, "first"), "listed")
     if listed.isEmpty():
         return _result(ws, sketched, classes, None)
     members = listed.select("doc_id").distinct()
@@ -166,23 +167,23 @@ def near_duplicates(
     twice = usable.join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
     links = ws.stage(twice.select("a", "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")), "links-twice")
     hubs = listed.groupBy("v").agg(F.min(F.struct("alone", "doc_id")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
-    stars = listed.join(hubs, "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = listed.join(ws.stage(hubs, "hubs"), "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links = links.unionByName(verified(stars, "links-star"))
     found = connected_components(ws, links, "cc-star").withColumnRenamed("node", "doc_id")
 
     # What stars left open: lists that hold several components. Their documents are listed anew under longer sketches.
-    def split_lists(lists: DataFrame) -> DataFrame:
+    def split_lists(lists: DataFrame, name: str) -> DataFrame:
         named = lists.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         several = named.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
-        return named.join(several, "v")
+        return named.join(ws.stage(several, name), "v")
 
-    unclear = ws.stage(split_lists(listed).select("doc_id").distinct(), "unclear")
+    unclear = ws.stage(split_lists(listed, "several").select("doc_id").distinct(), "unclear")
     longer = ws.stage(
         texts.join(unclear, "doc_id").select("doc_id", "text").mapInArrow(_sketcher(width, k_last), schema)
         .select("doc_id", F.col("n_shingles").alias("n"), F.hash("digest").alias("own"), "sketch"),
         "longer-sketches", batch_rows=1000,
     )
-    again = ws.stage(split_lists(_lists(longer, k_last, percent)), "listed-again")
+    again = ws.stage(split_lists(ws.stage(_lists(ws, longer, k_last, percent, "again"), "listed-longer"), "several-again"), "listed-again")
     left, right = (again.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "component")]) for x in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     # At the first value that two whole sets share in this order, what follows must still reach the overlap they need.
