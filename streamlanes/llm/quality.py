@@ -134,26 +134,24 @@ def _encoder():
     return run
 
 
+def _scores(model: Attention | None, texts: pa.Array, chars: int = 1 << 19) -> np.ndarray:
+    """Scores of texts, encoded together up to ``chars`` characters at a time, whatever their number."""
+    scores: list[np.ndarray] = []
+    held: list[str | None] = []
+    size = 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size > chars or i == len(texts) - 1:
+            scores.append(model.forward(*encode(held))[0] if model else np.full(len(held), 0.5))
+            held, size = [], 0
+    return np.concatenate(scores) if scores else np.empty(0)
+
+
 def _scorer(model: Attention | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores: list[np.ndarray] = []
-            held: list[str | None] = []
-            size = 0
-
-            def flush() -> None:
-                nonlocal held, size
-                if held:
-                    scores.append(model.forward(*encode(held))[0] if model else np.full(len(held), 0.5))
-                held, size = [], 0
-
-            for text in batch.column(2):
-                held.append(text.as_py())
-                size += len(held[-1] or "")
-                if size > 1 << 20:
-                    flush()
-            flush()
-            score = np.concatenate(scores) if scores else np.empty(0)
+            score = _scores(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -201,11 +199,7 @@ def keep_good(docs: DataFrame, model: Attention | None, *, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep: list[bool] = []
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            for s in range(0, batch.num_rows, 200):
-                part = texts.slice(s, 200).to_pylist()
-                keep += (model.forward(*encode(part))[0] >= 0.5).tolist() if model else [True] * len(part)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            score = _scores(model, batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array(score >= 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
