@@ -14,8 +14,13 @@ from streamlanes.llm.registry import vocabulary
 from streamlanes.llm.token_planes import read_token_planes, write_token_planes
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch of them is in memory on both sides.
+BATCH_ROWS = "1000"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of these documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return keep_good(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -33,6 +38,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
