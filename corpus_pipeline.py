@@ -14,6 +14,8 @@ from streamlanes.llm.registry import vocabulary
 from streamlanes.llm.token_planes import read_token_planes, write_token_planes
 
 
+#: Documents whose five-word shingle sets have a Jaccard similarity of so many hundredths or more are near-duplicates.
+NEAR_PERCENT = 80
 #: Rows of an Arrow batch: texts may be long, and a batch of them is in memory on both sides.
 BATCH_ROWS = "1000"
 
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group, once. Documents without an id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.isEmpty():

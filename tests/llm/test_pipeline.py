@@ -49,3 +49,14 @@ def test_one_row_of_a_repeated_id_stays(spark):
     assert sorted(got, key=str) == [1, 3, None, None]
     mixed = pipeline.mix(spark, docs, SF)
     assert mixed.columns == docs.columns and pipeline.mix(spark, docs.where("false"), SF).count() == 0
+
+
+def test_near_copies_from_0_8_on_go(spark):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    at = lambda n: " ".join(base[:-n] + [f"x{n}.{i}" for i in range(n)])
+    texts = {1: " ".join(base), 2: at(22), 3: "other " * 3, 4: at(30)}  # 178 of 222 shared, 0.802; 170 of 230 with 1, 170 of 230 with 2
+    sets = {i: shingle_set(words_of(t)) for i, t in texts.items()}
+    share = lambda a, b: (m := overlap(sets[a], sets[b])) / (len(sets[a]) + len(sets[b]) - m)
+    assert 0.8 <= share(1, 2) < 0.85 and max(share(1, 4), share(2, 4)) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_duplicate(spark, docs, SF).collect()) == [1, 3, 4]
