@@ -20,7 +20,7 @@ def hysteresis(profile: DataFrame, lo: float, hi: float, unfitness: str = "exit"
     """(channel, buffer, start, length, unfitness): segments that open at ``lo`` or less and last while at ``hi`` or less.
 
     The first and the last point of a profile open and continue nothing. A segment starts at its leftmost minimum; its
-    unfitness is the value just after it ("exit") or its minimum ("min"). Groups are buffers, so they have a bound.
+    unfitness is the value just after it ("exit") or its minimum ("min"). A group is a lane's whole profile at one length, in order, in one task.
     """
     by = ["channel", "buffer", "m"]
     order = Window.partitionBy(*by).orderBy("i")

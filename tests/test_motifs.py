@@ -117,3 +117,14 @@ def test_batch_and_stream_give_the_same(spark, tmp_path):
     query = detect_stream(stream, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == batch
+
+
+def test_profiles_of_long_lanes_are_whole(spark):
+    x = planted()
+    df = spark.createDataFrame([(0, p, float(v)) for p, v in enumerate(x)], "channel long, pos long, value double")
+    got = sorted((r.m, r.buffer, r.i, r.d, r.n) for r in profile.profiles(df, [24, 32], buffer=150).collect())
+    want = [(m, 0, i, d, 401 - m) for m in (24, 32) for i, d in enumerate(naive_profile(x, m))]
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]  # those over the edges too
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-6)
+    smooth = sorted((r.i, r.d) for r in profile.profiles(df, [24], mode="GAUSS", buffer=150).collect())
+    assert np.allclose([d for _, d in smooth], profile.filtered(naive_profile(x, 24), "GAUSS", 24), atol=1e-6)
