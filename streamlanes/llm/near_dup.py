@@ -143,8 +143,14 @@ def near_duplicates(
 
     # Values of one class only head no list, but count among the rarest.
     listed = ws.stage(_lists(ws, classes.select(F.col("rep").alias("doc_id"), "n", F.hash("digest").alias("own"), "sketch"), k, percent, "first"), "listed")
+
+    # Rows that share an id but not a text hold their classes together: each of them is linked to the smallest.
+    named = usable.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+    many = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
+    twice = named.join(ws.stage(many, "ids-of-several"), "doc_id")
+    links = ws.stage(twice.select(F.col("rep").alias("a"), "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")).distinct(), "links-twice")
     if listed.isEmpty():
-        return _result(ws, sketched, classes, None)
+        return _result(ws, sketched, classes, connected_components(ws, links, "cc-twice"))
     members = listed.select("doc_id").distinct()
     texts = ws.stage(own.join(members, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
     sketches = ws.stage(classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id"), "listed-sketches")
@@ -163,9 +169,6 @@ def near_duplicates(
         rows = close.join(x, "a").join(y, "b").select("a", "ta", "b", "tb")
         return ws.stage(rows.mapInArrow(_verifier(width, percent), "a long, b long").distinct(), name, batch_rows=200)
 
-    # Rows that share an id but not a text hold their classes together.
-    twice = usable.join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
-    links = ws.stage(twice.select("a", "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")), "links-twice")
     hubs = listed.groupBy("v").agg(F.min(F.struct("alone", "doc_id")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
     stars = listed.join(ws.stage(hubs, "hubs"), "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links = links.unionByName(verified(stars, "links-star"))

@@ -92,6 +92,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_an_id_with_three_texts_holds_their_groups_together(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (3, c), (9, a), (9, b), (9, c)]
+    for extra in ([], [(4, a + " x")]):  # without and with a near copy
+        got = near_duplicates(spark.createDataFrame(rows + extra, "doc_id long, text string")).collect()
+        assert len(got) == len(rows + extra) and {r.component_id for r in got} == {1}
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16))
