@@ -214,7 +214,11 @@ def embedding_near_duplicates(
         "parts",
     )
     links = parts.groupBy("rep").agg(F.sum("n").alias("n"))
-    found = connected_components(ws, parts.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # Rows that share an id hold their classes together: each of them is linked to the smallest.
+    named = rows.where("fine").join(classes.select(*key, "rep"), key).select("vec_id", "rep")
+    many = named.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("vec_id", "b")
+    same = named.join(many, "vec_id").select(F.col("rep").alias("a"), "b")
+    found = connected_components(ws, parts.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same))
     of_class = classes.select(*key, "rep", "weight").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = rows.join(of_class.withColumn("fine", F.lit(True)), [*key, "fine"], "left")
     out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))

@@ -122,3 +122,11 @@ def test_embeddings_match_brute_force(spark):
     assert got[None].n_links == 0 and got[None].component_id is None and got[None].kept
     assert embedding_near_duplicates(df.where("false")).count() == 0
     assert [r.component_id for r in embedding_near_duplicates(df.where("vec_id in (1000, 1002)")).orderBy("vec_id").collect()] == [1000, 1002]
+
+
+def test_vectors_that_share_an_id_share_a_component(spark):
+    x, y, z = ([float(i == j) for j in range(4)] for i in range(3))
+    rows = [(5, x, 1), (5, y, 1), (3, y, 1), (5, z, 2), (4, z, 2), (8, z, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_near_duplicates(df).collect()
+    assert len(got) == len(rows) and {(r.vec_id, r.component_id) for r in got} == {(5, 3), (3, 3), (4, 3), (8, 8)}
