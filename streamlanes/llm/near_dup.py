@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, words_of
@@ -45,7 +45,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
 
-def _sketcher(width: int, k: int):
+def _sketcher(width: int, k: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sketches = [], [], []
@@ -63,51 +63,61 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verifier(width: int, percent: int):
+    """Links (a, b) among rows (b, part, a, text) sorted by b, part and a: a row without ``a`` holds the text of ``b`` itself and precedes its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, str] | None = None
-        kept = np.empty(0, np.int64)
+        hubs: list[np.ndarray] = []
+        hub_of = None
         for batch in batches:
-            a, b = [], []
-            for i, x, j, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != (j, y):  # rows come sorted by the hub, b
-                    last, kept = (j, y), shingle_set(words_of(y), width)
-                mine = shingle_set(words_of(x), width)
-                shared = overlap(mine, kept)
-                if shared and 100 * shared >= percent * (len(mine) + len(kept) - shared):
-                    a.append(i)
-                    b.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+            found_a, found_b = [], []
+            for b, part, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = shingle_set(words_of(text), width)
+                if a is None:
+                    hubs = [*hubs, mine] if hub_of == (b, part) else [mine]
+                    hub_of = (b, part)
+                    continue
+                for hub in hubs if hub_of == (b, part) else ():
+                    shared = overlap(mine, hub)
+                    if shared and 100 * shared >= percent * (len(mine) + len(hub) - shared):
+                        found_a.append(a)
+                        found_b.append(b)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=LINKS)
 
     return run
 
 
-def sure_share(k: int, percent: int) -> int:
-    """How many of the union's ``k`` smallest values a linked pair shares, 5 standard deviations on the safe side."""
+def sure_share(k: int, percent: int, deviations: float = 7) -> int:
+    """How many of the union's ``k`` smallest values a linked pair shares, so many standard deviations on the safe side."""
     share = percent / 100
-    return max(1, math.floor(k * share - 5 * math.sqrt(k * share * (1 - share))))
+    return max(1, math.floor(k * share - deviations * math.sqrt(k * share * (1 - share))))
 
 
-def _lists(ws: Workspace, sketches: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def _lists(ws: Workspace, sketches: DataFrame, k: int | None, percent: int, name: str) -> DataFrame:
     """(v, doc_id, n, alone, place): each document under the rarest of its retained values, for ``sketches`` (doc_id, n, own, sketch).
 
     ``place`` counts from 1 in the order of rarity, ``alone`` is the number of values that no other document has. Sets
-    whose partners must all be retained whole too need the prefix for exact overlaps; others that for ``sure_share``.
-    Counts are staged: a join of two plain exchanges is one whose hot values Spark can split over tasks.
+    whose partners must all be retained whole too (all sets if ``k`` is None) need the prefix for exact overlaps; others
+    that for ``sure_share``. Counts are staged: a join of two plain exchanges is one whose hot values Spark can split.
     """
     values = sketches.select("doc_id", F.col("n").cast("int").alias("n"), "own", F.explode("sketch").alias("v"))
     of_one = Window.partitionBy("doc_id", "own")
     shared = values.join(ws.stage(values.groupBy("v").count().where("count > 1"), f"counts-{name}"), "v")
-    alone = (F.least(F.col("n"), F.lit(k)) - F.count("*").over(of_one)).cast("int")
     n = F.col("n")
+    kept = n if k is None else F.least(n, F.lit(k))
     whole = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
-    room = F.when(n * 100 < percent * (k + 1), whole).otherwise(F.least(n, F.lit(k)) - sure_share(k, percent) + 1)
+    room = whole if k is None else F.when(n * 100 < percent * (k + 1), whole).otherwise(kept - sure_share(k, percent) + 1)
+    alone = (kept - F.count("*").over(of_one)).cast("int")
     ranked = shared.withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(of_one.orderBy("count", "v")))
     return ranked.where(F.col("place") <= room).select("v", "doc_id", "n", "alone", "place")
 
 
+#: Partners of one document that are compared in one task.
+PARTNERS = 256
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 64,
-    k_last: int = 512,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64, exact: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
@@ -115,22 +125,29 @@ def near_duplicates(
     orders all shingles; a document retains its ``k`` smallest. Steps:
 
     1. Documents with equal sets are one class, represented by its smallest id.
-    2. Of the union's k smallest values, a linked pair shares hypergeometrically many, 5 standard deviations below
+    2. Of the union's k smallest values, a linked pair shares hypergeometrically many, 7 standard deviations below
        whose mean is ``sure``. Two documents that share ``sure`` of k retained values meet in the list of one of the
        k - sure + 1 that are rarest in the corpus, so only those lists are kept. Common passages and license lines head
        no list unless a document holds little else. Sets of up to k shingles are retained whole; for them it is exact.
     3. In each list, documents are paired with the list's hub, the one with the fewest values of its own: of edited
        copies, the one closest to what they were copied from. Pairs whose union sketch holds fewer than ``sure`` shared
        values are dropped; the rest is verified on full sets.
-    4. Where a list still holds several components, its documents are listed again under sketches of ``k_last`` values,
-       which hold most sets whole, and every pair in different components that can still reach the overlap is checked.
-       Pairs inside a component say nothing new. No list is cut short.
-
-    Memory: no task gathers a list; texts travel for documents in lists only.
-
-    Null or blank text: n_shingles 0, linked with nothing. Null id: linked with nothing, component_id null, kept true.
-    Rows that share an id are one document: a link of one is a link of all. Other columns are not read. An empty
-    table gives an empty table.
+    4. Documents in lists that still hold several components (all documents if ``exact``) are listed again by their
+       whole sets, in one order of rarity. A linked pair meets at its first common value, where what follows on either
+       side still reaches the overlap that the two sizes need. Each document's place tells which sizes it can reach at
+       all: as the smaller of a pair only with few values of its own. So edited copies of a common text that differ
+       from each other too much are not paired, however many they are. What is left across components is verified.
+
+    Pairs inside a component say nothing new and are not made. No list is cut short. Only step 2 can miss a link: of
+    a pair exactly at ``percent`` with sets over k, with a probability below 1e-8, if no third document links the two;
+    ``exact=True`` takes all documents through step 4 and misses none. Shingles are compared by 64-bit hashes.
+
+    Memory: no task gathers a list; texts travel for documents in lists only, one at a time through the verifier, and
+    a document with many partners is dealt to several tasks.
+
+    Null or blank text: n_shingles 0, linked with nothing. Very long texts are taken whole. Null id: linked with
+    nothing, component_id null, kept true. Rows that share an id are one document: a link of one is a link of all. A
+    tie at exactly ``percent`` is a link. Other columns are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -149,64 +166,79 @@ def near_duplicates(
     many = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
     twice = named.join(ws.stage(many, "ids-of-several"), "doc_id")
     links = ws.stage(twice.select(F.col("rep").alias("a"), "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")).distinct(), "links-twice")
-    if listed.isEmpty():
+    if not exact and listed.isEmpty():
         return _result(ws, sketched, classes, connected_components(ws, links, "cc-twice"))
-    members = listed.select("doc_id").distinct()
+    members = classes.select(F.col("rep").alias("doc_id")).distinct() if exact else listed.select("doc_id").distinct()
     texts = ws.stage(own.join(members, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
     sketches = ws.stage(classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id"), "listed-sketches")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of ``pairs`` (a, b), those linked, after the sketches' filter."""
+    def dealt(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Distinct ``pairs`` (a, b) with a part of ``b``'s partners each, and the parts (b, part) there are."""
+        pairs = ws.stage(pairs.distinct(), f"pairs-{name}")
+        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        hot = ws.stage(parts.where("parts > 1"), f"hot-{name}")
+        part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        return pairs.join(hot, "b", "left").select("a", "b", part.alias("part")), parts.select("b", each)
+
+    def close(pairs: DataFrame, name: str) -> DataFrame:
+        """Of ``pairs`` (a, b), those whose sketches leave room for a link."""
+        pairs, parts = dealt(pairs, name)
         a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         both = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
         need = F.when(F.size("union") < k, F.ceil(F.size("union") * F.lit(percent) / 100)).otherwise(F.lit(sure))
-        close = (
-            pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .withColumn("union", union).where(both >= need).select("a", "b").distinct()
+        return (
+            pairs.join(a, "a").join(parts.join(b, "b"), ["b", "part"]).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .withColumn("union", union).where(both >= need).select("a", "b")
         )
-        x, y = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        rows = close.join(x, "a").join(y, "b").select("a", "ta", "b", "tb")
-        return ws.stage(rows.mapInArrow(_verifier(width, percent), "a long, b long").distinct(), name, batch_rows=200)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of ``pairs`` (a, b), those linked."""
+        pairs, parts = dealt(pairs, name)
+        partners = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
+        selves = parts.join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+        rows = partners.unionByName(selves).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        return ws.stage(rows.mapInArrow(_verifier(width, percent), "a long, b long"), f"links-{name}", batch_rows=200)
 
     hubs = listed.groupBy("v").agg(F.min(F.struct("alone", "doc_id")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
-    stars = listed.join(ws.stage(hubs, "hubs"), "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = links.unionByName(verified(stars, "links-star"))
+    stars = listed.join(ws.stage(hubs, "hubs"), "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    links = links.unionByName(verified(close(stars, "star-sketches"), "star"))
     found = connected_components(ws, links, "cc-star").withColumnRenamed("node", "doc_id")
 
-    # What stars left open: lists that hold several components. Their documents are listed anew under longer sketches.
+    # What stars left open: lists that hold several components. Their documents are listed anew by their whole sets.
     def split_lists(lists: DataFrame, name: str) -> DataFrame:
         named = lists.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = named.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
+        several = named.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).where("c0 <> c1").select("v", "least")
         return named.join(ws.stage(several, name), "v")
 
-    unclear = ws.stage(split_lists(listed, "several").select("doc_id").distinct(), "unclear")
-    longer = ws.stage(
-        texts.join(unclear, "doc_id").select("doc_id", "text").mapInArrow(_sketcher(width, k_last), schema)
+    def reaches(size: Column) -> Column:
+        """Whether the values from this one on can hold the overlap needed with a set of ``size``."""
+        return (1 + F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + size) * percent
+
+    unclear = members if exact else ws.stage(split_lists(listed, "several").select("doc_id").distinct(), "unclear")
+    whole = ws.stage(
+        texts.join(unclear, "doc_id").select("doc_id", "text").mapInArrow(_sketcher(width, None), schema)
         .select("doc_id", F.col("n_shingles").alias("n"), F.hash("digest").alias("own"), "sketch"),
-        "longer-sketches", batch_rows=1000,
+        "whole-sets", batch_rows=200,
     )
-    again = ws.stage(split_lists(ws.stage(_lists(ws, longer, k_last, percent, "again"), "listed-longer"), "several-again"), "listed-again")
-    left, right = (again.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "component")]) for x in "ab")
+    again = split_lists(ws.stage(_lists(ws, whole, None, percent, "again"), "listed-whole"), "several-again")
+    # A set that cannot reach an overlap with the smallest of its list, or of the sizes that link at all, pairs with none.
+    able = ws.stage(again.where(reaches(F.greatest("least", F.ceil(F.col("n") * F.lit(percent) / 100)))).drop("least", "component"), "listed-able")
+    able = ws.stage(split_lists(able, "several-able").drop("least"), "listed-open")
+    columns = ("doc_id", "n", "place", "component")
+    small = able.where(reaches(F.col("n"))).select("v", *[F.col(c).alias(f"{c}_b") for c in columns])
+    large = able.select("v", *[F.col(c).alias(f"{c}_a") for c in columns])
     na, nb = F.col("n_a"), F.col("n_b")
-    # At the first value that two whole sets share in this order, what follows must still reach the overlap they need.
     reach = 1 + F.least(na - F.col("place_a"), nb - F.col("place_b"))
-    whole = F.greatest(na, nb) <= k_last
-    open_pairs = left.join(right, "v").where(
-        (F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
-        & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (~whole | (reach * (100 + percent) >= (na + nb) * percent))
-    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    last = verified(open_pairs, "links-open")
+    open_pairs = large.join(small, "v").where(
+        (F.col("component_a") != F.col("component_b")) & ((na > nb) | ((na == nb) & (F.col("doc_id_a") > F.col("doc_id_b"))))
+        & (nb * 100 >= na * percent) & (reach * (100 + percent) >= (na + nb) * percent)
+    ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    last = verified(open_pairs, "open")
     return _result(ws, sketched, classes, connected_components(ws, links.unionByName(last), "cc-last"))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    for x in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def _result(ws: Workspace, sketched: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))

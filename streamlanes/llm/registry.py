@@ -9,6 +9,7 @@ from .decontam import find_contamination
 from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
+from .oracles import EMBEDDINGS, NEAR_DUPLICATES, WARC
 from .quality import score_quality, train_quality
 from .rp_forest import embedding_near_duplicates
 from .secrets import scan_secrets
@@ -16,6 +17,7 @@ from .token_planes import read_token_planes, write_token_planes
 from .url_filter import filter_urls
 from .warc import normalise_archives, read_warc, write_warc
 
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is."""
     import public_tokenizers
@@ -24,8 +26,8 @@ def vocabulary(name: str) -> str:
 
 
 QUERIES: dict = {}
-#: None of these can be put into SQL: random draws by a hash that SQL engines don't share, training, or file formats.
-ORACLES: dict = {}
+#: The others learn from samples, tile, or write files in formats that SQL cannot read; tests hold them against brute force.
+ORACLES: dict = {"op2_warc_normaliser": WARC, "op3_rp_forest": EMBEDDINGS, "op6_bottom_k_near_dup": NEAR_DUPLICATES}
 
 
 def query(f):
@@ -41,7 +43,7 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_bottom_k_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
 @query

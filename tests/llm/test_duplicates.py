@@ -1,12 +1,16 @@
 """Near-duplicate texts and embeddings, and the components they share, against brute force."""
 
 import random
+import re
 from itertools import combinations
 
+import duckdb
 import numpy as np
+from pyspark.sql import Row
 
-from streamlanes.llm.common import Workspace, connected_components, words_of
-from streamlanes.llm.near_dup import near_duplicates, overlap, shingle_set
+from streamlanes.llm.common import Workspace, connected_components
+from streamlanes.llm.near_dup import near_duplicates, shingle_set
+from streamlanes.llm.registry import ORACLES, QUERIES
 from streamlanes.llm.rp_forest import embedding_near_duplicates
 
 
@@ -56,22 +60,81 @@ def texts(rng, words=120):
     return out
 
 
+def plain_sets(docs):
+    """Shingle sets of (id, text) by words alone, apart from the code under test."""
+    out = {}
+    for i, t in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        out[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def plain_links(sets, percent):
+    return [(a, b) for a, b in combinations(sets, 2) if (m := len(sets[a] & sets[b])) and 100 * m >= percent * len(sets[a] | sets[b])]
+
+
+def edited(rng, words, n):
+    t = list(words)
+    for _ in range(n):
+        t[rng.randrange(len(t))] = f"x{rng.randrange(10**9)}"
+    return t
+
+
 def test_near_duplicates_match_brute_force(spark):
-    for seed in (1, 2):
+    for seed in (1, 2, 3):
         docs = texts(random.Random(seed))
-        sets = {i: shingle_set(words_of(t)) for i, t in docs.items()}
-        links = []
-        for a, b in combinations(docs, 2):
-            m = overlap(sets[a], sets[b])
-            if m and 100 * m >= 85 * (len(sets[a]) + len(sets[b]) - m):
-                links.append((a, b))
-        want = components(docs, links)
+        sets = plain_sets(docs.items())
+        want = components(docs, plain_links(sets, 85))
         df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs.items()], "doc_id long, text string, n int, component string").repartition(3)
-        got = {r.doc_id: r for r in near_duplicates(df, k=32 if seed == 1 else 64).collect()}
+        got = {r.doc_id: r for r in near_duplicates(df, percent=85, k=32 if seed == 1 else 64, exact=seed == 3).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_long_texts_near_the_threshold(spark):
+    rng = random.Random(8)
+    docs = {}
+    for _ in range(12):  # 700 to 1600 words, around 0.80 of each other, no original among them
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(700, 1600))]
+        for _ in range(10):
+            docs[len(docs)] = " ".join(edited(rng, base, round(len(base) * rng.uniform(0.008, 0.016))))
+    sets = plain_sets(docs.items())
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    near = sum(0.79 < (m := len(sets[a] & sets[b])) / (len(sets[a]) + len(sets[b]) - m) < 0.81 for a, b in combinations(sets, 2))
+    assert near > 30 and min(map(len, sets.values())) > 512
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, exact=exact).collect()}
+        assert got == components(docs, plain_links(sets, 80))
+
+
+def test_copies_that_differ_too_much_are_not_paired(spark, monkeypatch):
+    """Many edited copies of a long text, none linked: what is verified stays far below all pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(900)]
+    df = spark.createDataFrame([(i, " ".join(edited(rng, base, 30))) for i in range(300)], "doc_id long, text string")
+    counts, stage = {}, Workspace.stage
+
+    def counted(self, df, name, batch_rows=None):
+        out = stage(self, df, name, batch_rows)
+        if name.startswith("pairs-"):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "stage", counted)
+    assert sum(r.kept for r in near_duplicates(df, percent=85).collect()) == 300
+    assert max(counts.values()) <= 4 * 300 and counts["pairs-open"] < 300  # of 44,850 pairs
+
+
+def test_near_duplicates_of_a_table_match_their_oracle(spark):
+    con = duckdb.connect()
+    for name, d in (("op6_bottom_k_near_dup", "sf0.001"), ("op3_rp_forest", "sf0.01"), ("op2_warc_normaliser", "sf0.01")):
+        for t in ("documents", "embeddings", "pages"):
+            con.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '/root/testdata/{d}/{t}.parquet'")
+        got = QUERIES[name](spark, f"/root/testdata/{d}")
+        want = con.sql(ORACLES[name])
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, (Row(**dict(zip(sorted(got.columns), r, strict=True))) for r in want.select(*sorted(got.columns)).fetchall())))
+
+
 def test_shingles_by_words(spark):
     assert len(shingle_set([])) == 0 and len(shingle_set([b"a"])) == 1 and len(shingle_set([b"a"] * 9)) == 1
     assert not set(shingle_set([b"a"] * 4).tolist()) & set(shingle_set([b"a"] * 5).tolist())
