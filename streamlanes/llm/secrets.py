@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "identifier", "weak", "endpoint")
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.A | re.I)
 IDENTIFIER_HINTS = ("client", "user", "login", "account", "access")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", re.A)
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]{4,}""", re.A)
+TARGET = re.compile(r"""[^\s"'<>]{4,}""", re.A)
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -54,53 +54,71 @@ def looks_random(s: str) -> bool:
     return digits >= 2 and letters >= 2 and entropy(s) >= 3.25
 
 
-def near(part: Span, others: list[Span], starts: list[int], longest: int, reach: int, scope: list[int]) -> bool:
-    """Whether one of ``others`` (by start, none longer than ``longest``) lies within ``reach`` in the scope of ``part``."""
-    i = bisect_left(starts, part[1] - reach - longest)
-    own = bisect_left(scope, part[1] + 1)
-    while i < len(others) and others[i][1] <= part[2] + reach:
-        if others[i][2] >= part[1] - reach and bisect_left(scope, others[i][1] + 1) == own:
-            return True
-        i += 1
-    return False
+def endpoints(text: str) -> list[Span]:
+    """Endpoints: every ``://`` with something behind it, back to the first letter of the scheme before it."""
+    out: list[Span] = []
+    at, free = text.find("://"), 0
+    while at >= 0:
+        first = start = at
+        while start > free and (c := text[start - 1]).isascii() and (c.isalnum() or c in "+.-"):
+            start -= 1
+            if c.isalpha():
+                first = start
+        m = TARGET.match(text, at + 3) if first < at else None
+        if m:
+            out.append((5, first, m.end()))
+            free = m.end()
+        at = text.find("://", free if m else at + 1)
+    return out
+
+
+def furthest(spans: list[Span], scopes: list[int]) -> list[int]:
+    """For spans by start, the largest end so far within each one's scope."""
+    out: list[int] = []
+    for i, s in enumerate(spans):
+        out.append(max(s[2], out[-1]) if i and scopes[i] == scopes[i - 1] else s[2])
+    return out
+
+
+def beside(parts: list[Span], others: list[Span], reach: int, breaks: list[int]) -> list[Span]:
+    """The parts that have one of ``others`` within ``reach`` in their own scope; scopes end where ``breaks`` are."""
+    others = sorted(others, key=lambda s: s[1])
+    starts, scopes = [o[1] for o in others], [bisect_right(breaks, o[1]) for o in others]
+    ends = furthest(others, scopes)
+    out = []
+    for p in parts:
+        own = bisect_right(breaks, p[1])
+        # The last of the others in the scope that starts early enough: the largest end up to there decides.
+        i = min(bisect_right(starts, p[2] + reach), bisect_right(scopes, own)) - 1
+        if i >= 0 and scopes[i] == own and ends[i] >= p[1] - reach:
+            out.append(p)
+    return out
 
 
 def linked_spans(text: str, low: str, base: list[Span], reach: int = 200) -> list[Span]:
     """Weak parts with a complement in reach: an identifier or endpoint beside a secret, a weak secret beside either.
 
-    A scope is a stretch without a blank line. Intervals are joined by binary search over sorted starts, so a text of
-    many parts costs its length times a logarithm, and no list of pairs is made.
+    A scope is a stretch without a blank line. Intervals are joined by binary search over sorted starts and running
+    maxima of ends, so a text of many or long parts costs its length times a logarithm, and no list of pairs is made.
     """
     names: list[Span] = []
     if any(h in low for h in IDENTIFIER_HINTS):
         names = [(3, m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
-    ends = [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    ends = endpoints(text) if "://" in text else []
     access = [s for s in base if s[0] == 1]
     if not (names or ends or access):
         return []
-    taken = sorted((s[1], s[2]) for s in base + names + ends)
-    begins = [t[0] for t in taken]
-    widest = max((b - a for a, b in taken), default=0)
+    taken = sorted(base + names + ends, key=lambda s: s[1])
+    begins, upto = [t[1] for t in taken], furthest(taken, [0] * len(taken))
 
     def free(a: int, b: int) -> bool:
-        i = bisect_left(begins, a - widest)
-        while i < len(taken) and taken[i][0] < b:
-            if taken[i][1] > a:
-                return False
-            i += 1
-        return True
+        i = bisect_left(begins, b) - 1
+        return i < 0 or upto[i] <= a
 
     weak = [(4, m.start(), m.end()) for m in WEAK.finditer(text) if looks_random(m[0]) and free(m.start(), m.end())]
-    scope = [m.start() for m in BREAK.finditer(text)]
-    strong = sorted((s for s in base if s[0] != 1), key=lambda s: s[1])
-    secrets = sorted(strong + weak, key=lambda s: s[1])
-    holders = sorted(names + ends + access, key=lambda s: s[1])
-
-    def beside(parts: list[Span], others: list[Span]) -> list[Span]:
-        starts, longest = [o[1] for o in others], max((o[2] - o[1] for o in others), default=0)
-        return [p for p in parts if near(p, others, starts, longest, reach, scope)] if others else []
-
-    return beside(names + ends, secrets) + beside(weak, holders)
+    breaks = [m.start() for m in BREAK.finditer(text)]
+    secrets = [s for s in base if s[0] != 1] + weak
+    return beside(names + ends, secrets, reach, breaks) + beside(weak, names + ends + access, reach, breaks)
 
 
 def spelled(spans: list[Span]) -> str:
@@ -135,7 +153,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     strings are reported only where complementary parts lie within ``reach`` code points and no blank line is between.
     Spans are kind:start:end in code points, end exclusive, by start and then kind.
 
-    A null text is an empty one; ids may be null or repeat; an empty table gives an empty table; other columns are not
-    read. Rows are scanned whole, one at a time: no shuffle, and memory for a batch of texts.
+    A null text is an empty one; ids may be null or repeat, and repeated rows are repeated; an empty table gives an empty
+    table; other columns are not read. Very long texts, tokens and urls are scanned whole, one text at a time, in time
+    about proportional to their length: no shuffle, and memory for a batch of texts. Spans that start together come by
+    kind.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scanner(reach), SCANNED)
