@@ -179,6 +179,10 @@ def write_warc(
     largest id is the response and the others are revisits without a payload. Pages that share the largest id are all
     responses; a null id is smaller than any, and where all ids of a group are null all are responses. Only hashes are
     grouped, after partial sums; payloads move at most once, in a join whose hot keys Spark can split.
+
+    A null url is left out of the record; control characters in a url are percent-encoded. Repeated rows get a record
+    each. Pages of any length are whole records; a file ends after ``file_bytes``, so it may be longer by one page. An
+    empty table gives no files; other columns are not read.
     """
     spark = pages.sparkSession
     ws = Workspace(spark, "warc")
@@ -241,8 +245,8 @@ def _record_reader(with_payload: bool):
                         if whole and base32_sha1(payload) != digest:
                             raise ValueError(f"{path}: the record at {entry['offset']} does not match its digest")
                         size = len(payload) if whole else int(header_of(http)["content-length"])
-                        rows.append((_number(head["warc-record-id"]), size, digest, head["warc-type"], _number(head.get("warc-refers-to")), head.get("warc-target-uri"), payload.decode() if whole else None))
-                        held += 100 + len(payload) * with_payload
+                        rows.append((_number(head["warc-record-id"]), size, digest, head["warc-type"], _number(head.get("warc-refers-to")), head.get("warc-target-uri"), payload.decode() if whole and with_payload else None))
+                        held += 300 + len(head.get("warc-target-uri") or "") + len(payload) * with_payload
                         if held > 1 << 23:
                             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)], schema=schema)
                             rows, held = [], 0
