@@ -20,7 +20,8 @@ OTHER = len(CLASSES)
 _CLASS = np.full(256, OTHER, np.uint8)
 for _i, _members in enumerate(CLASSES):
     _CLASS[np.frombuffer(_members, np.uint8)] = _i
-_BYTE_HASH = np.random.default_rng(3).integers(1, 1 << 62, 256, dtype=np.int64)
+_BYTE_HASH = np.random.default_rng(3).integers(1, 1 << 62, 256, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 WIDTH = OTHER + 1 + 10
 
 
@@ -53,8 +54,13 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         after = np.empty(len(data), bool)
         after[-1], after[:-1] = False, (dark & before)[1:]
         end = np.flatnonzero(dark & ~after)
-        sums = np.cumsum(_BYTE_HASH[data])
-        word = sums[end] - sums[begin] + _BYTE_HASH[data[begin]]
+        # A word's hash weighs each byte by its place, so that words of the same letters differ.
+        since = np.concatenate([[0], begin])
+        place = np.arange(len(data)) - np.repeat(since, np.diff(np.append(since, len(data))))
+        powers = np.multiply.accumulate(np.full(int((end - begin).max()) + 2, _ODD, np.uint64))
+        weighed = np.where(dark, _BYTE_HASH[data] * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
+        sums = np.cumsum(weighed, dtype=np.uint64)
+        word = sums[end] - sums[begin] + weighed[begin]
         home, text = of[begin], starts[begin]
         n_words = np.maximum(np.bincount(home, minlength=total), 1)
 
@@ -127,9 +133,8 @@ class Attention:
 def _encoder():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, _ = encode([batch.column(1)[i].as_py()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["doc_id", "label", "x"])
+            x = pa.array([encode([t.as_py()])[0].astype(np.float32).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["doc_id", "label", "x"])
 
     return run
 
@@ -159,12 +164,15 @@ def _scorer(model: Attention | None):
 
 def train_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 3, held: int = 1, sample_rows: int = 4000, seed: int = 23,
+    folds: int = 3, held: int = 1, sample_rows: int = 4000, sample_bytes: int = 1 << 26, seed: int = 23,
 ) -> Attention | None:
     """The model, learnt from at most about ``sample_rows`` labelled rows outside the held-out fold, half of each label.
 
-    Rows are drawn by a hash of the id. Only the drawn labels are broadcast, so texts are not shuffled. Ids with
-    conflicting labels are left out. None if a label is missing among the rows: then nothing can be learnt.
+    Rows are drawn by a hash of the id, and taken in that order while their texts come to ``sample_bytes`` at most, half
+    for each label, which bounds what the driver holds (a fifth of it in features); each text taken is whole. Only the
+    drawn labels are broadcast, so texts are not shuffled. Ids with conflicting labels, null ids and null labels are
+    left out; a null or empty text is one passage without characters; repeated rows count as often. None if a label is
+    missing among the rows, as with empty tables: then nothing can be learnt. Other columns are not read.
     """
     clean = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     clean = clean.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
@@ -175,7 +183,16 @@ def train_quality(
     drawn = clean.where(u * F.when(F.col("label") == 1, counts[1]).otherwise(counts[0]) < sample_rows / 2)
     drawn = drawn.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label").limit(2 * sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
-    found = rows.select("doc_id", "text", "label").mapInArrow(_encoder(), "doc_id long, label int, x binary").collect()
+    sizes = rows.groupBy("doc_id", "label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + PASSAGE).alias("bytes")).withColumn("u", u).orderBy("u").collect()
+    left, taken = {0: sample_bytes // 2, 1: sample_bytes // 2}, []
+    for r in sizes:
+        if r.bytes <= left[r.label]:
+            left[r.label] -= r.bytes
+            taken.append((r.doc_id,))
+    if not taken:
+        return None
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_encoder(), "doc_id long, label int, x binary").collect()
     found = sorted((r.doc_id, r.label, bytes(r.x)) for r in found)
     if len({k for _, k, _ in found}) < 2:
         return None
@@ -195,7 +212,12 @@ def score_quality(docs: DataFrame, model: Attention | None, *, id_col: str = "do
 
 
 def keep_good(docs: DataFrame, model: Attention | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns, whatever their names.
+
+    A null or empty text is scored as one passage without characters; very long texts by all their passages; a score of
+    exactly 0.5 is kept, and without a model so is every row. Repeated rows stay or go together; null ids are no matter;
+    an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
