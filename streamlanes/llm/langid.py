@@ -16,9 +16,10 @@ from .common import fold
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 20
-LONGEST = 16
-#: Longer runs of letters are scored in stretches of this length.
-STRETCH = 256
+#: Letters after which the forward pass brings its numbers back into range.
+RESCALE = 16
+#: Longer runs of letters are scored alone, place by place instead of many runs at once; the sum is the same. None is learnt from.
+LONG = 256
 UNKNOWN = 1e-7
 START = "▁"
 RUNS = re.compile(r"[^\W\d_]+")
@@ -34,7 +35,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
-        self.longest = min(LONGEST, max(map(len, pieces), default=1))
+        self.longest = max(map(len, pieces), default=1)
         self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         slots = (keys * BASE) >> np.uint64(64 - BITS)
@@ -78,22 +79,50 @@ class Pieces:
         """Log of the sum over all segmentations, for words of one length; ``table`` has a row of 0 and then one for each piece, languages as columns."""
         n, m = len(words[0]), table.shape[1]
         alpha = {0: np.ones((len(words), m))}
-        scale = np.zeros(len(words))
+        scale = np.zeros((len(words), m))
         for start, end, found in self.edges(words):
             if end not in alpha:
                 alpha.pop(end - self.longest - 1, None)
-                if end % LONGEST == 0:  # keep numbers in range
-                    top = alpha[end - 1].max(axis=1)
+                if end % RESCALE == 0:  # keep numbers in range
+                    top = np.where(alpha[end - 1] > 0, alpha[end - 1], 1)
                     scale += np.log(top)
                     for a in alpha.values():
-                        a /= top[:, None]
+                        a /= top
                 alpha[end] = np.zeros((len(words), m))
             some = found > 0
             if some.any():
                 alpha[end][some] += alpha[start][some] * table[found[some]]
             if end - start == 1 and not some.all():
                 alpha[end][~some] += alpha[start][~some] * UNKNOWN
-        return np.log(np.maximum(alpha[n], 1e-300)) + scale[:, None]
+        return np.log(np.maximum(alpha[n], 1e-300)) + scale
+
+    def long_log_likelihood(self, word: str, table: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+        """What ``log_likelihood`` gives for one word of any length: all its stretches are looked up at once, then one pass runs over its places."""
+        n, most, m = len(word), self.longest, table.shape[1]
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        recent, scale = np.zeros((most, m)), np.zeros(m)  # the sums at the last places, the latest first
+        recent[0] = 1
+        # Hashes of a chunk need the letters before it that a piece may reach back to.
+        for s in range(0, n, chunk):
+            low, high = max(0, s - most), min(n, s + chunk)
+            found = np.zeros((high - s, most), np.int32)
+            h = np.zeros(high - low, np.uint64)  # the hash of so many letters that start at each place
+            for size in range(1, min(most, high - low) + 1):
+                h = h[: high - low - size + 1] * BASE + codes[low + size - 1 : high]
+                ends = np.arange(low + size, high + 1)
+                own = ends > s
+                found[ends[own] - s - 1, size - 1] = self.find(h[own])
+            p = table[found]
+            p[found[:, 0] == 0, 0] = UNKNOWN
+            for i in range(high - s):
+                now = (recent * p[i]).sum(axis=0)
+                recent[1:] = recent[:-1]
+                recent[0] = now
+                if (s + i + 1) % RESCALE == 0:
+                    top = np.where(now > 0, now, 1)
+                    scale += np.log(top)
+                    recent /= top
+        return np.log(np.maximum(recent[0], 1e-300)) + scale
 
     def expected(self, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts of words of one length under one language's probabilities ``p`` (row 0 is 0)."""
@@ -132,20 +161,17 @@ def spm_pieces(path: str) -> list[str]:
     return sorted({p for p in found if p.removeprefix(START).isalpha() or p == START})
 
 
-def marked(run: str) -> list[str]:
-    """A run of letters as what is segmented: its letters behind the start mark, long ones in stretches."""
+def marked(run: str) -> str:
+    """A run of letters as what is segmented: its letters behind the start mark; empty if it has none."""
     letters = run if run.isalpha() else "".join(c for c in run if c.isalpha())
-    if not letters:
-        return []
-    word = START + letters
-    return [word] if len(word) <= STRETCH else [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
+    return START + letters if letters else ""
 
 
 def train_pieces(texts: Iterable[tuple[str, str]], vocabulary: Pieces, rounds: int = 2, smooth: float = 200.0) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities by expectation maximisation over (lang, text), smoothed by all languages' mean."""
     counts: dict[str, Counter] = {}
     for lang, text in texts:
-        counts.setdefault(lang, Counter()).update(w for run in letters_of(text) for w in marked(run))
+        counts.setdefault(lang, Counter()).update(w for w in map(marked, letters_of(text)) if 0 < len(w) <= LONG)
     langs = sorted(k for k, c in counts.items() if c)
     size = len(vocabulary.pieces) + 1
     start = np.array([0.0] + [10.0 ** (-0.5 * (8 - min(8, len(x)))) for x in vocabulary.pieces])
@@ -182,17 +208,17 @@ class Scorer:
         at = len(self.rows)
         if at + len(runs) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros((max(len(self.values), len(runs)), self.values.shape[1]))])
-        parts = [marked(r) for r in runs]
         likely = np.zeros((len(runs), self.values.shape[1]))
         place: dict[str, list[int]] = {}
-        for i, ws in enumerate(parts):
-            for w in ws:
+        for i, w in enumerate(map(marked, runs)):
+            if len(w) > LONG:
+                likely[i] = self.vocabulary.long_log_likelihood(w, self.table)
+            elif w:
                 place.setdefault(w, []).append(i)
         for words in by_length(place):
             got = self.vocabulary.log_likelihood(words, self.table)
             for w, v in zip(words, got, strict=True):
-                for i in place[w]:
-                    likely[i] += v
+                likely[place[w]] = v
         self.values[at : at + len(runs)] = likely
         self.rows.update(zip(runs, range(at, at + len(runs)), strict=True))
 
@@ -248,8 +274,8 @@ def identify_language(
 
     For every language, piece probabilities over the pieces of ``vocabulary`` (a sentencepiece file) are learnt from
     about ``sample_rows`` rows with that label, drawn by a hash of the id among rows outside the held-out fold. A text
-    is its runs of letters in lower case; each run's probability sums all its segmentations by a forward pass (runs over
-    256 letters in stretches), a text's multiplies its runs'. The likeliest language, all held equally likely before,
+    is its runs of letters in lower case; each run's probability sums all its segmentations by a forward pass over the
+    whole run, a text's multiplies its runs'. The likeliest language, all held equally likely before,
     is predicted; ``score`` is its probability. Every text is read whole.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if no labelled row can be

@@ -37,6 +37,25 @@ def test_archives_round_trip(spark):
     assert through(pages(spark, [])).count() == 0
 
 
+def test_reader_keeps_no_payloads_it_does_not_return(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = ("<p>" + "word " * 20_000).encode()
+    z, raws = zlib.compressobj(1, zlib.DEFLATED, 31), (warc.record(i, "http://x", page, warc.base32_sha1(page), len(page), None, "d") for i in range(1500))
+    src, out = str(tmp_path / "a.warc.gz"), str(tmp_path / "b.warc.gz")
+    with open(src, "wb") as f:
+        for r in raws:
+            f.write(z.compress(r))
+        f.write(z.flush())
+    assert warc.normalise(src, out, f"{out}.index", 1) == 1500
+    tracemalloc.start()
+    got = sum(b.num_rows for b in warc._record_reader(False)(iter([pa.RecordBatch.from_arrays([pa.array([out])], names=["path"])])))
+    assert got == 1500 and tracemalloc.get_traced_memory()[1] < 20_000_000  # of 150 MB of pages
+    tracemalloc.stop()
+
+
 def test_normaliser_writes_members_and_finds_cut_off_files(tmp_path):
     raws = [warc.record(i, "http://x", os.urandom(5000 * (i % 3)), "D", 0, None, "d") for i in range(300)]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)

@@ -100,6 +100,39 @@ def test_weak_parts_are_reported_together_only():
     assert kinds("user: admin1 password=hunter22") == ["identifier"]
 
 
+def brute_links(parts, others, reach, breaks):
+    scope = lambda s: sum(b <= s[1] for b in breaks)
+    return [p for p in parts if any(o[1] <= p[2] + reach and o[2] >= p[1] - reach and scope(o) == scope(p) for o in others)]
+
+
+def test_interval_join_matches_brute_force():
+    rng = random.Random(7)
+    span = lambda k: (k, a := rng.randrange(400), a + rng.choice([1, 5, 30, 200]))
+    for _ in range(300):
+        parts, others = [span(3) for _ in range(rng.randint(0, 12))], [span(4) for _ in range(rng.randint(0, 12))]
+        breaks = sorted(rng.sample(range(400), rng.randint(0, 4)))
+        assert secrets.beside(parts, others, 20, breaks) == brute_links(parts, others, 20, breaks)
+
+
+def test_endpoints_match_a_plain_pattern():
+    rng = random.Random(9)
+    plain = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]{4,}""", re.A)
+    for _ in range(3000):
+        t = "".join(rng.choices(["a", "Z", "1", "+", "://", "/", ":", " ", "é", "abcd", "\"", "https"], k=rng.randint(0, 14)))
+        assert [s[1:] for s in secrets.endpoints(t)] == [m.span() for m in plain.finditer(t)]
+
+
+def test_many_and_long_parts_take_no_square_of_time(spark):
+    import time
+
+    parts = " ".join(f"user = u{i} Zk39xQw7LmP0vTr5sYb{i:05d}" for i in range(5000))
+    hostile = [parts + " http://x/" + "q" * 1_000_000, "a" * 400_000 + "://" + " token=" + "x" * 400_000 + " user: abc", "\n \n" * 100_000 + parts]
+    df = spark.createDataFrame([(1, t) for t in hostile], "doc_id long, text string")
+    began = time.time()
+    assert secrets.scan_secrets(df).count() == 3 and secrets.scan_secrets(df).agg({"n_assign": "sum"}).first()[0] == 1
+    assert time.time() - began < 30
+
+
 def test_urls(spark):
     cases = [
         (None, "", "", None), ("no scheme", "", "", None), ("HTTP://WWW.Example.COM/en/A?b", "www.example.com", "/en/A", "www.example.com/en/"), ("http://example.com/en/x", "example.com", "/en/x", "example.com/en/"),
@@ -134,6 +167,10 @@ def test_forward_pass_sums_all_segmentations():
     v, p = langid.Pieces(pieces), np.append(0.0, np.random.default_rng(0).random(7) / 7)
     for word in ("▁abab", "▁xaby", "▁aaaa", "▁" + "ab" * 60):
         assert v.log_likelihood([word], p[:, None])[0, 0] == pytest.approx(brute_likelihood(word, pieces, p), rel=1e-9)
+    rng = random.Random(3)
+    for n in (1, 15, 16, 17, 300, 2000):  # long runs: the same sum, place by place
+        word, q = "▁" + "".join(rng.choices("abx", k=n)), np.stack([p, np.append(0.0, np.roll(p[1:], 1))], axis=1)
+        assert v.long_log_likelihood(word, q, chunk=700) == pytest.approx(v.log_likelihood([word], q)[0], rel=1e-9)
     counts = v.expected(["▁aba"], np.array([2.0]), p)
     assert sum(c * len(x) for c, x in zip(counts[1:], pieces, strict=True)) == pytest.approx(2 * 4)  # every segmentation covers the word
 
@@ -143,6 +180,7 @@ def test_language_of_held_out_rows(spark):
     held = got[got.held_out & got.lang.notna()]
     assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.97
     df = spark.createDataFrame([(1, None, "en", "s", 1, 0.0), (2, "123 !²", "en", "s", 1, 0.0), (None, "abc", None, "s", 1, 0.0), (3, "x" * 30_000, "en", None, 1, 0.0)], DOCS)
+    df = df.unionByName(df.where("doc_id = 3"))
     rows = {r.doc_id: r for r in langid.identify_language(df, vocabulary("piece_bpe_32k.model")).collect()}
     assert rows[1].lang_pred == rows[2].lang_pred == "und" and rows[1].score == 0 and rows[None].held_out is False
     assert rows[3].lang_pred in ("en", "und") and 0 <= rows[3].score <= 1
@@ -167,6 +205,8 @@ def test_gradient_of_the_attention_model():
         m.p[k][at] -= 2e-6
         assert (up - loss()) / 2e-6 == pytest.approx(v[at], abs=1e-6)
         m.p[k] = old
+    x, _ = quality.encode(["on no on no stop pots", "on on on on stop stop"])
+    assert x[0, quality.OTHER + 1] == 0 and x[1, quality.OTHER + 1] == pytest.approx(4 / 6)  # letters in another order are another word
     one = quality.encode(["a b c" * 500, "", None, "x x x"])
     alone = [quality.encode([t]) for t in ("a b c" * 500, "", None, "x x x")]
     assert np.allclose(one[0], np.concatenate([a[0] for a in alone])) and one[1].tolist() == [5, 1, 1, 1]
@@ -179,9 +219,15 @@ def test_quality_of_held_out_rows(spark):
     df = spark.createDataFrame([(1, None, "en", "s", 1, 0.0), (None, "", None, None, 1, 0.0), (2, "ok " * 50_000, "en", "s", 1, 0.0)], DOCS)
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.train_quality(df, labels) is None
+    both = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    texts = spark.createDataFrame([(i, ("plain words here. " if i % 2 else "!! || ## ") * (20_000 if i < 4 else 50)) for i in range(60)], "doc_id long, text string")
+    small = quality.train_quality(texts, both, sample_bytes=100_000)  # the longest texts don't fit in the bound
+    assert small is not None and quality.train_quality(texts, both, sample_bytes=100) is None
+    assert {r.doc_id % 2 == r.predicted for r in quality.score_quality(texts, small).collect()} == {True}
+    df = df.unionByName(df.where("doc_id = 2"))
     rows = quality.score_quality(df, quality.Attention()).collect()
-    assert len(rows) == 3 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert quality.score_quality(df.where("false"), None).count() == 0 and quality.keep_good(df, None).count() == 3
+    assert len(rows) == 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert quality.score_quality(df.where("false"), None).count() == 0 and quality.keep_good(df, None).count() == 4
 
 
 def targets_by_steps(sizes, weights=(5, 2, 1), share=1.5, limit=2.0):
