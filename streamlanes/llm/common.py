@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word, to Spark's and Java's regular expressions. ``bytes.split()`` finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Shared folder where the session names none, as in tests on one machine.
+#: Shared folder where a session on one machine names none, as in tests.
 LOCAL_SHARED = "/tmp/streamlanes-shared"
 
 
@@ -22,8 +23,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: that of spark.checkpoint.dir, which a cluster must name."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 class Workspace:
@@ -74,6 +78,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,217 +3,249 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace, unused_name
+
 TOKEN = re.compile(r"\w+")
-_BASE = 0x9E3779B97F4A7C15
-_WORD = (1 << 64) - 1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter that keeps most windows of documents from being shuffled; 2 MB whatever the benchmark's size.
+FILTER_BITS = 24
 
 
 def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def window_hashes(tokens: Sequence[int], size: int) -> list[int]:
-    """Karp-Rabin hashes of all windows of ``size`` tokens, rolled from one to the next."""
-    if len(tokens) < size:
-        return []
-    lead, h = pow(_BASE, size - 1, 1 << 64), 0
-    for t in tokens[:size]:
-        h = (h * _BASE + t) & _WORD
-    out = [h]
-    for old, new in zip(tokens, tokens[size:], strict=False):
-        h = ((h - old * lead) * _BASE + new) & _WORD
-        out.append(h)
-    return out
+def token_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each token. 0 stands for no token."""
+    found = tokens_of(text)
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) or 1 for t in found), np.uint64, len(found))
+
+
+def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of all windows of ``size`` tokens, from the hashes of all beginnings."""
+    n = len(tokens) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    if size <= 8:
+        h = np.zeros(n, np.uint64)
+        for j in range(size):
+            h = h * _BASE + tokens[j : n + j]
+        return h
+    # h(i) = sum of t[j] B^(size - 1 - (j - i)): by doubling, windows of 2k are two windows of k side by side.
+    half = window_hashes(tokens, size // 2)
+    h = half[: n + size - 2 * (size // 2)] * np.power(_BASE, np.uint64(size // 2)) + half[size // 2 : n + size - size // 2]
+    return h if size % 2 == 0 else h[:n] * _BASE + tokens[size - 1 :]
+
+
+def _free(used: np.ndarray, size: int) -> np.ndarray:
+    """Starts of windows of ``size`` with no token used."""
+    upto = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(upto[size:] == upto[:-size]) if len(used) >= size else np.empty(0, np.int64)
 
 
-def greedy_tiles(pattern: Sequence[int], text: Sequence[int], least: int) -> list[tuple[int, int, int]]:
+def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (start in pattern, start in text, length): longest non-overlapping common stretches first, none below ``least``.
 
-    The running Karp-Rabin scheme: a scan at a search length hashes the windows of what is not marked yet and extends
-    equal ones; a match over twice the search length restarts the scan there; else matches are marked from the longest
-    down, what is overlapped by then is left to later scans, and the search length is halved down to ``least``. A token
-    of 0 in ``text`` never matches.
+    Karp-Rabin runs over what is not marked yet: a search length that has a match is raised, one that has none lowered,
+    until the longest is found; all matches of that length are marked, in the pattern's and then the text's order, but
+    those that one marked before overlaps; then the search runs on for shorter ones. Each round ends a length, and
+    lengths add up to the pattern's at most, so rounds are few even where all tokens are equal. A token of 0 never
+    matches.
     """
-    used_p, used_t = [False] * len(pattern), [t == 0 for t in text]
+    used_p, used_t = pattern == 0, text == 0
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(pattern), 20))
-
-    def windows(tokens: Sequence[int], used: list[bool]) -> Iterator[tuple[int, int]]:
-        run = 0
-        for i, h in enumerate(window_hashes(tokens, size)):
-            if i == 0:
-                run = next((k + 1 for k in range(size - 1, -1, -1) if used[k]), 0)
-            elif used[i + size - 1]:
-                run = i + size
-            if i >= run:
-                yield i, h
-
-    while True:
-        at: dict[int, list[int]] = defaultdict(list)
-        for i, h in windows(text, used_t):
-            at[h].append(i)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        longest = 0
-        for p, h in windows(pattern, used_p):
-            for t in at.get(h, ()):
-                n = 0
-                while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not used_p[p + n] and not used_t[t + n]:
-                    n += 1
-                if n >= size:
-                    found[n].append((p, t))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        before = len(tiles)
-        rests = False
-        for n in sorted(found, reverse=True):
-            for p, t in found[n]:
-                if any(used_p[p : p + n]) or any(used_t[t : t + n]):
-                    rests = True  # what is left of it may still be long enough
-                    continue
-                used_p[p : p + n] = [True] * n
-                used_t[t : t + n] = [True] * n
-                tiles.append((p, t, n))
-        if rests and len(tiles) > before:
-            continue  # scan again at this length: each such scan has marked something, so they end
-        if size == least:
-            return tiles
-        size = size // 2 if size > 2 * least else least
-
-
-class Benchmark:
-    """Items of a benchmark as token numbers, and the windows of ``least`` tokens that lead to them."""
-
-    def __init__(self, items: Sequence[tuple[int, str]], least: int, threshold: float):
-        self.least, self.threshold = least, threshold
-        self.vocabulary: dict[str, int] = {}
-        self.ids, self.items = [], []
-        seeds: dict[int, set[int]] = defaultdict(set)
-        for item_id, text in items:
-            tokens = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens_of(text)]
-            if item_id is None or len(tokens) < least:
-                continue
-            for h in window_hashes(tokens, least):
-                seeds[h].add(len(self.items))
-            self.ids.append(item_id)
-            self.items.append(tokens)
-        self.seeds = np.array(sorted(seeds), np.uint64)
-        self.owners = [sorted(seeds[int(h)]) for h in self.seeds]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.seeds >> np.uint64(44)] = True
-
-    def check(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
-        """(item id, item tokens, tokens covered, tiles, coverage) of every item that ``text`` covers by the threshold or more."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in tokens_of(text)], np.uint64)
-        n = len(ids) - self.least + 1
-        if n < 1 or not len(self.seeds):
-            return []
-        h = np.zeros(n, np.uint64)
-        for j in range(self.least):
-            h = h * np.uint64(_BASE) + ids[j : n + j]
-        maybe = np.flatnonzero(self.bits[h >> np.uint64(44)])
-        if not len(maybe):
-            return []
-        place = np.minimum(np.searchsorted(self.seeds, h[maybe]), len(self.seeds) - 1)
-        hit = self.seeds[place] == h[maybe]
-        starts: dict[int, list[int]] = defaultdict(list)
-        for at, k in zip(maybe[hit].tolist(), place[hit].tolist(), strict=True):
-            for item in self.owners[k]:
-                starts[item].append(at)
-        out = []
-        for item, ats in sorted(starts.items()):
-            tokens = self.items[item]
-            if len({int(x) for x in h[ats]}) + self.least - 1 < self.threshold * len(tokens) and self._most(tokens, {int(x) for x in h[ats]}) < self.threshold * len(tokens):
+    most = min(len(pattern), len(text))
+
+    def matches(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        p, t = _free(used_p, size), _free(used_t, size)
+        hp, ht = window_hashes(pattern, size)[p], window_hashes(text, size)[t]
+        keep = np.isin(hp, ht)
+        return p[keep], hp[keep], t, ht
+
+    while most >= least:
+        low, high, size = least - 1, most, least
+        while low < high:  # the longest length with a match; mostly short ones match or none
+            if len(matches(size)[0]):
+                low = size
+                size = min(high, max(size + 1, min(2 * size, (size + high + 1) // 2)))
+            else:
+                high = size - 1
+                size = (low + high + 1) // 2
+        if low < least:
+            break
+        p, hp, t, ht = matches(low)
+        keep = np.isin(ht, hp)
+        order = np.argsort(ht[keep], kind="stable")
+        t, ht = t[keep][order], ht[keep][order]
+        at = dict(zip(*(x.tolist() for x in (np.unique(ht), np.searchsorted(ht, np.unique(ht)))), strict=True))
+        for i, h in zip(p.tolist(), hp.tolist(), strict=True):
+            if used_p[i : i + low].any():
                 continue
-            inside = np.zeros(len(ids), bool)
-            for at in ats:
-                inside[at : at + self.least] = True
-            kept = np.flatnonzero(inside)
-            # Tiles lie within covered stretches, so only those are tiled; a 0 parts them.
-            gaps = np.flatnonzero(np.diff(kept) > 1) + 1
-            stretch = np.insert(ids[kept], gaps, 0).tolist()
-            tiles = greedy_tiles(tokens, stretch, self.least)
-            covered = sum(t[2] for t in tiles)
-            if covered >= self.threshold * len(tokens):
-                out.append((self.ids[item], len(tokens), covered, len(tiles), covered / len(tokens)))
-        return out
-
-    def _most(self, tokens: list[int], seen: set[int]) -> int:
-        """Tokens of an item within windows that the text has: no tiling covers more."""
-        inside = [False] * len(tokens)
-        for i, h in enumerate(window_hashes(tokens, self.least)):
-            if h in seen:
-                inside[i : i + self.least] = [True] * self.least
-        return sum(inside)
-
-
-def benchmark_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", least: int = 5, threshold: float = 0.8, block_chars: int = 1 << 24) -> list[Benchmark]:
-    """The benchmark as indexes of at most ``block_chars`` characters each (one item at least), to be sent to all tasks in turn."""
-    blocks, held, size = [], [], 0
-    for row in benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(row.text) > block_chars:
-            blocks.append(Benchmark(held, least, threshold))
-            held, size = [], 0
-        held.append((row.item_id, row.text))
-        size += len(row.text)
-    if held:
-        blocks.append(Benchmark(held, least, threshold))
-    return blocks
-
-
-FOUND = "doc_id long, item_id long, item_tokens long, covered long, tiles long, coverage double"
-
-
-def _finder(block: Benchmark):
+            k = at[h]
+            while k < len(t) and ht[k] == h and used_t[t[k] : t[k] + low].any():
+                k += 1
+            at[h] = k  # what is used stays used
+            if k < len(t) and ht[k] == h and (pattern[i : i + low] == text[t[k] : t[k] + low]).all():
+                used_p[i : i + low] = used_t[t[k] : t[k] + low] = True
+                tiles.append((i, int(t[k]), low))
+        most = low - 1
+    return tiles
+
+
+def coverage(item: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int]:
+    """Tokens of ``item`` that tiles of ``least`` (of all its tokens, if it has fewer) cover, and the tiles."""
+    least = min(least, len(item))
+    if not least or len(text) < least:
+        return 0, 0
+    # Tiles lie within windows that both have, so only those stretches of the text are tiled; a 0 parts them.
+    hit = np.isin(window_hashes(text, least), window_hashes(item, least))
+    inside = np.convolve(hit, np.ones(least, int))[: len(text)] > 0
+    kept = np.flatnonzero(inside)
+    if not len(kept):
+        return 0, 0
+    tiles = greedy_tiles(item, np.insert(text[kept], np.flatnonzero(np.diff(kept) > 1) + 1, 0), least)
+    return sum(t[2] for t in tiles), len(tiles)
+
+
+ITEMS = "item long, item_id long, text string, size int, h array<long>, times array<int>"
+
+
+def _seeder(least: int):
+    """Items' windows of ``least`` tokens (of all tokens for shorter items), each once with the number of its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for row, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = token_hashes(text)
+                if len(t):
+                    h, n = np.unique(window_hashes(t, min(least, len(t))).view(np.int64), return_counts=True)
+                    for c, x in zip(cols, (row, item_id, text, len(t), h, n.astype(np.int32)), strict=True):
+                        c.append(x)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item", "item_id", "text", "size", "h", "times"])
+
+    return run
+
+
+def _window_finder(sizes: list[int], bits: np.ndarray):
+    """Windows of texts, of ``sizes`` tokens, that pass the filter: each once for a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 5 + [pa.float64()]
         for batch in batches:
-            rows = [(doc_id, *f) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for f in block.check(text.as_py())]
+            keys, found = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = token_hashes(text.as_py())
+                for size in sizes:
+                    h = window_hashes(t, size)
+                    slot = h >> np.uint64(64 - FILTER_BITS)
+                    h = np.unique(h[bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0])
+                    keys += [key] * len(h)
+                    found.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["key", "h"])
+
+    return run
+
+
+def _tiler(least: int, threshold: float):
+    types = [pa.binary(), *[pa.int64()] * 4, pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, last, tokens = [], None, np.empty(0, np.uint64)
+            for key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, tokens = key, token_hashes(text)
+                p = token_hashes(item)
+                covered, tiles = coverage(p, tokens, least)
+                if covered >= threshold * len(p):
+                    rows.append((key, item_id, len(p), covered, tiles, covered / len(p)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["key", "item_id", "item_tokens", "covered", "tiles", "coverage"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 5, threshold: float = 0.8, block_chars: int = 1 << 24) -> DataFrame:
+def _text_key(column: str) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
+
+
+def _contaminated(texts: DataFrame, benchmark: DataFrame, least: int, threshold: float, shortest: int, common: int = 100) -> DataFrame:
+    """(key, item_id, item_tokens, covered, tiles, coverage) of the texts (key, text) that contain an item, each text once.
+
+    Items' windows are a table, the seeds, which a shuffle joins to the texts' windows; a filter of fixed size, made of
+    the seeds, goes to all tasks before and keeps windows that no item has from being shuffled. An item of n tokens of
+    which ``threshold`` lie in tiles of ``least`` or more has threshold * n / least of its windows in the text at least:
+    only pairs with so many are tiled. Windows of more than ``common`` items lead to none as long as an item can do
+    without them, that is has fewer of them than it needs.
+    """
+    ws = Workspace(texts.sparkSession, "tiling")
+    given = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = ws.stage(given.mapInArrow(_seeder(least), ITEMS).where(F.col("size") >= shortest), "items", batch_rows=200)
+    places = items.dropDuplicates(["item"]).select("item", "size", F.explode(F.arrays_zip("h", "times")).alias("w")).select("item", "size", "w.h", "w.times")
+    owners = ws.stage(places.groupBy("h").agg(F.count("*").alias("owners")), "owners")
+    need = F.ceil(F.lit(threshold) * F.col("size") / least).cast("int")
+    upto = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("owners"), "h"))
+    ranked = places.join(owners, "h").withColumn("upto", upto).withColumn("spared", (F.col("owners") > common) & (F.col("upto") < need) & (F.col("size") >= least))
+    ranked = ranked.withColumn("need", F.greatest(F.lit(1), need - F.coalesce(F.max(F.when(F.col("spared"), F.col("upto"))).over(Window.partitionBy("item")), F.lit(0))).cast("int"))
+    seeds = ws.stage(ranked.where("NOT spared").select("h", "item", "times", F.when(F.col("size") < least, 1).otherwise(F.col("need")).alias("need")), "seeds")
+    slots = seeds.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("slot")).distinct()
+    words = slots.groupBy(F.expr("CAST(shiftright(slot, 6) AS INT)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("word"))
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    for r in words.collect():  # 2^18 at most
+        bits[r.at] = r.word & 0xFFFFFFFFFFFFFFFF
+    sizes = sorted(r.size for r in items.select(F.least("size", F.lit(least)).alias("size")).distinct().collect())
+    windows = ws.stage(texts.select("key", "text").mapInArrow(_window_finder(sizes, bits), "key binary, h long"), "windows", batch_rows=500)
+    met = windows.distinct().join(seeds, "h").groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("need").alias("need"))
+    pairs = ws.stage(met.where("places >= need").select("key", "item"), "pairs")
+    some = texts.join(pairs.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text"))
+    rows = pairs.join(ws.stage(some, "texts"), "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "text", "item_id", "item_text")
+    return ws.stage(rows.mapInArrow(_tiler(least, threshold), "key binary, item_id long, item_tokens long, covered long, tiles long, coverage double"), "found", batch_rows=200)
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    least: int = 5, threshold: float = 0.8, shortest: int = 1,
+) -> DataFrame:
     """(doc_id, item_id, item_tokens, covered, tiles, coverage) of every document and benchmark item it contains.
 
-    Words are compared in lower case without punctuation. An item counts as contained if tiles of ``least`` words or
-    more, in whatever order they stand in the document, cover ``threshold`` of its words. Windows of ``least`` words
-    shared with an item (seeds) lead to the pairs that are tiled; what the seeds leave uncovered no tile can cover, so
-    none is missed. Documents are read whole, once for each block of the benchmark, and not shuffled.
+    Words are compared in lower case without punctuation, by 64-bit hashes. An item counts as contained if tiles of
+    ``least`` words or more, in whatever order they stand in the document, cover ``threshold`` of its words. An item of
+    fewer words is contained where it stands whole; items below ``shortest`` words are left out. Windows of ``least``
+    words shared with an item (seeds) lead to the pairs that are tiled, and none that can reach the threshold is missed.
+    Neither table is gathered anywhere: windows that pass a filter of 2 MB are shuffled, and the texts of pairs.
+
+    Null or empty texts contain nothing; items that are null, empty or have a null id are contained in nothing. Very
+    long texts and texts of one repeated word are tiled whole. Of tiles of equal length the item's first is marked,
+    where the text has it first. Null document ids are kept as null; repeated rows are repeated; repeated items too.
+    Empty tables give an empty table; other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _text_key("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    found = _contaminated(rows.select("key", "text"), items, least, threshold, shortest)
+    return rows.select("key", "doc_id").join(found, "key").select("doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5, threshold: float = 0.8,
+    shortest: int = 5,
+) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, with all their columns, whatever their names.
 
-    Null or empty texts contain nothing; items that are null, have a null id or fewer than ``least`` words are
-    contained in nothing. Null document ids are kept as null; repeated rows are repeated; repeated items too. Empty
-    tables give an empty table; other columns are not read.
+    Items as in ``find_contamination``, but those below ``shortest`` words do not count: a word or two say nothing of
+    where a text comes from. Null or empty texts stay; equal texts stay or go together; null ids are no matter; empty
+    tables are fine.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = benchmark_blocks(benchmark, least=least, threshold=threshold, block_chars=block_chars)
-    parts = [rows.mapInArrow(_finder(b), FOUND) for b in blocks or [Benchmark([], least, threshold)]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", least: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns."""
-    for block in benchmark_blocks(benchmark, least=least, threshold=threshold):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Benchmark = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not block.check(t.as_py()) for t in texts], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    found = _contaminated(docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("text")), items, least, threshold, shortest)
+    key = unused_name(docs, "text_key")
+    return docs.withColumn(key, _text_key(text_col)).join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(docs.columns)

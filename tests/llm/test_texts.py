@@ -39,7 +39,44 @@ def test_tiling_matches_brute_force():
     for _ in range(400):
         p = [rng.randint(1, 3) for _ in range(rng.randint(1, 14))]
         t = [rng.randint(0, 3) for _ in range(rng.randint(0, 30))]
-        assert sorted(k for _, _, k in decontam.greedy_tiles(p, t, 3)) == sorted(brute_tiles(p, t, 3))
+        got = decontam.greedy_tiles(np.array(p, np.uint64), np.array(t, np.uint64), 3)
+        assert sorted(k for _, _, k in got) == sorted(brute_tiles(p, t, 3))
+        assert all(p[i : i + k] == t[j : j + k] for i, j, k in got)
+    for size in (1, 8, 9, 16, 23, 50):  # windows by doubling
+        x = np.array([rng.randint(1, 2) for _ in range(60)], np.uint64)
+        h = decontam.window_hashes(x, size).tolist()
+        plain = ["".join(map(str, x[i : i + size])) for i in range(61 - size)]
+        assert len(h) == len(plain) and all((h[i] == h[j]) == (plain[i] == plain[j]) for i in range(len(h)) for j in range(i))
+
+
+def test_texts_of_equal_words_take_seconds(spark):
+    import time
+
+    began = time.time()
+    bench = spark.createDataFrame([(1, "the " * 2000), (2, "a b " * 900), (3, "the " * 120 + "end of it all now")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "the " * 20_000), (2, "a b " * 10_000), (3, "the a b " * 6000), (4, "The " * 1000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(df, bench).collect()) == [(1, 1), (1, 3), (2, 2), (4, 3)]
+    assert time.time() - began < 40
+
+
+def test_contamination_matches_tiling_of_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(40)]
+    docs = [(i, " ".join(w for _ in range(3) for w in rng.choice([rng.choices(words, k=12), rng.choice(items)[1].split()[rng.randint(0, 3):]]))) for i in range(120)]
+    want = set()
+    for d, text in docs:
+        t = decontam.token_hashes(text).tolist()
+        for i, item in items:
+            p = decontam.token_hashes(item).tolist()
+            if sum(brute_tiles(p, t, min(5, len(p)))) >= 0.8 * len(p):
+                want.add((d, i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert want and {(r.doc_id, r.item_id) for r in decontam.find_contamination(df, bench).collect()} == want
+    rows = df.select("doc_id", "text")
+    keyed = rows.select(decontam._text_key("text").alias("key"), "text")
+    rare = decontam._contaminated(keyed, bench, 5, 0.8, 1, common=1).join(rows.select(decontam._text_key("text").alias("key"), "doc_id"), "key")
+    assert {(r.doc_id, r.item_id) for r in rare.collect()} == want  # with common windows spared too
 
 
 def test_contamination(spark):
@@ -50,8 +87,14 @@ def test_contamination(spark):
     df = spark.createDataFrame([(*r, "en", "s", 1, 0.5) for r in rows], DOCS)
     got = {r.doc_id: r for r in decontam.find_contamination(df, bench).collect()}
     assert set(got) == {1, 2, None, 8, 9} and got[2].tiles == 2 and got[2].coverage == 1.0
-    two = decontam.find_contamination(df, bench.unionByName(bench.selectExpr("item_id + 10 AS item_id", "text")), block_chars=1)
-    assert {r.item_id for r in two.collect()} == {1, 11}
+    two = decontam.find_contamination(df, bench.unionByName(bench.selectExpr("item_id + 10 AS item_id", "text")).unionByName(bench))
+    assert sorted(r.item_id for r in two.where("doc_id = 1").collect()) == [1, 1, 11]
+    short = decontam.find_contamination(df.selectExpr("doc_id", "'Too short, an item!' AS text"), bench)
+    assert {r.item_id for r in short.collect()} == {2}  # whole
+    clash = df.withColumnRenamed("u", "TEXT_KEY").withColumnRenamed("size", "key").withColumnRenamed("source", "h")
+    left = decontam.drop_contaminated(clash, bench)
+    assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7]
+    assert decontam.drop_contaminated(df.where("false"), bench).count() == 0 and decontam.drop_contaminated(df, bench.where("false")).count() == 9
     assert sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect()) == [3, 4, 5, 7]
     assert decontam.find_contamination(df, bench.where("false")).count() == 0 and decontam.find_contamination(df.where("false"), bench).count() == 0
 
