@@ -70,3 +70,62 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id <> first THEN first END AS refers_to, url
 FROM firsts
 """
+
+MIX = r"""
+WITH RECURSIVE
+given AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+rows AS (
+  SELECT *, len(bin(size))::INT AS class, row_number() OVER () AS k,
+    (('0x' || substr(md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, chr(1)), size::VARCHAR, coalesce(source, chr(1)))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM given
+),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM rows GROUP BY source),
+filled AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_before,
+    sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from,
+    row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS place
+  FROM sizes
+),
+levels AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM sizes) - full_before) / w_from AS level FROM filled),
+targets AS (
+  SELECT source, source_size, CASE WHEN lvl IS NULL THEN cap ELSE least(cap, lvl * w) END AS target
+  FROM (SELECT *, (SELECT l.level FROM levels l WHERE l.level * l.w < l.cap ORDER BY l.place LIMIT 1) AS lvl FROM levels)
+),
+classes AS (SELECT r.source, class, sum(size)::BIGINT AS words, pow(2.0::DOUBLE, -0.25::DOUBLE * class) AS weight FROM rows r GROUP BY r.source, class HAVING sum(size) > 0),
+shares AS (
+  SELECT c.*, t.target,
+    coalesce(sum(2.0::DOUBLE * words) OVER (PARTITION BY c.source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_before,
+    sum(words * weight) OVER (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS share_from
+  FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+),
+steps AS (SELECT *, (target - full_before) / share_from AS level FROM shares),
+firsts AS (SELECT source, arg_min(level, class) AS lvl FROM steps WHERE level * weight < 2.0 GROUP BY source),
+rates AS (
+  SELECT s.source, s.class, words, CASE WHEN f.lvl IS NULL THEN 2.0 ELSE least(2.0, f.lvl * weight) END AS rate
+  FROM steps s LEFT JOIN firsts f ON s.source IS NOT DISTINCT FROM f.source
+),
+gaps AS (
+  SELECT t.source, t.target, greatest(0, floor(t.target)::BIGINT - coalesce((SELECT sum(floor(r.rate)::BIGINT * r.words) FROM rates r WHERE r.source IS NOT DISTINCT FROM t.source), 0))::BIGINT AS gap
+  FROM targets t
+),
+rated AS (
+  SELECT r.*, floor(q.rate)::BIGINT AS whole, q.rate - floor(q.rate) AS p FROM rows r JOIN rates q ON r.source IS NOT DISTINCT FROM q.source AND r.class = q.class WHERE r.size > 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY u * (1 - p) / (u * (1 - p) + (1 - u) * p), k) AS i FROM rated WHERE p > 0
+),
+walk(source, target, i, most, gap, shut, k, took) AS (
+  SELECT source, target, 0::BIGINT, gap, gap, gap <= 0, NULL::BIGINT, false FROM gaps
+  UNION ALL
+  SELECT w.source, w.target, r.i,
+    CASE WHEN NOT w.shut AND r.size <= w.most AND r.size > w.gap THEN w.gap ELSE w.most END,
+    CASE WHEN NOT w.shut AND r.size <= w.most AND r.size <= w.gap THEN w.gap - r.size ELSE w.gap END,
+    w.shut OR (r.size <= w.most AND r.size > w.gap AND w.gap <= 0.001::DOUBLE * w.target),
+    r.k, NOT w.shut AND r.size <= w.most AND r.size <= w.gap
+  FROM walk w JOIN ranked r ON r.source IS NOT DISTINCT FROM w.source AND r.i = w.i + 1
+)
+SELECT r.doc_id, r.size, t.source_size, t.target, (r.size * CASE WHEN r.size = 0 THEN 0 ELSE coalesce(d.whole, 0) + coalesce(w.took::INT, 0) END)::BIGINT AS taken, r.source,
+  (CASE WHEN r.size = 0 THEN 0 ELSE coalesce(d.whole, 0) + coalesce(w.took::INT, 0) END)::BIGINT AS copies
+FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN rated d ON d.k = r.k LEFT JOIN walk w ON w.k = r.k
+"""

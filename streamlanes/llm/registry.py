@@ -9,7 +9,7 @@ from .decontam import find_contamination
 from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
-from .oracles import EMBEDDINGS, NEAR_DUPLICATES, WARC
+from .oracles import EMBEDDINGS, MIX, NEAR_DUPLICATES, WARC
 from .quality import score_quality, train_quality
 from .rp_forest import embedding_near_duplicates
 from .secrets import scan_secrets
@@ -27,7 +27,7 @@ def vocabulary(name: str) -> str:
 
 QUERIES: dict = {}
 #: The others learn from samples, tile, or write files in formats that SQL cannot read; tests hold them against brute force.
-ORACLES: dict = {"op2_warc_normaliser": WARC, "op3_rp_forest": EMBEDDINGS, "op6_bottom_k_near_dup": NEAR_DUPLICATES}
+ORACLES: dict = {"op2_warc_normaliser": WARC, "op3_rp_forest": EMBEDDINGS, "op5_pareto_mix": MIX, "op6_bottom_k_near_dup": NEAR_DUPLICATES}
 
 
 def query(f):
