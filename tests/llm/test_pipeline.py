@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     ws = Workspace(spark, "t")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("n_chars", "n_chars")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, [docs]
     for name, stage in pipeline.STAGES:
         docs = ws.stage(stage(spark, docs, SF), name)
@@ -27,7 +27,7 @@ def test_stages(spark):
     assert sum((labels[i] == 1) == (i in kept) for i in judged) / len(judged) > 0.93
     sets = {r["doc_id"]: shingle_set(words_of(r["text"])) for r in good}
     left = {r["doc_id"] for r in unique}
-    near = lambda a, b: (m := overlap(sets[a], sets[b])) and 100 * m >= 85 * (len(sets[a]) + len(sets[b]) - m)
+    near = lambda a, b: (m := overlap(sets[a], sets[b])) and 100 * m >= 80 * (len(sets[a]) + len(sets[b]) - m)
     assert not any(near(a, b) for a in left for b in left if a < b)
     assert all(any(near(a, b) for b in sets if b != a) for a in set(sets) - left)
     items = [" ".join(tokens_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -51,6 +51,34 @@ def test_one_row_of_a_repeated_id_stays(spark):
     assert mixed.columns == docs.columns and pipeline.mix(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stages_with_clashing_columns_and_odd_rows(spark):
+    """Extra columns named as the stages' own, null and empty texts, a long one, repeated rows, null ids and sources."""
+    extra = ("size", "copies", "rows", "nth_row", "copy", "key", "h", "text_key", "mix_size", "Label", "quality", "count")
+    fine = "The river runs quietly past the old mill and people walk there. "
+    texts = [None, "", " ", "short", fine * 5, fine * 3000, "one more plain sentence of text, written for nobody."]
+    rows = [(i, t, "en", "s" if i % 2 else None, 1, *range(100, 100 + len(extra))) for i, t in enumerate(texts)]
+    rows += [rows[6]] * 2 + [(None, "a text without an id", None, "s", None, *[None] * len(extra))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in extra))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    for name, stage in pipeline.STAGES:
+        for df in (docs, docs.where("false")):
+            out = stage(spark, df, SF)
+            got = out.collect()
+            if name != "token_files":
+                assert out.columns == docs.columns and {tuple(r) for r in got} <= set(rows), name
+            if df is not docs:
+                assert not got
+            elif name == "decontamination":
+                assert len(got) == len(rows)
+            elif name == "near_duplicates":
+                assert sorted((r.doc_id for r in got), key=str) == [0, 1, 2, 3, 4, 6, None, None]  # 5 has the same shingles as 4
+            elif name == "mixing":
+                assert not {0, 1, 2} & {r.doc_id for r in got} and max(Counter(r.doc_id for r in got).values()) <= 6
+            elif name == "token_files":
+                assert len(got) == len(rows)
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
 def test_near_copies_from_0_8_on_go(spark):
     base = [f"w{i}" for i in range(204)]  # 200 shingles
     at = lambda n: " ".join(base[:-n] + [f"x{n}.{i}" for i in range(n)])
