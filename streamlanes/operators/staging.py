@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the session names no shared folder, as in tests on one machine.
+#: Where a session on one machine names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/streamlanes-shared"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` as files in the folder of spark.checkpoint.dir: lineage and plan end there, and no lost executor brings them back."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED).rstrip('/')}/streamlanes/stage-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(named or LOCAL_SHARED).rstrip('/')}/streamlanes/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
