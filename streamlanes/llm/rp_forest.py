@@ -4,26 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components
 
 
-@dataclass
-class Tree:
-    """Inner nodes by number: a direction, a threshold, two children. Negative children are leaves: -1 - leaf."""
-
-    directions: list[np.ndarray] = field(default_factory=list)
-    cuts: list[float] = field(default_factory=list)
-    children: list[list[int]] = field(default_factory=list)
-    root: int = -1
-
-
 def unit_rows(vectors: list, width: int) -> np.ndarray:
     """Unit vectors in double precision, padded with zeros or cut to ``width`` where that is positive."""
     lengths = np.array([len(v) for v in vectors])
@@ -40,69 +30,112 @@ def unit_rows(vectors: list, width: int) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def grow_forest(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int, least: int = 16) -> tuple[list[Tree], int]:
-    """Trees over a sample of unit vectors, and the number of leaves. Each split is a random direction cut at the median.
+#: Levels that a node is split by at once, from a sample of its own rows.
+LEVELS = 5
+
+
+def directions(node: int, levels: int, width: int) -> np.ndarray:
+    """Random unit vectors of the inner nodes below ``node``, in heap order from 1; row 0 is not used. The same wherever they are made."""
+    d = np.random.default_rng(node & 0xFFFFFFFFFFFFFFFF).standard_normal((1 << levels, width))
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
 
-    A node stays a leaf at ``depth``, below ``least`` sample rows, or where the spill would put over four fifths of its
-    rows on both sides: a cluster that tight gains nothing from a split.
+def split_cuts(node: int, x: np.ndarray, levels: int, spill: float, least: int = 8) -> np.ndarray:
+    """Cuts of the inner nodes below ``node``, in heap order, fitted to a sample of unit vectors: medians along each node's direction.
+
+    A node is a leaf (nan) below ``2 * least`` rows, or where its halves, with the spill on both sides, would have over
+    three quarters of its pairs: a cluster that tight gains too little from a split.
     """
-    rng = np.random.default_rng(seed)
-    forest, leaves = [], 0
-    for _ in range(trees):
-        tree = Tree()
-
-        def grow(rows: np.ndarray, level: int, tree: Tree = tree) -> int:
-            nonlocal leaves
-            if level < depth and len(rows) >= 2 * least:
-                direction = rng.standard_normal(sample.shape[1])
-                direction /= np.linalg.norm(direction)
-                at = sample[rows] @ direction
-                cut = float(np.median(at))
-                low, high = rows[at <= cut + spill], rows[at >= cut - spill]
-                if len(low) + len(high) - len(rows) <= 0.8 * len(rows):
-                    node = len(tree.cuts)
-                    tree.directions.append(direction)
-                    tree.cuts.append(cut)
-                    tree.children.append([0, 0])
-                    tree.children[node] = [grow(low, level + 1), grow(high, level + 1)]
-                    return node
-            leaves += 1
-            return -leaves
-
-        tree.root = grow(np.arange(len(sample)), 0)
-        forest.append(tree)
-    return forest, leaves
-
-
-def leaves_of(forest: list[Tree], x: np.ndarray, spill: float) -> list[list[int]]:
-    """For each row, the leaves it falls into over all trees, ascending."""
+    cuts = np.full(1 << levels, np.nan)
+    along = x @ directions(node, levels, x.shape[1]).T
+    rows = {1: np.arange(len(x))}
+    for i in range(1, 1 << levels):
+        own = rows.pop(i, None)
+        if own is None or len(own) < 2 * least:
+            continue
+        at = along[own, i]
+        cut = float(np.median(at))
+        low, high = own[at <= cut + spill], own[at >= cut - spill]
+        if len(low) ** 2 + len(high) ** 2 <= 0.75 * len(own) ** 2:
+            cuts[i] = cut
+            rows[2 * i], rows[2 * i + 1] = low, high
+    return cuts
+
+
+def fall(node: int, cuts: np.ndarray, x: np.ndarray, spill: float) -> list[list[int]]:
+    """For each row of ``x``, the places in heap order of the leaves below ``node`` that it falls into."""
     found: list[list[int]] = [[] for _ in range(len(x))]
-    for tree in forest:
-        stack = [(tree.root, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            if not len(rows):
-                continue
-            if node < 0:
-                for i in rows:
-                    found[i].append(-1 - node)
-                continue
-            at = x[rows] @ tree.directions[node]
-            stack.append((tree.children[node][0], rows[at <= tree.cuts[node] + spill]))
-            stack.append((tree.children[node][1], rows[at >= tree.cuts[node] - spill]))
-    return [sorted(f) for f in found]
-
-
-def _assigner(forest: list[Tree], width: int, spill: float):
+    along = x @ directions(node, len(cuts).bit_length() - 1, x.shape[1]).T
+    stack = [(1, np.arange(len(x)))]
+    while stack:
+        i, rows = stack.pop()
+        if i >= len(cuts) or np.isnan(cuts[i]):
+            for r in rows:
+                found[r].append(i)
+        elif len(rows):
+            at = along[rows, i]
+            stack += [(2 * i, rows[at <= cuts[i] + spill]), (2 * i + 1, rows[at >= cuts[i] - spill])]
+    return found
+
+
+def _fitter(leaf_rows: int, spill_of):
+    schema = pa.schema([("node", pa.int64()), ("cuts", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        node, rows = table["node"][0].as_py(), table["rows"][0].as_py()
+        x = unit_rows(table["vec"].to_pylist(), 0)
+        levels = min(LEVELS, max(1, math.ceil(math.log2(rows / leaf_rows))))
+        return pa.Table.from_arrays([pa.array([node]), pa.array([split_cuts(node, x, levels, spill_of(x.shape[1]))], pa.list_(pa.float64()))], schema=schema)
+
+    return run
+
+
+def _faller(spill_of):
+    """Rows (key, node, vec, cuts) with ``leaves``: child nodes' numbers, the node's own where it was not split."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = leaves_of(forest, unit_rows(batch.column("vec").to_pylist(), width), spill) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
+            nodes = np.array(batch.column(1), np.int64)
+            leaves: list = [None] * len(nodes)
+            for node in np.unique(nodes):
+                rows = np.flatnonzero(nodes == node)
+                cuts = np.array(batch.column(3)[int(rows[0])].as_py(), float)
+                x = unit_rows([batch.column(2)[int(r)].as_py() for r in rows], 0)
+                for r, got in zip(rows, fall(int(node), cuts, x, spill_of(x.shape[1])), strict=True):
+                    leaves[r] = [xxhash.xxh3_64_intdigest(f"{node} {i}") - (1 << 63) if i > 1 else int(node) for i in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["key", "node", "leaves"])
 
     return run
 
 
-PART = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, sample_rows: int, spill_of, seed: int) -> DataFrame:
+    """(key, leaf) of every class (label, size, key, vec) in every tree: a tree for each label and size, grown by rounds.
+
+    In a round every node with more than ``leaf_rows`` rows is split by up to five levels fitted to about
+    ``sample_rows`` of its own rows, in a task of its own, and its rows fall through them. Only cuts travel: directions
+    are made from a node's number. Rounds go on until no node is too large, so leaves follow the table, not the sample;
+    nodes that cannot be split stay whole.
+    """
+    node = F.xxhash64(F.lit(seed), "label", "size", "tree")
+    at = ws.stage(classes.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select("key", node.alias("node")), "nodes-0")
+    done, turn = None, 0
+    while True:
+        large = ws.stage(at.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > leaf_rows), f"large-{turn}")
+        rest = at.join(large, "node", "left_anti").select("key", F.col("node").alias("leaf"))
+        done = rest if done is None else done.unionByName(rest)
+        if large.isEmpty():
+            return done
+        rows = at.join(large, "node").join(classes.select("key", "vec"), "key").select("key", "node", "rows", "vec")
+        drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), "key", "node"), F.lit(1 << 30)) < F.lit(float(sample_rows) * (1 << 30)) / F.col("rows"))
+        cuts = ws.stage(drawn.select("node", "rows", "vec").groupBy("node").applyInArrow(_fitter(leaf_rows, spill_of), "node long, cuts array<double>"), f"cuts-{turn}")
+        moved = rows.join(cuts, "node").select("key", "node", "vec", "cuts").mapInArrow(_faller(spill_of), "key long, node long, leaves array<long>")
+        moved = ws.stage(moved.select("key", "node", F.explode("leaves").alias("leaf")), f"moved-{turn}")
+        done = done.unionByName(moved.where("leaf = node").select("key", "leaf"))
+        turn += 1
+        at = moved.where("leaf <> node").select("key", F.col("leaf").alias("node"))
+
+
+PART = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("root", pa.int64())])
 
 
 def leaf_links(rep: np.ndarray, weight: np.ndarray, x: np.ndarray, leaves: list[list[int]], side: np.ndarray, leaf: int, cosine: float, chunk: int = 512):
@@ -145,81 +178,71 @@ def _leaf_worker(cosine: float):
         rep, weight = table["rep"].to_numpy(), table["weight"].to_numpy()
         x = unit_rows(table["vec"].to_pylist(), 0)
         counts, root, any_link = leaf_links(rep, weight, x, table["leaves"].to_pylist(), table["block"].to_numpy(), table["leaf"][0].as_py(), cosine)
-        return pa.Table.from_arrays([pa.array(rep[any_link]), pa.array(counts[any_link]), pa.array(root[any_link])], schema=PART)
+        return pa.Table.from_arrays([pa.array(x[any_link]) for x in (table["key"].to_numpy(), counts, rep, root)], schema=PART)
 
     return run
 
 
 def embedding_near_duplicates(
     vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
-    trees: int = 4, leaf_rows: int = 2000, sample_rows: int = 65536, spill_sd: float = 0.5, seed: int = 5,
+    trees: int = 4, leaf_rows: int = 32, sample_rows: int = 512, block_rows: int = 1024, spill_sd: float = 0.5, seed: int = 5,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``.
 
     Vectors with equal labels link at a cosine of ``cosine`` or more, in double precision. Equal vectors of a label are
-    one class, of which one takes part with the class's size as weight. The forest is fitted on at most
-    ``sample_rows`` classes on the driver and sized so that a leaf expects ``leaf_rows``; every class is indexed, into
-    both children where its projection is within the spill, ``spill_sd`` standard deviations of the projected distance
-    of two vectors that just link. Per label and leaf, all cosines are computed in blocks of ``leaf_rows`` rows at most;
-    larger leaves are cut into blocks, all pairs of which are compared, so a dense cluster costs time but is whole and
-    no task holds it. Only counts and component roots leave a leaf, never pairs. Recall is below 1 only where all trees
-    part a pair; the tests measure it against brute force.
+    one class, of which one takes part with the class's size as weight. Every label has ``trees`` trees of its own, split
+    at random until a leaf has ``leaf_rows`` rows at most; a split is fitted to about ``sample_rows`` rows of the node it
+    splits, and every class is indexed, into both children where its projection is within the spill, ``spill_sd``
+    standard deviations of the projected distance of two vectors that just link. Within a leaf all cosines are computed.
+    A cluster too tight to be split is cut into blocks of ``block_rows`` rows about, all pairs of which are compared, so
+    it costs time but is whole and no task holds it. Only counts and component roots leave a leaf, never pairs. Recall
+    is below 1 only where all trees part a pair; the tests measure it against brute force.
 
     Null, empty or zero vectors, and those with null or non-finite components, null labels or null ids link with
-    nothing: n_links 0, component_id = vec_id (null for a null id), kept true. Vectors of unequal length do not link.
-    Repeated rows count as vectors of their own; rows that share an id share a component. An empty table gives an
-    empty table; other columns are not read.
+    nothing: n_links 0, component_id = vec_id (null for a null id), kept true. Vectors of unequal length do not link;
+    very long ones are compared whole. A cosine of exactly ``cosine`` links. Repeated rows count as vectors of their
+    own; rows that share an id share a component. An empty table gives an empty table; other columns are not read.
     """
-    spark = vectors.sparkSession
-    ws = Workspace(spark, "forest")
+    ws = Workspace(vectors.sparkSession, "forest")
     vec = F.col("vec")
     fine = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & vec.isNotNull() & (F.size(vec) > 0)
         & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0)
     )
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    key = ["label", "h1", "h2"]
+    by = ["label", "h1", "h2"]
     keyed = given.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
-    classes = ws.stage(
-        keyed.where("fine").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes"
-    )
-    rows = keyed.select("vec_id", "fine", *key)
-    total = classes.count()
-    if not total:
+    # A class is numbered by its hashes; ids may stand for several classes.
+    classes = keyed.where("fine").groupBy(*by).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    classes = ws.stage(classes.withColumn("key", F.xxhash64(*by)).withColumn("size", F.size("vec")), "classes")
+    rows = keyed.select("vec_id", "fine", *by)
+    if classes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    part = min(1.0, sample_rows / total)
-    drawn = classes.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("vec").limit(sample_rows).collect()
-    drawn = [r.vec for r in drawn] or [classes.first().vec]
-    width = max(map(len, drawn))
-    sample = unit_rows(drawn, width)
-    spill = spill_sd * math.sqrt(max(0.0, 2 - 2 * cosine) / width)
-    forest, _ = grow_forest(sample, trees, max(0, math.ceil(math.log2(total / leaf_rows))), spill, seed)
-
-    assigned = ws.stage(
-        classes.select("label", "rep", "weight", "vec").mapInArrow(
-            _assigner(forest, width, spill), f"label {dict(classes.dtypes)['label']}, rep long, weight long, vec {dict(classes.dtypes)['vec']}, leaves array<int>"
-        ),
-        "assigned",
-    )
-    group = ["label", "size", "leaf"]
-    spread = assigned.withColumn("size", F.size("vec")).withColumn("leaf", F.explode("leaves"))
-    large = spread.groupBy(*group).count().where(F.col("count") > leaf_rows).select(*group, F.ceil(F.col("count") * 2 / leaf_rows).cast("int").alias("blocks"))
-    placed = spread.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def spill_of(width: int) -> float:
+        return spill_sd * math.sqrt(max(0.0, 2 - 2 * cosine) / width)
+
+    leaves = ws.stage(_grown(ws, classes, trees, leaf_rows, sample_rows, spill_of, seed).distinct(), "leaves")
+    # Alone in a leaf there is nothing to compare with.
+    counts = ws.stage(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf-counts")
+    met = leaves.join(counts, "leaf")
+    own = met.groupBy("key").agg(F.collect_set("leaf").alias("leaves"))  # a class is in a few leaves of each tree
+    blocks = F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int")
+    met = met.select("key", "leaf", blocks.alias("blocks")).join(classes.select("key", "rep", "weight", "vec").join(own, "key"), "key")
+    met = met.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other"))
     parts = ws.stage(
-        met.select(*group, "b0", "b1", "rep", "weight", "vec", "leaves", "block").groupBy(*group, "b0", "b1").applyInArrow(_leaf_worker(cosine), "rep long, n long, root long"),
+        met.select("leaf", "b0", "b1", "rep", "key", "weight", "vec", "leaves", "block").groupBy("leaf", "b0", "b1").applyInArrow(_leaf_worker(cosine), "key long, n long, rep long, root long"),
         "parts",
     )
-    links = parts.groupBy("rep").agg(F.sum("n").alias("n"))
+    links = parts.groupBy("key").agg(F.sum("n").alias("n"))
     # Rows that share an id hold their classes together: each of them is linked to the smallest.
-    named = rows.where("fine").join(classes.select(*key, "rep"), key).select("vec_id", "rep")
+    named = rows.where("fine").join(classes.select(*by, "rep"), by).select("vec_id", "rep")
     many = named.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("vec_id", "b")
     same = named.join(many, "vec_id").select(F.col("rep").alias("a"), "b")
     found = connected_components(ws, parts.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same))
-    of_class = classes.select(*key, "rep", "weight").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    out = rows.join(of_class.withColumn("fine", F.lit(True)), [*key, "fine"], "left")
+    of_class = classes.select(*by, "key", "rep", "weight").join(links, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    out = rows.join(of_class.withColumn("fine", F.lit(True)), [*by, "fine"], "left")
     out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
