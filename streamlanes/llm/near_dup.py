@@ -113,7 +113,7 @@ def _lists(ws: Workspace, sketches: DataFrame, k: int | None, percent: int, name
 
 
 #: Partners of one document that are compared in one task.
-PARTNERS = 256
+PARTNERS = 64
 
 
 def near_duplicates(
