@@ -150,8 +150,9 @@ class CachedEncoder:
 
     Such a tokenizer cuts a text into pieces before it merges bytes, and a single blank between two other characters
     always starts a piece. So a text is cut at blanks, and what lies between is looked up or encoded once. Texts with
-    other white space beside a blank are encoded whole. Words are remembered in two tables of bounded size: when the
-    younger is full it becomes the older, from which words still in use return.
+    other white space beside a blank are encoded whole, and so is every text if the file cuts texts in another way than
+    this one does. Words are remembered in two tables of bounded size: when the younger is full it becomes the older,
+    from which words still in use return. The tests compare a whole table and every sign of two planes with the library.
     """
 
     def __init__(self, path: str, cache: int = 300_000):
@@ -161,6 +162,10 @@ class CachedEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        cuts = told["pre_tokenizer"] or {}
+        self.by_words = (cuts.get("type"), cuts.get("use_regex"), cuts.get("add_prefix_space")) == ("ByteLevel", True, False) and not (told["normalizer"] or told["truncation"] or told["padding"])
+        self.special = [t["content"] for t in told["added_tokens"]]
         self.pieces_of = regex.compile(public_tokenizers.PATTERN).findall
         self.cache, self.words, self.older, self.pieces = cache, {}, {}, {}
 
@@ -179,7 +184,9 @@ class CachedEncoder:
         for w in missing:
             if w in older:
                 words[w] = older[w]
-            elif w.isalpha():  # letters behind a blank are one piece
+            elif not w or w[0] in SPACES or w[-1] in SPACES:
+                words[w] = None  # white space beside a blank: cutting there would be wrong
+            elif w.isalpha() or max(w) > KNOWN:  # as a rule letters behind a blank are one piece; Unicode's versions may differ on the rest
                 plain.add(w)
             elif w[:-1].isalpha() and w[-1] in ENDS:  # and a sign behind them is another
                 stem = w[:-1]
@@ -188,8 +195,6 @@ class CachedEncoder:
                     words[stem] = older[stem]
                 elif stem not in words:
                     plain.add(stem)
-            elif not w or w[0].isspace() or w[-1].isspace():
-                words[w] = None  # white space beside a blank: cutting there would be wrong
             else:
                 rest.append((w, self.pieces_of(" " + w)))
         fresh = list(plain)
@@ -202,6 +207,8 @@ class CachedEncoder:
             words[w] = b"".join([self.pieces[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._encode(texts)
         out = []
         for s in range(0, len(texts), 200):
             cut = [t.split(" ") for t in texts[s : s + 200]]
@@ -212,7 +219,7 @@ class CachedEncoder:
                 self._learn(missing)
             for text, ws in zip(texts[s : s + 200], cut, strict=True):
                 # The first word has no blank before it; a special token's string is not plain text.
-                out.append(self._joined(ws) if "<|" not in text and ws[0] and not ws[0][-1].isspace() else None)
+                out.append(self._joined(ws) if ws[0] and ws[0][-1] not in SPACES and not any(t in text for t in self.special) else None)
                 if out[-1] is None:
                     out[-1] = self.whole(text)
         return out
@@ -226,6 +233,10 @@ class CachedEncoder:
 
 #: Signs that a word may end in, to skip cutting it by the pattern.
 ENDS = ".,!?;:"
+#: White space, with what only some versions of Unicode call so.
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | frozenset("\u180e\u200b\ufeff")
+#: Up to here letters, digits and signs are the same to all versions of Unicode in use.
+KNOWN = "\u024f"
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
@@ -276,7 +287,8 @@ def write_token_planes(
     document that fills ``file_ids``; each document ends with ``end_id``. Every attempt of a task writes files of its
     own name, and only those in the returned table, which Spark commits, count: a lost executor leaves stray files but
     no wrong ones. ``start`` counts the ids in all files before; it takes one row a file. Rows that share an id are
-    kept, in any order among themselves. A null text is an empty one: its end id alone.
+    kept, in any order among themselves. A null text is an empty one: its end id alone. Texts of any length are encoded
+    whole. An empty table gives no files. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "tokens")

@@ -110,6 +110,34 @@ def test_encoder_matches_the_library():
             assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_matches_the_library_on_a_table_and_much_of_unicode():
+    import pyarrow.parquet as pq
+
+    path = vocabulary("byte_bpe_50k.json")
+    plain, rng, e = Tokenizer.from_file(path), random.Random(11), tp.CachedEncoder(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(every), 64):  # each sign alone, doubled, behind and before letters, signs and blanks
+        texts.append(" ".join(x for c in every[i : i + 64] for x in (c, f"a{c}", f"{c}a", f"a{c}.", f".{c}", c + c, f"1{c}'s", f"{c} {c}")))
+    strange = [c for c in every[:0x3100] if not c.isalnum()]
+    texts += ["".join(rng.choices(["a", " ", "é", "B", rng.choice(strange), rng.choice(strange), rng.choice(every), ".", "7"], k=rng.randint(1, 40))) for _ in range(5000)]
+    for i in range(0, len(texts), 500):
+        want = plain.encode_batch(texts[i : i + 500], add_special_tokens=False)
+        for t, w, got in zip(texts[i : i + 500], want, e.encode(texts[i : i + 500]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == w.ids, t
+
+
+def test_a_file_that_cuts_texts_otherwise_is_used_whole(tmp_path):
+    import json
+
+    told = json.load(open(vocabulary("byte_bpe_50k.json")))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    plain, e = Tokenizer.from_file(str(tmp_path / "t.json")), tp.CachedEncoder(str(tmp_path / "t.json"))
+    assert not e.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(["a b", "", "x  y"])] == [plain.encode(t, add_special_tokens=False).ids for t in ("a b", "", "x  y")]
+
+
 def test_token_files_in_order(spark):
     plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     rows = [(None if i == 3 else 100 - i % 18, t, "en", 5) for i, t in enumerate(TEXTS)]
