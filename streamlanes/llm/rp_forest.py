@@ -78,20 +78,20 @@ def fall(node: int, cuts: np.ndarray, x: np.ndarray, spill: float) -> list[list[
     return found
 
 
-def _fitter(leaf_rows: int, spill_of):
+def _fitter(spill_of):
     schema = pa.schema([("node", pa.int64()), ("cuts", pa.list_(pa.float64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        node, rows = table["node"][0].as_py(), table["rows"][0].as_py()
+        node, rows, most = (table[c][0].as_py() for c in ("node", "rows", "most"))
         x = unit_rows(table["vec"].to_pylist(), 0)
-        levels = min(LEVELS, max(1, math.ceil(math.log2(rows / leaf_rows))))
+        levels = min(LEVELS, max(1, math.ceil(math.log2(rows / most))))
         return pa.Table.from_arrays([pa.array([node]), pa.array([split_cuts(node, x, levels, spill_of(x.shape[1]))], pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
 def _faller(spill_of):
-    """Rows (key, node, vec, cuts) with ``leaves``: child nodes' numbers, the node's own where it was not split."""
+    """Rows (key, node, vec, cuts, most) with ``leaves``: child nodes' numbers, the node's own where it was not split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,36 +103,39 @@ def _faller(spill_of):
                 x = unit_rows([batch.column(2)[int(r)].as_py() for r in rows], 0)
                 for r, got in zip(rows, fall(int(node), cuts, x, spill_of(x.shape[1])), strict=True):
                     leaves[r] = [xxhash.xxh3_64_intdigest(f"{node} {i}") - (1 << 63) if i > 1 else int(node) for i in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["key", "node", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(leaves, pa.list_(pa.int64()))], names=["key", "node", "most", "leaves"])
 
     return run
 
 
-def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, sample_rows: int, spill_of, seed: int) -> DataFrame:
+def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, block_rows: int, sample_rows: int, spill_of, seed: int) -> DataFrame:
     """(key, leaf) of every class (label, size, key, vec) in every tree: a tree for each label and size, grown by rounds.
 
-    In a round every node with more than ``leaf_rows`` rows is split by up to five levels fitted to about
-    ``sample_rows`` of its own rows, in a task of its own, and its rows fall through them. Only cuts travel: directions
-    are made from a node's number. Rounds go on until no node is too large, so leaves follow the table, not the sample;
-    nodes that cannot be split stay whole.
+    A leaf may have four times the root of its tree's rows, within ``leaf_rows`` and ``block_rows``. In a round every
+    node with more is split by up to five levels fitted to about ``sample_rows`` of its own rows, in a task of its own,
+    and its rows fall through them. Only cuts travel: directions are made from a node's number. Rounds go on until no
+    node is too large, so leaves follow the table, not the sample; nodes that cannot be split stay whole.
     """
     node = F.xxhash64(F.lit(seed), "label", "size", "tree")
-    at = ws.stage(classes.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select("key", node.alias("node")), "nodes-0")
+    most = F.greatest(F.lit(leaf_rows), F.least(F.lit(block_rows), F.ceil(4 * F.sqrt("n")))).cast("int")
+    limits = ws.stage(classes.groupBy("label", "size").agg(F.count("*").alias("n")).select("label", "size", most.alias("most")), "limits")
+    at = classes.join(limits, ["label", "size"]).withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select("key", node.alias("node"), "most")
+    at = ws.stage(at, "nodes-0")
     done, turn = None, 0
     while True:
-        large = ws.stage(at.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > leaf_rows), f"large-{turn}")
+        large = ws.stage(at.groupBy("node", "most").agg(F.count("*").alias("rows")).where("rows > most").select("node", "rows"), f"large-{turn}")
         rest = at.join(large, "node", "left_anti").select("key", F.col("node").alias("leaf"))
         done = rest if done is None else done.unionByName(rest)
         if large.isEmpty():
             return done
-        rows = at.join(large, "node").join(classes.select("key", "vec"), "key").select("key", "node", "rows", "vec")
+        rows = at.join(large, "node").join(classes.select("key", "vec"), "key").select("key", "node", "most", "rows", "vec")
         drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), "key", "node"), F.lit(1 << 30)) < F.lit(float(sample_rows) * (1 << 30)) / F.col("rows"))
-        cuts = ws.stage(drawn.select("node", "rows", "vec").groupBy("node").applyInArrow(_fitter(leaf_rows, spill_of), "node long, cuts array<double>"), f"cuts-{turn}")
-        moved = rows.join(cuts, "node").select("key", "node", "vec", "cuts").mapInArrow(_faller(spill_of), "key long, node long, leaves array<long>")
-        moved = ws.stage(moved.select("key", "node", F.explode("leaves").alias("leaf")), f"moved-{turn}")
+        cuts = ws.stage(drawn.select("node", "most", "rows", "vec").groupBy("node").applyInArrow(_fitter(spill_of), "node long, cuts array<double>"), f"cuts-{turn}")
+        moved = rows.join(cuts, "node").select("key", "node", "vec", "cuts", "most").mapInArrow(_faller(spill_of), "key long, node long, most int, leaves array<long>")
+        moved = ws.stage(moved.select("key", "node", "most", F.explode("leaves").alias("leaf")), f"moved-{turn}")
         done = done.unionByName(moved.where("leaf = node").select("key", "leaf"))
         turn += 1
-        at = moved.where("leaf <> node").select("key", F.col("leaf").alias("node"))
+        at = moved.where("leaf <> node").select("key", F.col("leaf").alias("node"), "most")
 
 
 PART = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("root", pa.int64())])
@@ -191,7 +194,8 @@ def embedding_near_duplicates(
 
     Vectors with equal labels link at a cosine of ``cosine`` or more, in double precision. Equal vectors of a label are
     one class, of which one takes part with the class's size as weight. Every label has ``trees`` trees of its own, split
-    at random until a leaf has ``leaf_rows`` rows at most; a split is fitted to about ``sample_rows`` rows of the node it
+    at random until a leaf is small against the label (four times the root of its rows, within ``leaf_rows`` and
+    ``block_rows``); a split is fitted to about ``sample_rows`` rows of the node it
     splits, and every class is indexed, into both children where its projection is within the spill, ``spill_sd``
     standard deviations of the projected distance of two vectors that just link. Within a leaf all cosines are computed.
     A cluster too tight to be split is cut into blocks of ``block_rows`` rows about, all pairs of which are compared, so
@@ -222,7 +226,7 @@ def embedding_near_duplicates(
     def spill_of(width: int) -> float:
         return spill_sd * math.sqrt(max(0.0, 2 - 2 * cosine) / width)
 
-    leaves = ws.stage(_grown(ws, classes, trees, leaf_rows, sample_rows, spill_of, seed).distinct(), "leaves")
+    leaves = ws.stage(_grown(ws, classes, trees, leaf_rows, block_rows, sample_rows, spill_of, seed).distinct(), "leaves")
     # Alone in a leaf there is nothing to compare with.
     counts = ws.stage(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf-counts")
     met = leaves.join(counts, "leaf")

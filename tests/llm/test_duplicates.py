@@ -175,7 +175,7 @@ def test_embeddings_match_brute_force(spark):
     near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None, :])
     np.fill_diagonal(near, False)
     want = components(range(len(x)), list(zip(*np.nonzero(np.triu(near)), strict=True)))
-    got = {r.vec_id: r for r in embedding_near_duplicates(df, leaf_rows=60).collect()}
+    got = {r.vec_id: r for r in embedding_near_duplicates(df, leaf_rows=16).collect()}
     assert len(got) == len(rows) and near.sum() > 500
     recall = sum(got[i].n_links for i in range(len(x))) / near.sum()
     assert 0.99 <= recall <= 1 and all(got[i].n_links <= near[i].sum() for i in range(len(x)))
