@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .motifs import BEGIN, INSIDE, NONE
-from .ordering import position, running_sum
+from .ordering import PART, in_parts, numbered_parts, position, running_sums, with_lead
 from .staging import staged
 
 IDLE = "idle"
@@ -42,35 +42,47 @@ def idle_timeouts(stream: DataFrame, numeric: int, timeout_ms: int, begin: str =
     it fires if a word came since the candidate before. Runs are numbered by running sums over buckets of time, so the
     merged stream is never in one task; runs are then grouped, and only candidates are ordered among themselves.
     """
+    return _idle_rows(in_parts(stream.select("time_ms", "channel", "pos", "label"), MERGED), numeric, timeout_ms, begin, none).select(*MERGED)
+
+
+#: The order of the merged stream.
+MERGED = ("time_ms", "channel", "pos")
+
+
+def _idle_rows(rows: DataFrame, numeric: int, timeout_ms: int, begin: str, none: str) -> DataFrame:
+    """(time_ms, channel, pos, part) of the rows of a stream in parts at which it goes idle."""
     is_word = F.when(F.col("channel") < numeric, F.col("label") == begin).otherwise(F.col("label") != none)
-    rows = stream.withColumn("is_word", is_word.cast("long")).withColumn("some", (F.col("label") != none).cast("long"))
-    rows = running_sum(rows, F.col("some"), "run")
-    rows = running_sum(rows, F.col("is_word"), "words").where("some = 0")
-    rows = staged(rows)
+    rows = running_sums(rows, {"run": F.col("label") != none, "words": is_word}).where(F.col("label") == none)
+    rows = staged(rows.select(*MERGED, PART, "run", "words"))
     first = rows.groupBy("run").agg(F.min("time_ms").alias("since"))
     late = rows.join(first, "run").where(F.col("time_ms") - F.col("since") >= timeout_ms)
-    candidate = late.groupBy("run").agg(F.min(F.struct("time_ms", "channel", "pos", "words")).alias("c")).select("c.*")
+    candidate = late.groupBy("run").agg(F.min(F.struct(*MERGED, "words", PART)).alias("c")).select("c.*")
     # Of candidates with the same number of words so far, the first fires; at none at all, none does.
-    fired = candidate.where("words > 0").groupBy("words").agg(F.min(F.struct("time_ms", "channel", "pos")).alias("c"))
+    fired = candidate.where("words > 0").groupBy("words").agg(F.min(F.struct(*MERGED, PART)).alias("c"))
     return fired.select("c.*")
 
 
-def sessions(stream: DataFrame, numeric: int, timeout_ms: int) -> DataFrame:
-    """Word events with ``seq``, their place in the merged order, and ``session``, the number of times it was idle before."""
-    stream = staged(stream)
-    words = word_events(stream, numeric).select("time_ms", "channel", "pos", "word", F.lit(0).cast("long").alias("idle"))
-    idle = idle_timeouts(stream, numeric, timeout_ms).select("time_ms", "channel", "pos", F.lit(None).cast("string").alias("word"), F.lit(1).cast("long").alias("idle"))
-    both = running_sum(words.unionByName(idle), F.col("idle"), "session")
-    return position(both.where("idle = 0").drop("idle"), "seq")
+def sessions(stream: DataFrame, numeric: int, timeout_ms: int, begin: str = BEGIN, none: str = NONE) -> DataFrame:
+    """Word events (time_ms, channel, pos, word) with ``seq``, their place in the merged order, and ``session``, the number of times it was idle before.
+
+    The stream is cut into parts of the merged order once; its words, its idle times and their numbers all stay in them.
+    """
+    rows = in_parts(stream.select("time_ms", "channel", "pos", "label"), MERGED)
+    words = word_events(rows, numeric, begin, none).select(*MERGED, PART, "word")
+    idle = _idle_rows(rows, numeric, timeout_ms, begin, none).withColumn("word", F.lit(None).cast("string"))
+    both = running_sums(words.unionByName(idle), {"session": F.col("word").isNull(), "seq": F.col("word").isNotNull()})
+    return both.where("word IS NOT NULL").withColumn("seq", F.col("seq") - 1).drop(PART)
 
 
-def with_states(events: DataFrame, history: int = 2) -> DataFrame:
+def with_states(events: DataFrame, history: int = 100) -> DataFrame:
     """Word events with ``state``: up to ``history`` words before them in their session, joined by blanks (empty at its start).
 
-    Sessions are short, so each is ordered in a task of its own.
+    Events are numbered, so they are cut into parts that overlap by ``history``: a session may last as long as the stream.
     """
-    before = Window.partitionBy("session").orderBy("seq").rowsBetween(-history, -1)
-    return events.withColumn("state", F.array_join(F.collect_list("word").over(before), " "))
+    before = Window.partitionBy(PART).orderBy("seq").rowsBetween(-history, -1)
+    seen = F.filter(F.collect_list(F.struct("session", "word")).over(before), lambda w: w["session"] == F.col("session"))
+    rows = with_lead(events, "seq", history).withColumn("seen", seen)
+    return rows.where("own").withColumn("state", F.array_join(F.transform("seen", lambda w: w["word"]), " ")).drop("seen", "own", PART)
 
 
 def transition_counts(states: DataFrame) -> DataFrame:
@@ -87,14 +99,22 @@ def probabilities(counts: DataFrame, smoothing: float = 0.0, n_words: int | None
 def predictions(states: DataFrame) -> DataFrame:
     """Word events with ``predicted``: the likeliest word after their state by the events before them; ties go to the first word.
 
-    Counts only grow, so the likeliest word so far is that of the earlier event with the highest running count.
+    Counts only grow, so the likeliest word so far is that of the earlier event with the highest running count. Counts
+    and the best so far are summed up by parts of the stream first: no state, the empty one least, is gone through in
+    one task.
     """
-    nth = F.row_number().over(Window.partitionBy("state", "word").orderBy("seq"))
-    before = Window.partitionBy("state").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    # The first word by name wins a tie: words are ranked from the last to the first among the state's.
-    rank = F.dense_rank().over(Window.partitionBy("state").orderBy(F.desc("word")))
-    best = F.max(F.struct("c", "r", "word")).over(before)
-    return states.withColumn("c", nth).withColumn("r", rank).withColumn("predicted", best["word"]).drop("c", "r")
+    rows = staged(numbered_parts(states, "seq"))
+    earlier = Window.partitionBy("state", "word").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("state", "word", PART).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # The most frequent word at the end of a part, the first by name where counts tie; then of all parts before.
+    tops = counts.groupBy("state", PART).agg(F.min(F.struct((-(F.col("start") + F.col("n"))).alias("c"), F.col("word"))).alias("top"))
+    carried = tops.withColumn("carried", F.min("top").over(Window.partitionBy("state").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))).select("state", PART, "carried")
+    nth = F.row_number().over(Window.partitionBy("state", "word", PART).orderBy("seq"))
+    counted = rows.join(counts.select("state", "word", PART, "start"), ["state", "word", PART]).withColumn("c", -(F.col("start") + nth))
+    inside = F.min(F.struct("c", "word")).over(Window.partitionBy("state", PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    best = counted.join(carried, ["state", PART]).withColumn("best", F.least(inside, F.col("carried")))
+    return best.withColumn("predicted", F.col("best")["word"]).drop("c", "start", "carried", "best", PART)
 
 
 def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100) -> DataFrame:
@@ -106,29 +126,26 @@ def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100) -> DataF
     wrong = (F.col("predicted").isNull() | (F.col("predicted") != F.col("word"))).cast("long")
     lane = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("long")
     char = (lane(F.col("word")) >= numeric) | (F.coalesce(lane(F.col("predicted")), F.lit(-1)) >= numeric)
-    rows = predicted.withColumn("wrong", wrong).withColumn("char", char.cast("long"))
-    rows = staged(running_sum(rows, F.col("char"), "char_no", order=["time_ms", "channel", "pos"]))
+    rows = numbered_parts(predicted.withColumn("wrong", wrong).withColumn("char", char.cast("long")), "seq")
+    rows = staged(running_sums(rows, {"char_no": F.col("char")}, order=["seq"]).drop(PART))
     out = _rolling(rows, "seq", last, "error")
     chars = _rolling(rows.where("char = 1").withColumn("place", F.col("char_no") - 1), "place", last, "char_error").select("char_no", "char_error")
     # An event carries the value of the last char event up to it, which has the same running number.
     return out.join(chars, "char_no", "left").drop("wrong", "char", "char_no")
 
 
-def _rolling(rows: DataFrame, place: str, last: int, name: str, stretch: int = 10_000) -> DataFrame:
-    size = max(stretch, last)
-    cut = rows.withColumn("part", F.expr(f"{place} div {size}")).withColumn("own", F.lit(True))
-    lead = cut.where(F.col(place) % size >= size - last + 1).withColumn("part", F.col("part") + 1).withColumn("own", F.lit(False))
-    w = Window.partitionBy("part").orderBy(place).rowsBetween(-(last - 1), 0)
-    return cut.unionByName(lead).withColumn(name, F.avg("wrong").over(w)).where("own").drop("part", "own")
+def _rolling(rows: DataFrame, place: str, last: int, name: str) -> DataFrame:
+    w = Window.partitionBy(PART).orderBy(place).rowsBetween(-(last - 1), 0)
+    return with_lead(rows, place, last - 1).withColumn(name, F.avg("wrong").over(w)).where("own").drop(PART, "own")
 
 
 def model_sizes(states: DataFrame) -> DataFrame:
-    """(seq, n_states, n_transitions) after each word event: distinct ones seen so far."""
-    first_state = F.row_number().over(Window.partitionBy("state").orderBy("seq")) == 1
-    first_move = F.row_number().over(Window.partitionBy("state", "word").orderBy("seq")) == 1
-    rows = states.withColumn("new_state", first_state.cast("long")).withColumn("new_move", first_move.cast("long"))
-    rows = running_sum(rows, F.col("new_state"), "n_states", order=["time_ms", "channel", "pos"])
-    return running_sum(rows, F.col("new_move"), "n_transitions", order=["time_ms", "channel", "pos"]).select("seq", "n_states", "n_transitions")
+    """(seq, n_states, n_transitions) after each word event: distinct ones seen so far. First times come from grouping, not from a state's window."""
+    rows = staged(states.select("seq", "state", "word"))
+    new = rows.groupBy("state").agg(F.min("seq").alias("seq")).select("seq", F.lit(1).alias("s"), F.lit(0).alias("t"))
+    new = new.unionByName(rows.groupBy("state", "word").agg(F.min("seq").alias("seq")).select("seq", F.lit(0).alias("s"), F.lit(1).alias("t")))
+    every = rows.select("seq", F.lit(0).alias("s"), F.lit(0).alias("t")).unionByName(new).groupBy("seq").agg(F.max("s").alias("s"), F.max("t").alias("t"))
+    return running_sums(numbered_parts(every, "seq"), {"n_states": F.col("s"), "n_transitions": F.col("t")}, order=["seq"]).select("seq", "n_states", "n_transitions")
 
 
 def finish_model(counts: Mapping[tuple[str, str], float], current: str, idle: str = IDLE) -> dict[str, float]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .motifs import BEGIN, INSIDE, NONE
-from .ordering import running_sum
+from .ordering import PART, running_sums
 from .staging import staged
 
 
@@ -41,10 +41,9 @@ def point_f1(points: DataFrame, by: str = "channel") -> DataFrame:
 
 def running_point_f1(points: DataFrame) -> DataFrame:
     """Counts and scores after every element of each lane (channel, pos, time_ms, label, detected)."""
-    rows = point_outcomes(points)
-    for c in ("tp", "fp", "tn", "fn"):
-        rows = running_sum(rows, F.col(c), f"{c}_upto", keys=["channel"], order=["time_ms", "pos"])
-    rows = rows.drop("tp", "fp", "tn", "fn").withColumnsRenamed({f"{c}_upto": c for c in ("tp", "fp", "tn", "fn")})
+    counts = ("tp", "fp", "tn", "fn")
+    rows = running_sums(point_outcomes(points), {f"{c}_upto": F.col(c) for c in counts}, keys=["channel"], order=["time_ms", "pos"])
+    rows = rows.drop(*counts, PART).withColumnsRenamed({f"{c}_upto": c for c in counts})
     return point_scores(rows)
 
 
@@ -66,7 +65,7 @@ def event_segments(points: DataFrame, column: str, begin: str | None = None, non
     else:
         starts = F.col("before").isNull() | (F.col("label") == begin) | ((F.col("label") != none) != (F.col("before") != none))
         kind = F.when(F.col("label") == none, none).otherwise(begin)
-    rows = running_sum(rows.withColumn("kind", kind), starts.cast("long"), "event", keys=["channel"], order=["pos"], bucket_ms=size)
+    rows = running_sums(rows.withColumn("kind", kind).withColumnRenamed("part", PART), {"event": starts}, keys=["channel"], order=["pos"])
     events = staged(rows.groupBy("channel", "event").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("kind").alias("label")))
     final = events.groupBy("channel").agg(F.max("event").alias("final"))
     return events.join(final, "channel").select("channel", "first", "last", "label", (F.col("event") < F.col("final")).alias("closed"))

@@ -1,34 +1,60 @@
 """Running sums and positions over long ordered streams, without one task that sees them all.
 
-A window over a whole stream, or over a lane with a third of its rows, is one task. Here a stream is cut into buckets
-of time; sums of buckets give every bucket its start, and only rows of one bucket are ordered among themselves.
+A window over a whole stream, or over a lane with a third of its rows, is one task. Here a stream is cut into parts that
+follow one another; sums of parts give every part its start, and only rows of one part are ordered among themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
 
-BUCKET_MS = 3_600_000
+#: The column that says which part of its stream a row is in. It may be carried on as long as the order stays.
+PART = "__part"
+#: Rows of a part where rows are numbered already.
+STRETCH = 10_000
 
 
-def running_sum(
-    df: DataFrame, value: Column, name: str, *, keys: Sequence[str] = (), order: Sequence[str] = ("time_ms", "channel", "pos"), bucket_ms: int = BUCKET_MS,
-) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to and with each, by ``keys``, in ``order`` (a time in ms first)."""
-    # Read twice, by the sums and by the rows: staged, or a chain of running sums would double the work at each link.
-    cut = staged(df.withColumn("__bucket", F.floor(F.col(order[0]) / bucket_ms)).withColumn("__value", value))
-    by = [*keys, "__bucket"]
-    upto = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(*by).agg(F.sum("__value").alias("__sum")).withColumn("__start", F.coalesce(F.sum("__sum").over(upto), F.lit(0))).select(*by, "__start")
+def in_parts(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``df``, staged, with its part: stretches of ``keys`` and ``order`` that Spark cuts by sampling, so of similar sizes however dense the stream is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def running_sums(df: DataFrame, sums: Mapping[str, Column], *, keys: Sequence[str] = (), order: Sequence[str] = ("time_ms", "channel", "pos")) -> DataFrame:
+    """``df`` with, by name, sums over all rows up to and with each, by ``keys``, in ``order``: one pass for all of them.
+
+    Rows are cut into parts and staged, unless they say which part they are in already.
+    """
+    cut = df if PART in df.columns else in_parts(df, order, keys)
+    values = {f"__value_{n}": c.cast("long") for n, c in sums.items()}
+    by = [*keys, PART]
+    cut = cut.withColumns(values)
+    upto = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*by).agg(*[F.sum(f"__value_{n}").alias(f"__sum_{n}") for n in sums])
+    starts = starts.select(*by, *[F.coalesce(F.sum(f"__sum_{n}").over(upto), F.lit(0)).alias(f"__start_{n}") for n in sums])
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(starts, by).withColumn(name, F.col("__start") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).drop("__bucket", "__value", "__start")
+    out = cut.join(starts, by).withColumns({n: F.col(f"__start_{n}") + F.coalesce(F.sum(f"__value_{n}").over(inside), F.lit(0)) for n in sums})
+    return out.drop(*values, *[f"__start_{n}" for n in sums])
+
+
+def numbered_parts(df: DataFrame, place: str) -> DataFrame:
+    """``df`` with its parts, where ``place`` numbers the rows from 0 already: nothing is sampled or staged."""
+    return df.withColumn(PART, F.expr(f"{place} div {STRETCH}"))
+
+
+def with_lead(df: DataFrame, place: str, rows: int) -> DataFrame:
+    """``df`` cut into parts by ``place``, each also with the ``rows`` rows before it; ``own`` is false for these."""
+    size = max(STRETCH, rows)
+    cut = df.withColumn(PART, F.expr(f"{place} div {size}")).withColumn("own", F.lit(True))
+    lead = cut.where(F.col(place) % size >= size - rows).withColumn(PART, F.col(PART) + 1).withColumn("own", F.lit(False))
+    return cut.unionByName(lead)
 
 
 def position(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` with each row's place, from 0, by keys and order as in ``running_sum``."""
-    return running_sum(df, F.lit(1).cast("long"), name, **options).withColumn(name, F.col(name) - 1)
+    """``df`` with each row's place, from 0, by keys and order as in ``running_sums``."""
+    return running_sums(df, {name: F.lit(1)}, **options).withColumn(name, F.col(name) - 1).drop(PART)

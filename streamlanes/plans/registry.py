@@ -14,7 +14,7 @@ FLAGSHIP = "motif_labels"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-NUMERIC, IDLE_MS, HISTORY, ERRORS = 2, 600_000, 2, 100
+NUMERIC, IDLE_MS, HISTORY, ERRORS = 2, 600_000, 100, 100
 LENGTHS, LO, HI = (12, 16, 20), 0.08, 0.16
 CHUNK, M = 100, 16
 
@@ -212,7 +212,7 @@ late AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY time_ms, channel
 fired AS (SELECT * FROM (SELECT *, coalesce(lag(words) OVER (ORDER BY time_ms, channel, pos), 0) AS before FROM late WHERE k = 1) WHERE words > before),
 word_rows AS (SELECT time_ms, channel, pos, word, row_number() OVER (ORDER BY time_ms, channel, pos) - 1 AS seq FROM merged WHERE is_word),
 sess AS (SELECT w.*, (SELECT count(*) FROM fired f WHERE (f.time_ms, f.channel, f.pos) < (w.time_ms, w.channel, w.pos)) AS session FROM word_rows w),
-states AS (SELECT *, trim(coalesce(lag(word, 2) OVER s || ' ', '') || coalesce(lag(word, 1) OVER s, '')) AS state FROM sess WINDOW s AS (PARTITION BY session ORDER BY seq)),
+states AS (SELECT *, coalesce(string_agg(word, ' ') OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN """ + str(HISTORY) + """ PRECEDING AND 1 PRECEDING), '') AS state FROM sess),
 running AS (SELECT *, row_number() OVER (PARTITION BY state, word ORDER BY seq) AS c, dense_rank() OVER (PARTITION BY state ORDER BY word DESC) AS r FROM states),
 predicted AS (SELECT *, max({'c': c, 'r': r, 'w': word}) OVER (PARTITION BY state ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).w AS guess FROM running)"""
 

@@ -40,6 +40,27 @@ def test_predictions_use_only_what_came_before(spark):
     assert got == [None, None, None, "b", "a", "b", None, "b"]
 
 
+def test_states_and_predictions_over_parts(spark, monkeypatch):
+    """Sessions, counts and histories that cross the edges of small parts, against a plain loop."""
+    from streamlanes.operators import ordering
+
+    monkeypatch.setattr(ordering, "STRETCH", 7)
+    rng = random.Random(5)
+    words = [rng.choice("aab") for _ in range(120)]
+    session = [i // 50 for i in range(120)]
+    df = spark.createDataFrame([(i, 0, i, w, i, s) for i, (w, s) in enumerate(zip(words, session, strict=True))], "time_ms long, channel long, pos long, word string, seq long, session long")
+    states = langmodel.with_states(df, 3)
+    counts, want = {}, []
+    for i, w in enumerate(words):
+        state = " ".join(words[max(session[i] * 50, i - 3) : i])
+        seen = counts.setdefault(state, {})
+        want.append((state, min(seen, key=lambda x: (-seen[x], x)) if seen else None))
+        seen[w] = seen.get(w, 0) + 1
+    assert [(r.state, r.predicted) for r in langmodel.predictions(states).orderBy("seq").collect()] == want
+    last = langmodel.model_sizes(states).orderBy("seq").collect()[-1]
+    assert (last.n_states, last.n_transitions) == (len(counts), sum(map(len, counts.values())))
+
+
 def test_vocabulary_and_closing():
     langmodel.check_vocabulary({0: ["NA", "MOTIF_BEGIN", "idle"], 1: ["NA", "idle", "x"]}, [0])
     with pytest.raises(ValueError):

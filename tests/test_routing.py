@@ -3,7 +3,7 @@ import random
 import pytest
 
 from streamlanes.operators import routing
-from streamlanes.operators.ordering import position, running_sum
+from streamlanes.operators.ordering import position, running_sums
 from pyspark.sql import functions as F
 
 SCHEMA = "channel long, pos long, time_ms long"
@@ -26,13 +26,13 @@ def test_sequential_mux_matches_sorting(spark):
         assert {(r.channel, r.pos): r.seq for r in routing.sequential_mux(df, 3).collect()} == want
 
 
-def test_merge_and_running_sums_cross_buckets(spark):
+def test_merge_and_running_sums_cross_parts(spark):
     rows, df = stream(spark, random.Random(7))
     want = {r[:2]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0], r[1])))}
-    got = position(df, "seq", order=["time_ms", "channel", "pos"], bucket_ms=2)
+    got = position(df, "seq", order=["time_ms", "channel", "pos"])
     assert {(r.channel, r.pos): r.seq for r in got.collect()} == want
-    total = running_sum(df, F.col("pos"), "s", keys=["channel"], order=["time_ms", "pos"], bucket_ms=3)
-    assert all(r.s == r.pos * (r.pos + 1) // 2 for r in total.collect())
+    total = running_sums(df, {"s": F.col("pos"), "n": F.lit(1)}, keys=["channel"], order=["time_ms", "pos"])
+    assert all(r.s == r.pos * (r.pos + 1) // 2 and r.n == r.pos + 1 for r in total.collect())
 
 
 def test_sync_prefix_holds_what_later_elements_may_precede(spark):
