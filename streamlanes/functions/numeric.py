@@ -39,7 +39,9 @@ def within_limits(a: Column, b: Column, eps: float = EPSILON) -> Column:
 def lossless_cast(value: Column, to: str) -> Column:
     """``value`` as another type; an error where information would be lost. 0 and 1 are false and true."""
     done = value.try_cast(to)
-    back = F.when(value.isNull(), True).otherwise(F.coalesce(done.cast("double") == value.cast("double"), F.lit(False)))
+    # There and back in the value's own type, if not its text: through a double, whole numbers above 2^53 would pass.
+    again = F.coalesce(done.try_cast("decimal(38,0)") == value.try_cast("decimal(38,0)"), F.lit(True)) & (done.try_cast("double") == value.try_cast("double"))
+    back = F.when(value.isNull(), True).otherwise(F.coalesce(again, F.lit(False)))
     return F.when(back, done).otherwise(F.raise_error(F.lit(f"value does not fit {to}")))
 
 
@@ -55,12 +57,13 @@ def correlate(x: Sequence[float], y: Sequence[float], factor: float = 1.0, offse
     return np.correlate(factor * np.asarray(x, float) + offset, np.asarray(y, float), "valid")
 
 
-def correlate_column(value: str, taps: Sequence[float], by: Sequence[str], order: Sequence[str]) -> Column:
+def correlate_column(value: str, taps: Sequence[float], by: Sequence[str], order: Sequence[str], factor: float = 1.0, offset: float = 0.0) -> Column:
     """The same along a lane: at each row the dot product of ``taps`` with it and those after it, null where they run out."""
     w = Window.partitionBy(*by).orderBy(*order)
     total = None
     for k, t in enumerate(taps):
-        term = F.lead(value, k).over(w) * F.lit(float(t))
+        x = F.lead(value, k).over(w)
+        term = (x if factor == 1 and offset == 0 else x * F.lit(float(factor)) + F.lit(float(offset))) * F.lit(float(t))
         total = term if total is None else total + term
     return total
 
@@ -82,6 +85,20 @@ def log_kernel(length: int, sd: float) -> tuple[np.ndarray, float, float]:
     return taps, float(taps[taps < 0].sum()), float(taps[taps > 0].sum())
 
 
+def total_of(numbers: Sequence[float]) -> float:
+    """The sum, as configurations ask for it."""
+    return sum(numbers)
+
+
+def indices(start: int, end: int) -> list[int]:
+    """Whole numbers from ``start`` up to but without ``end``."""
+    return list(range(start, end))
+
+
+def same_sets(a: set, b: set) -> bool:
+    return set(a) == set(b)
+
+
 def is_partition(parts: Sequence[set], whole: set) -> bool:
     """Whether ``parts`` are disjoint, not empty and together ``whole``."""
     return all(parts) and sum(map(len, parts)) == len(whole) and set().union(*parts) == whole

@@ -117,26 +117,30 @@ def predictions(states: DataFrame) -> DataFrame:
     return best.withColumn("predicted", F.col("best")["word"]).drop("c", "start", "carried", "best", PART)
 
 
-def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100) -> DataFrame:
+def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100, counts: bool = False) -> DataFrame:
     """Word events with ``error`` and ``char_error``: shares of wrong predictions among the last ``last`` ones.
 
     The second counts events whose word or prediction is of a string lane, and stays as it was elsewhere (null before
-    the first). Events are numbered and cut into stretches that overlap by ``last``, so no task needs the whole stream.
+    the first). With ``counts`` also how many are counted (n, char_n), how many of them are wrong (wrong_n, char_wrong_n)
+    and how many of the second kind came before (char_before). Events are numbered and cut into parts that overlap by
+    ``last``, so no task needs the whole stream.
     """
     wrong = (F.col("predicted").isNull() | (F.col("predicted") != F.col("word"))).cast("long")
     lane = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("long")
     char = (lane(F.col("word")) >= numeric) | (F.coalesce(lane(F.col("predicted")), F.lit(-1)) >= numeric)
     rows = numbered_parts(predicted.withColumn("wrong", wrong).withColumn("char", char.cast("long")), "seq")
     rows = staged(running_sums(rows, {"char_no": F.col("char")}, order=["seq"]).drop(PART))
-    out = _rolling(rows, "seq", last, "error")
-    chars = _rolling(rows.where("char = 1").withColumn("place", F.col("char_no") - 1), "place", last, "char_error").select("char_no", "char_error")
+    out = _rolling(rows, "seq", last, "")
+    chars = _rolling(rows.where("char = 1").withColumn("place", F.col("char_no") - 1), "place", last, "char_").select("char_no", "char_error", "char_n", "char_wrong_n")
     # An event carries the value of the last char event up to it, which has the same running number.
-    return out.join(chars, "char_no", "left").drop("wrong", "char", "char_no")
+    joined = out.join(chars, "char_no", "left").withColumn("char_before", F.col("char_no") - F.col("char")).drop("wrong", "char", "char_no")
+    return joined if counts else joined.drop("n", "wrong_n", "char_n", "char_wrong_n", "char_before")
 
 
 def _rolling(rows: DataFrame, place: str, last: int, name: str) -> DataFrame:
     w = Window.partitionBy(PART).orderBy(place).rowsBetween(-(last - 1), 0)
-    return with_lead(rows, place, last - 1).withColumn(name, F.avg("wrong").over(w)).where("own").drop(PART, "own")
+    out = with_lead(rows, place, last - 1).withColumns({f"{name}n": F.count("*").over(w), f"{name}wrong_n": F.sum("wrong").over(w), f"{name}error": F.avg("wrong").over(w)})
+    return out.where("own").drop(PART, "own")
 
 
 def model_sizes(states: DataFrame) -> DataFrame:

@@ -88,10 +88,11 @@ def event_pairs(detected: DataFrame, true: DataFrame, none: str = NONE, grid: in
     return met.select("channel", "d_first", "t_first", F.when(same, f1).otherwise(0.0).alias("f1"))
 
 
-def best_f1(points: DataFrame, begin: str = BEGIN, none: str = NONE) -> DataFrame:
-    """(side, channel, first, is_none, f1) of every event that counts, with its best overlap's F1 (0 if there is none).
+def best_f1_events(points: DataFrame, begin: str = BEGIN, none: str = NONE) -> DataFrame:
+    """(side, channel, first, is_none, f1, final_at) of every event that counts, with its best overlap's F1 (0 if there is none).
 
-    An event counts once it is closed and the other side's closed events cover its end.
+    An event counts once it is closed and the other side's closed events cover its end; ``final_at`` is the place of the
+    element that makes it so: the one after its end and the end of the other side's event that covers it.
     """
     points = staged(points)
     d = staged(event_segments(points, "detected", begin, none).where("closed"))
@@ -99,14 +100,23 @@ def best_f1(points: DataFrame, begin: str = BEGIN, none: str = NONE) -> DataFram
     t = staged(event_segments(points.withColumn("truth", truth), "truth", None, none).where("closed"))
     pairs = staged(event_pairs(d, t, none))
     sides = []
-    for side, own, other, key in (("detected", d, t, "d_first"), ("true", t, d, "t_first")):
+    for side, own, other, key, theirs in (("detected", d, t, "d_first", "t_first"), ("true", t, d, "t_first", "d_first")):
         covered = other.groupBy("channel").agg(F.max("last").alias("covered"))
-        best = pairs.groupBy("channel", F.col(key).alias("first")).agg(F.max("f1").alias("f1"))
-        counts = own.join(covered, "channel").where(F.col("last") <= F.col("covered"))
-        sides.append(counts.join(best, ["channel", "first"], "left").select(F.lit(side).alias("side"), "channel", "first", (F.col("label") == none).alias("is_none"), F.coalesce("f1", F.lit(0.0)).alias("f1")))
+        met = pairs.join(other.select("channel", F.col("first").alias(theirs), F.col("last").alias("reach")), ["channel", theirs])
+        best = met.groupBy("channel", F.col(key).alias("first")).agg(F.max("f1").alias("f1"), F.max("reach").alias("reach"))
+        counts = own.join(covered, "channel").where(F.col("last") <= F.col("covered")).join(best, ["channel", "first"], "left")
+        sides.append(counts.select(
+            F.lit(side).alias("side"), "channel", "first", (F.col("label") == none).alias("is_none"), F.coalesce("f1", F.lit(0.0)).alias("f1"),
+            (F.greatest("last", F.coalesce("reach", F.col("last"))) + 1).alias("final_at"),
+        ))
     return sides[0].unionByName(sides[1])
 
 
+def best_f1(points: DataFrame, begin: str = BEGIN, none: str = NONE) -> DataFrame:
+    """(side, channel, first, is_none, f1) of every event that counts."""
+    return best_f1_events(points, begin, none).drop("final_at")
+
+
 def event_f1(points: DataFrame) -> DataFrame:
     """One row: macro precision (over detected events), recall (over true ones) and F1 of motifs and of none, and overall."""
     e = best_f1(points)

@@ -38,6 +38,11 @@ def concatenated(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def sorted_by(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Ascending; Spark sorts by ranges, so no task has it all."""
+    return df.orderBy(*order)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row for each ``keys`` in ``order``."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

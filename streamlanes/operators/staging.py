@@ -13,16 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED = "/tmp/streamlanes-shared"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as files in the folder of spark.checkpoint.dir: lineage and plan end there, and no lost executor brings them back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the folder of spark.checkpoint.dir, which a cluster must name, removed when the driver ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(named or LOCAL_SHARED).rstrip('/')}/streamlanes/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{(named or LOCAL_SHARED).rstrip('/')}/streamlanes/{name}"
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as files in the folder of spark.checkpoint.dir: lineage and plan end there, and no lost executor brings them back."""
+    path = shared_path(df.sparkSession, f"stage-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

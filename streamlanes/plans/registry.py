@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import langmodel, metrics, motifs, profile, report, routing
 from ..operators.detector import detect
+from ..operators.staging import shared_path
 from ..sources import lanes
 
 FLAGSHIP = "motif_labels"
@@ -42,8 +45,9 @@ def r4(*names: str) -> list:
 
 @query(LANES + " SELECT channel, count(*) AS n, min(time_ms) AS first_ms, max(time_ms) AS last_ms, round(sum(value), 4) AS total FROM lanes GROUP BY channel")
 def demux_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lanes.event_lanes(spark, sf_dir).groupBy("channel").agg(
-        F.count("*").alias("n"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.round(F.sum("value"), 4).alias("total"))
+    stream = lanes.event_lanes(spark, sf_dir)
+    sums = [F.count("*").alias("n"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.round(F.sum("value"), 4).alias("total")]
+    return report.concatenated([routing.demux(stream, lane).groupBy("channel").agg(*sums) for lane in sorted(routing.lane_sizes(stream))])
 
 
 @query("SELECT event_id, CAST(event_id % 5 AS BIGINT) AS channel FROM events")
@@ -354,6 +358,8 @@ def drop_empty_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return e.groupBy("k").agg(F.count("*").alias("n"))
+    path = shared_path(spark, f"props-{uuid.uuid4().hex}")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("props").write.text(path)
+    found = lanes.read_json_path(spark, path, ["k"], lines=True)
+    return found.select(F.col("value").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +82,21 @@ class PullSource(DataSource):
         return _PullStream(self, int(self.options.get("chunk", self.chunk)))
 
 
+class CounterSource(PullSource):
+    """A demo source: elements (source_id, channel, data_id) that count up, dealt to ``lanes`` channels in turn. Options: source, lanes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lanes_counter"
+
+    def schema(self) -> str:
+        return "source_id long, channel long, data_id long"
+
+    def pull(self, start: int, most: int) -> list[tuple]:
+        source, n = int(self.options.get("source", 0)), int(self.options.get("lanes", 5))
+        return [(source, k % n, k) for k in range(start, start + most)]
+
+
 class _PullReader(DataSourceReader):
     def __init__(self, source: PullSource, rows: int, parts: int):
         self.source, self.rows, self.parts = source, rows, parts
@@ -140,24 +154,26 @@ def read_report_csv(spark: SparkSession, path: str | list[str], columns: Sequenc
     return selector(df) if selector else df
 
 
-def read_json_path(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """(value) at a key path of JSON files: the value as text, one row for each element of a list."""
-    found = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$" + "".join(f"['{k}']" for k in keys)).alias("value"))
+def read_json_path(spark: SparkSession, path: str, keys: Sequence[str], *, lines: bool = False) -> DataFrame:
+    """(value) at a key path of JSON files, or of each of their ``lines``: the value as text, one row for each element of a list."""
+    found = spark.read.text(path, wholetext=not lines).select(F.get_json_object("value", "$" + "".join(f"['{k}']" for k in keys)).alias("value"))
     as_list = F.from_json("value", "array<string>")
     return found.select(F.explode(F.when(F.startswith("value", F.lit("[")), as_list).otherwise(F.array("value"))).alias("value"))
 
 
-def count_transitions(spark: SparkSession, path: str) -> DataFrame:
-    """(n_transitions) of model files: entries of all members of the map ``states``."""
+def count_transitions(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(n_transitions) of model files, or of each of their ``lines``: entries of all members of the map ``states``."""
     states = F.from_json(F.get_json_object("value", "$.states"), "map<string,string>")
-    rows = spark.read.text(path, wholetext=True).select(F.explode_outer(states).alias("state", "body"))
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode_outer(states).alias("state", "body"))
     size = F.coalesce(F.size(F.from_json("body", "array<string>")), F.size(F.json_object_keys("body")))
     return rows.agg(F.coalesce(F.sum(F.when(F.col("body").isNotNull(), size)), F.lit(0)).cast("long").alias("n_transitions"))
 
 
-def experiments(root: str, pattern: str) -> list[str]:
-    """Names of subfolders of ``root`` that match ``pattern``, sorted."""
-    return sorted(p.name for p in Path(root).iterdir() if p.is_dir() and re.search(pattern, p.name))
+def experiments(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Names of subfolders of ``root`` that match ``pattern``, sorted; on any storage that Spark reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and re.search(pattern, f.getPath().getName()))
 
 
 def int_from_file(path: str) -> int:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from streamlanes.plans import report_queries  # noqa: F401
 from streamlanes.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -87,6 +87,10 @@ def test_lossless_casts_and_durations(spark):
     df = spark.createDataFrame([(1, 2.0, 3_600_000 * 101 + 61_007)], "a long, b double, ms long")
     r = df.select(num.lossless_cast(F.col("a"), "boolean").alias("x"), num.lossless_cast(F.col("b"), "int").alias("y"), num.duration_text(F.col("ms")).alias("z")).first()
     assert (r.x, r.y, r.z) == (True, 2, "101:01:01:007")
+    assert spark.sql(f"SELECT {2**53} AS v").select(num.lossless_cast(F.col("v"), "double").alias("x")).first().x == 2.0**53
+    with pytest.raises(Exception, match="does not fit"):
+        spark.sql(f"SELECT {2**53 + 1} AS v").select(num.lossless_cast(F.col("v"), "double")).collect()
+    assert num.total_of([1, 2.5]) == 3.5 and num.indices(2, 5) == [2, 3, 4] and num.same_sets({1}, {1})
     for value, to in ((2.5, "int"), (2.0, "boolean"), (1e12, "int")):
         with pytest.raises(Exception, match="does not fit"):
             spark.createDataFrame([(value,)], "v double").select(num.lossless_cast(F.col("v"), to)).collect()
@@ -140,7 +144,7 @@ def test_files(spark, tmp_path):
     assert [r.value for r in lanes.read_json_path(spark, str(tmp_path / "m.json"), ["k", "v"]).collect()] == ["1", "2"]
     for n in ("run_1", "run_2", "other"):
         (tmp_path / n).mkdir()
-    assert lanes.experiments(str(tmp_path), "^run_") == ["run_1", "run_2"]
+    assert lanes.experiments(spark, str(tmp_path), "^run_") == ["run_1", "run_2"]
     (tmp_path / "port").write_text("6311\nx")
     assert lanes.int_from_file(str(tmp_path / "port")) == 6311
     log = logging.getLogger("levels")
