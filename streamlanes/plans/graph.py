@@ -171,10 +171,90 @@ class Builder:
             return {k: self.value(x) for k, x in v.items()}
         return [self.value(x) for x in v] if isinstance(v, list) else v
 
-    def run(self) -> Any:
-        """Fold the chain: each node is called with the outputs of those it reads from; the leaf's output is returned."""
+    def run(self, *given: Any) -> Any:
+        """Fold the chain: each node is called with the outputs of those it reads from, the root with ``given``; the leaf's output is returned.
+
+        With ``given`` a chain is open: a function of the streams that enter it, to be a node of another chain.
+        """
         order, outputs = chain_order(self.spec.chain, self.spec.edges), {}
         for node in order:
             inputs = [outputs[a] for a in order if node in self.spec.edges.get(a, ())]
-            outputs[node] = self.make(node)(*inputs)
+            outputs[node] = self.make(node)(*(inputs or given))
         return outputs[order[-1]]
+
+
+def composite(receive: Callable[..., Any], transmit: Callable[[Any], Any], between: Callable[[], None] | None = None) -> Callable[..., Any]:
+    """One node of two: what ``receive`` makes of the input goes to ``transmit``; ``between`` is called once the first is through."""
+
+    def run(*inputs: Any) -> Any:
+        received = receive(*inputs)
+        if between:
+            between()
+        return transmit(received)
+
+    return run
+
+
+class Junction:
+    """A node with a second output, which must be fetched exactly once, before the junction runs."""
+
+    def __init__(self):
+        self.fetched, self.ran, self.stream = False, False, None
+
+    def second(self) -> Callable[[], Any]:
+        """The second output, as the root of another chain."""
+        if self.fetched:
+            raise ValueError("the junction's second output is fetched already")
+        self.fetched = True
+
+        def root() -> Any:
+            if not self.ran:
+                raise ValueError("the junction has not run yet")
+            return self.stream
+
+        return root
+
+    def __call__(self, stream: Any) -> Any:
+        if not self.fetched:
+            raise ValueError("nothing fetches the junction's second output")
+        self.ran, self.stream = True, stream
+        return stream
+
+
+class Application:
+    """Several closed chains over the same objects and nodes: sections objects, nodes and chains, by name, each with chain and edges.
+
+    All nodes are made before any chain runs. A chain with a node that refers to one of another chain runs after it,
+    else chains run in the order of their names.
+    """
+
+    def __init__(self, text: str, registry: Registry, given: Mapping[str, Any] | None = None):
+        raw = json.loads(text)
+        for section in ("objects", "nodes", "chains"):
+            if not raw.get(section) and section != "objects":
+                raise ValueError(f"section {section} is missing or empty")
+        objects, nodes = raw.get("objects", {}), raw["nodes"]
+        if both := set(objects) & set(nodes):
+            raise ValueError(f"names are used twice: {sorted(both)}")
+        self.specs = {}
+        for name, c in sorted(raw["chains"].items()):
+            self.specs[name] = Spec(objects, nodes, c["edges"], c["chain"])
+            self.specs[name].check()
+        inside = [n for s in self.specs.values() for n in s.chain]
+        if len(set(inside)) != len(inside):
+            raise ValueError("a node stands in two chains")
+        self.builder = Builder(next(iter(self.specs.values())), registry, given)
+
+    def run(self) -> dict[str, Any]:
+        """Each chain's output by its name."""
+        owner = {n: name for name, s in self.specs.items() for n in s.chain}
+        nodes = next(iter(self.specs.values())).nodes
+        needs = {name: {owner[r] for n in s.chain for r in _references(nodes[n].get("args", {})) if owner.get(r, name) != name} for name, s in self.specs.items()}
+        for name in self.specs:
+            for n in self.specs[name].chain:
+                self.builder.make(n)
+        out = {}
+        for name in _sorted(needs):
+            self.builder.spec = self.specs[name]
+            out[name] = self.builder.run()
+        return out

@@ -11,6 +11,8 @@ from ..operators import langmodel, profile, report, reports
 from ..operators.staging import shared_path
 from ..sources import lanes
 from . import registry as r
+from .application import SPEC, operators
+from .graph import Application
 
 CLOCK = "printf('%02d:%02d:%02d:%03d', {0} // 3600000, {0} % 3600000 // 60000, {0} % 60000 // 1000, {0} % 1000)"
 TIMES = f"""time_ms - start AS "Runtime / ms", {CLOCK.format('(time_ms - start)')} AS "Runtime HH:mm:ss:SSS", time_ms AS "Timestamp / ms", {CLOCK.format('time_ms')} AS "Timestamp HH:mm:ss:SSS\""""
@@ -127,3 +129,24 @@ def concatenated_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.col("event_type").isin("click", "view")
     both = report.concatenated([e.where(some).select("user_id", "value"), e.where(~some).select("user_id", (F.col("value") * 2).alias("value"))])
     return report.sorted_by(both, ["user_id", "value"]).select("user_id", F.round("value", 1).alias("value"))
+
+
+# The application's oracle puts the other queries' parts together: motifs found, labels and words merged, errors and scores.
+_FOUND = r._candidate_ctes().replace("states AS (", "opened AS (").replace("FROM states WHERE", "FROM opened WHERE") + """,
+seen AS (SELECT l.*, CASE WHEN l.pos % 48 = 16 THEN 'MOTIF_BEGIN' WHEN l.pos % 48 BETWEEN 17 AND 31 THEN 'MID_MOTIF' ELSE 'NA' END AS truth,
+  CASE WHEN b.start IS NULL THEN 'NA' WHEN l.pos = b.buffer * 10000 + b.start THEN 'MOTIF_BEGIN' ELSE 'MID_MOTIF' END AS detected
+  FROM lanes l LEFT JOIN best b ON l.channel = b.channel AND l.pos BETWEEN b.buffer * 10000 + b.start AND b.buffer * 10000 + b.start + b.length - 1),
+labelled AS (SELECT channel, pos, time_ms, event_id, value, event_type, CASE WHEN channel < 2 THEN detected WHEN value > 150.0 THEN event_type ELSE 'NA' END AS label FROM seen),
+points AS (SELECT channel, pos, time_ms, truth AS label, detected FROM seen WHERE channel < 2)"""
+_EVENT_CTES, _EVENT_SELECT = r.ORACLES["event_f1"][len(r.POINTS) :].rsplit("\nSELECT round(", 1)
+_ERROR_CTES, _ERROR_SELECT = r.ORACLES["rolling_error"][len(r.LABELLED) :].rsplit("\nSELECT f.seq", 1)
+
+
+@r.query(_FOUND + _ERROR_CTES + _EVENT_CTES + f"""
+SELECT 'errors' AS sink, x.seq AS n, x.error AS a, x.char_error AS b FROM (SELECT f.seq{_ERROR_SELECT}) x
+UNION ALL SELECT 'scores', 0, y.pos_f1, y.neg_f1 FROM (SELECT round({_EVENT_SELECT}) y""")
+def application_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application's JSON spec, run as it stands: the outputs of both its chains."""
+    out = Application(SPEC, operators(spark, sf_dir)).run()
+    errors = out["errors"].select(F.lit("errors").alias("sink"), F.col("seq").alias("n"), F.round("error", 4).alias("a"), F.round("char_error", 4).alias("b"))
+    return errors.unionByName(out["scores"].select(F.lit("scores").alias("sink"), F.lit(0).cast("long").alias("n"), F.round("pos_f1", 4).alias("a"), F.round("neg_f1", 4).alias("b")))
