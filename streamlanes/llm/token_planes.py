@@ -166,6 +166,9 @@ class CachedEncoder:
         cuts = told["pre_tokenizer"] or {}
         self.by_words = (cuts.get("type"), cuts.get("use_regex"), cuts.get("add_prefix_space")) == ("ByteLevel", True, False) and not (told["normalizer"] or told["truncation"] or told["padding"])
         self.special = [t["content"] for t in told["added_tokens"]]
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of pieces that start with a blank
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.blank[i] = piece.startswith("\u0120")
         self.pieces_of = regex.compile(public_tokenizers.PATTERN).findall
         self.cache, self.words, self.older, self.pieces = cache, {}, {}, {}
 
@@ -175,6 +178,20 @@ class CachedEncoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [_octets(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str], together: int = 5000) -> list[bytes]:
+        """Ids of words behind a blank each. They are encoded as one text and cut where ids start with a blank, as only a word's first does."""
+        out: list[bytes] = []
+        for s in range(0, len(words), together):
+            part = words[s : s + together]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*(np.flatnonzero(self.blank[ids]) * 4).tolist(), 4 * len(ids)]
+            if len(cuts) != len(part) + 1:
+                out += self._encode([" " + w for w in part])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def _learn(self, missing: set[str]) -> None:
         if len(self.words) > self.cache:
             self.older, self.words = self.words, {}
@@ -198,7 +215,7 @@ class CachedEncoder:
             else:
                 rest.append((w, self.pieces_of(" " + w)))
         fresh = list(plain)
-        words.update(zip(fresh, self._encode([" " + w for w in fresh]), strict=True))
+        words.update(zip(fresh, self._encode_words(fresh), strict=True))
         new = list(({p for _, ps in rest for p in ps} | set(ENDS)).difference(self.pieces))
         self.pieces.update(zip(new, self._encode(new), strict=True))
         for w in ended:
