@@ -43,22 +43,35 @@ class OrderedMerge:
         self.held, self.seq = self.held[n:], self.seq + n
         return out
 
+    def drop_oldest(self) -> bool:
+        """Give up the oldest element that waits for another lane. Whether some wait still."""
+        self.held = self.held[1:]
+        return bool(self.held)
 
-def merge_stream(stream: DataFrame, lanes: int) -> DataFrame:
+
+def merge_stream(stream: DataFrame, lanes: int, discard_ms: int | None = None) -> DataFrame:
     """A stream (channel, pos, time_ms, label, value) of ``lanes`` lanes in one order of time, with ``seq``.
 
     A lane that ended (a row labelled END) holds nothing back; a lane that has not begun holds back everything. One
     order is one key, so this is one task: feed it word events, which are few, not raw elements. Falling times are an
-    error. The state is what waits, kept in the checkpoint.
+    error. The state is what waits, kept in the checkpoint. With ``discard_ms``, elements that wait for a silent lane so
+    long by the clock are given up, the oldest first, one at each trigger, until the lanes go on or nothing waits.
     """
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         merge = OrderedMerge(lanes)
         if state.exists:
             merge.last, merge.ended, held, merge.seq = json.loads(state.get[0])
             merge.held = [tuple(r) for r in held]
-        rows = pd.concat(list(frames))[["channel", "pos", "time_ms", "label", "value"]].astype(object)
-        out = merge.feed([tuple(r) for r in rows.itertuples(index=False)])
+        out: list[tuple] = []
+        wait = discard_ms
+        if state.hasTimedOut:
+            wait = 1 if merge.drop_oldest() else None
+        else:
+            rows = pd.concat(list(frames))[["channel", "pos", "time_ms", "label", "value"]].astype(object)
+            out = merge.feed([tuple(r) for r in rows.itertuples(index=False)])
         state.update((json.dumps([merge.last, merge.ended, merge.held, merge.seq]),))
+        if discard_ms is not None and wait and merge.held:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["channel", "pos", "time_ms", "label", "value", "seq"]).astype({c: "int64" for c in ("channel", "pos", "time_ms", "seq")} | {"value": "float64"})
 
-    return stream.withColumn("merge_key", F.lit(0)).groupBy("merge_key").applyInPandasWithState(run, MERGED, "merge string", "append", GroupStateTimeout.NoTimeout)
+    return stream.withColumn("merge_key", F.lit(0)).groupBy("merge_key").applyInPandasWithState(run, MERGED, "merge string", "append", GroupStateTimeout.NoTimeout if discard_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -189,3 +189,107 @@ def test_lanes_are_numbered_depth_first():
     width = {"demux": 4, "junction": 4, "detectors": 2, "f1": 2, "lm": 4}
     got = lane_numbers(edges, "demux", width)
     assert got[("f1", 0)] == ("lm", 0) and got[("f1", 1)] == ("lm", 1) and got[("junction", 2)] == ("lm", 2) and got[("junction", 3)] == ("lm", 3)
+
+
+def test_junctions_composites_and_open_chains():
+    from streamlanes.plans.graph import Application, Junction, composite
+
+    j = Junction()
+    with pytest.raises(ValueError, match="nothing fetches"):
+        j(1)
+    second = j.second()
+    with pytest.raises(ValueError, match="has not run"):
+        second()
+    with pytest.raises(ValueError, match="fetched already"):
+        j.second()
+    assert j([1]) == [1] == second()
+    calls = []
+    assert composite(lambda x: x + 1, lambda x: x * 2, lambda: calls.append(1))(3) == 8 and calls == [1]
+    registry = Registry()
+    registry.add("source", lambda: lambda: [1, 2])
+    registry.add("double", lambda: lambda xs: [2 * x for x in xs])
+    registry.add("sum", lambda: sum)
+    registry.add("junction", Junction)
+    registry.add("second", lambda of: of.second())
+    spec = {
+        "nodes": {"s": {"type": "source"}, "d": {"type": "double"}, "j": {"type": "junction"}, "t": {"type": "sum"}, "r": {"type": "second", "args": {"of": {"ref": "j"}}}, "u": {"type": "double"}},
+        "chains": {"b": {"chain": ["s", "d", "j", "t"], "edges": {"s": ["d"], "d": ["j"], "j": ["t"]}}, "a": {"chain": ["r", "u"], "edges": {"r": ["u"]}}},
+    }
+    assert Application(json.dumps(spec), registry).run() == {"b": 6, "a": [4, 8]}
+    with pytest.raises(ValueError, match="two chains"):
+        Application(json.dumps(spec | {"chains": spec["chains"] | {"c": spec["chains"]["a"]}}), registry)
+    part = Builder(Spec({}, spec["nodes"], {"d": ["t"]}, ["d", "t"]), registry)
+    assert part.run([5, 6]) == 22  # open: what enters is given
+
+
+def test_streamed_event_scores_are_those_of_the_batch(spark):
+    from streamlanes.streaming.scores import EventScores
+
+    rng = random.Random(2)
+    rows, want_state = [], 0
+    for c in (0, 1):
+        truth, found = "NA", "NA"
+        for i in range(400):
+            truth = rng.choice(["NA", "A", "B"]) if rng.random() < 0.1 else truth
+            found = rng.choice(["NA", "MOTIF_BEGIN"]) if rng.random() < 0.12 else "MID_MOTIF" if found != "NA" else "NA"
+            rows.append((c, i, i, truth, found))
+    df = spark.createDataFrame(rows, "channel long, pos long, time_ms long, label string, detected string")
+    want = sorted((r.channel, r.final_at, r.side, r.first, r.is_none, round(r.f1, 9)) for r in metrics.best_f1_events(df).collect())
+    got = []
+    for c in (0, 1):
+        s = EventScores()
+        for _, pos, _, truth, found in (r for r in rows if r[0] == c):
+            t = EventScores()
+            t.restore(s.state())  # as after each micro-batch
+            s = t
+            got += [(c, pos, side, first, none, round(f1, 9)) for side, first, none, f1 in s.feed(truth, found)]
+            want_state = max(want_state, len(s.ended["detected"]) + len(s.ended["true"]))
+    assert sorted(got) == want and len(want) > 50 and want_state < 20
+
+
+def test_event_scores_on_a_stream(spark, tmp_path):
+    from streamlanes.streaming.scores import score_stream
+
+    rows = [(0, i, i, "A" if i % 20 < 8 else "NA", "MOTIF_BEGIN" if i % 20 == 1 else "MID_MOTIF" if 1 < i % 20 < 9 else "NA") for i in range(200)]
+    df = spark.createDataFrame(rows, "channel long, pos long, time_ms long, label string, detected string")
+    for part, (a, b) in enumerate(((0, 90), (90, 200))):
+        df.where(f"pos >= {a} AND pos < {b}").coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = score_stream(stream).writeStream.format("memory").queryName("event_scores").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted((r.side, r.first, r.pos, round(r.f1, 9)) for r in spark.table("event_scores").collect())
+    assert got == sorted((r.side, r.first, r.final_at, round(r.f1, 9)) for r in metrics.best_f1_events(df).collect())
+
+
+def test_a_merge_gives_up_what_waits_too_long():
+    from streamlanes.streaming.merge import OrderedMerge
+
+    m = OrderedMerge(2)
+    assert m.feed([(0, 0, 5, "a", 1.0), (0, 1, 7, "b", 1.0)]) == []
+    assert m.drop_oldest() and [h[2] for h in m.held] == [7]
+    assert [r[2] for r in m.feed([(1, 0, 9, "c", 1.0)])] == []
+    assert [r[2] for r in m.feed([(0, 2, 10, "d", 1.0), (1, 1, 12, "e", 1.0)])] == [7, 9]
+    assert [h[2] for h in m.held] == [10, 12] and m.drop_oldest() and not m.drop_oldest()
+
+
+def test_configured_lanes_keep_their_limits(spark):
+    df = lanes.configured_lanes(spark, 4).cache()
+    again = lanes.configured_lanes(spark, 4)
+    assert df.exceptAll(again).count() == 0
+    rows = df.where("channel = 0").orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(len(rows))) and all(1 <= b.time_ms - a.time_ms <= 30 for a, b in zip(rows, rows[1:]))
+    starts = [r.pos for r in rows if r.label == "MOTIF_BEGIN"]
+    assert len(starts) == 8 and all(rows[s + k].label == "MID_MOTIF" for s in starts for k in range(1, 100))
+    gaps = [b - a - 100 for a, b in zip(starts, starts[1:])]
+    assert all(50 <= g <= 100 for g in gaps[::2]) and all(510 <= g <= 1100 for g in gaps[1::2])
+    assert df.where("(value_num IS NULL) = (value_str IS NULL)").count() == 0
+    assert df.where("channel = 2 AND label <> 'NA'").count() == 8
+
+
+def test_table_functions_in_sql(spark):
+    from streamlanes.functions.tabular import register_functions
+
+    register_functions(spark)
+    spark.createDataFrame([(3, 2), (9, 1)], "s long, n long").createOrReplaceTempView("found_motifs")
+    got = spark.sql("SELECT pos, label FROM found_motifs, LATERAL expand_motif(s, n) ORDER BY pos").collect()
+    assert [tuple(r) for r in got] == [(3, "MOTIF_BEGIN"), (4, "MID_MOTIF"), (9, "MOTIF_BEGIN")]
