@@ -8,7 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+from .ordering import PART, numbered_parts, running_sums
 from .profile import filtered, matrix_profile, usable_lengths
+from .staging import staged
 
 Candidate = tuple[int, int, float]  # start, length, unfitness: low is good
 BEGIN, INSIDE, NONE = "MOTIF_BEGIN", "MID_MOTIF", "NA"
@@ -20,15 +23,25 @@ def hysteresis(profile: DataFrame, lo: float, hi: float, unfitness: str = "exit"
     """(channel, buffer, start, length, unfitness): segments that open at ``lo`` or less and last while at ``hi`` or less.
 
     The first and the last point of a profile open and continue nothing. A segment starts at its leftmost minimum; its
-    unfitness is the value just after it ("exit") or its minimum ("min"). A group is a lane's whole profile at one length, in order, in one task.
+    unfitness is the value just after it ("exit") or its minimum ("min"). Profiles are gone through by parts: what is
+    open at a part's start follows from the parts before, so no task has a lane's whole profile.
     """
     by = ["channel", "buffer", "m"]
-    order = Window.partitionBy(*by).orderBy("i")
-    inner = (F.col("i") >= 1) & (F.col("i") <= F.col("n") - 2)
-    state = F.last(F.when(F.col("d") <= lo, 1).when(F.col("d") > hi, 0), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = profile.withColumn("after", F.lead("d").over(order)).where(inner).withColumn("state", F.coalesce(state, F.lit(0)))
-    flips = F.when(F.col("state") != F.coalesce(F.lag("state").over(order), F.lit(0)), 1).otherwise(0)
-    runs = rows.withColumn("flip", flips).withColumn("run", F.sum("flip").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("state = 1")
+    given = staged(profile)
+    cut = numbered_parts(given, "i").withColumn("own", F.lit(True))
+    following = cut.where((F.col("i") % ordering.STRETCH == 0) & (F.col(PART) > 0)).withColumn(PART, F.col(PART) - 1).withColumn("own", F.lit(False))
+    order = Window.partitionBy(*by, PART).orderBy("i")
+    inner = F.col("own") & (F.col("i") >= 1) & (F.col("i") <= F.col("n") - 2)
+    mark = F.when(F.col("d") <= lo, 1).when(F.col("d") > hi, 0)
+    rows = cut.unionByName(following).withColumn("after", F.lead("d").over(order)).where(inner).withColumn("mark", mark)
+    marks = numbered_parts(given, "i").where((F.col("i") >= 1) & (F.col("i") <= F.col("n") - 2)).withColumn("mark", mark)
+    last = marks.groupBy(*by, PART).agg(F.max(F.when(F.col("mark").isNotNull(), F.struct("i", "mark")))["mark"].alias("last"))
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*by, PART, F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(0)).alias("carried"))
+    state = F.coalesce(F.last("mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
+    rows = rows.join(last, [*by, PART]).withColumn("state", state)
+    rows = rows.withColumn("flip", F.col("state") != F.coalesce(F.lag("state").over(order), F.col("carried")))
+    runs = running_sums(rows.select(*by, PART, "i", "d", "after", "state", "flip"), {"run": F.col("flip")}, keys=by, order=["i"]).where("state = 1")
     found = runs.groupBy(*by, "run").agg(F.min(F.struct("d", "i")).alias("low"), F.max(F.struct("i", "after")).alias("end"))
     value = F.col("end.after") if unfitness == "exit" else F.col("low.d")
     return found.select("channel", "buffer", F.col("low.i").alias("start"), F.col("m").alias("length"), value.alias("unfitness"))

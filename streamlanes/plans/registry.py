@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..operators import langmodel, metrics, motifs, profile, report, routing
 from ..operators.detector import detect
-from ..operators.staging import shared_path
+from ..operators.staging import shared_path, staged
 from ..sources import lanes
 
 FLAGSHIP = "motif_labels"
@@ -177,8 +177,8 @@ def length_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.event_lanes(spark, sf_dir).select("channel").distinct().select("channel", ladder.alias("m"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.hysteresis(profile.profiles(lanes.event_lanes(spark, sf_dir), LENGTHS), LO, HI)
+def _candidates(spark: SparkSession, sf_dir: str, stream: DataFrame | None = None) -> DataFrame:
+    return motifs.hysteresis(profile.profiles(lanes.event_lanes(spark, sf_dir) if stream is None else stream, LENGTHS), LO, HI)
 
 
 @query(_candidate_ctes() + " SELECT channel, buffer, start, length, round(unfitness, 6) AS unfitness FROM cand")
@@ -199,8 +199,9 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_candidate_ctes() + """ SELECT l.channel, l.pos, CASE WHEN b.start IS NULL THEN 'NA' WHEN l.pos = b.buffer * 10000 + b.start THEN 'MOTIF_BEGIN' ELSE 'MID_MOTIF' END AS detected
 FROM lanes l LEFT JOIN best b ON l.channel = b.channel AND l.pos BETWEEN b.buffer * 10000 + b.start AND b.buffer * 10000 + b.start + b.length - 1""")
 def motif_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = motifs.merge_overlaps(motifs.shortest_by_start(_candidates(spark, sf_dir)))
-    return motifs.motif_labels(lanes.event_lanes(spark, sf_dir), found, profile.BUFFER)
+    stream = staged(lanes.event_lanes(spark, sf_dir).select("channel", "pos", "value"))
+    found = motifs.merge_overlaps(motifs.shortest_by_start(_candidates(spark, sf_dir, stream)))
+    return motifs.motif_labels(stream, found, profile.BUFFER)
 
 
 @query()

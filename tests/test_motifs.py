@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from streamlanes.functions import numeric as num
-from streamlanes.operators import motifs, profile
+from streamlanes.operators import motifs, ordering, profile
 from streamlanes.operators.detector import BufferedDetector, detect, searcher
 from streamlanes.streaming.detector import END, detect_stream
 
@@ -48,7 +48,9 @@ def test_filters_and_lengths():
     assert list(profile.usable_lengths(21, [10, 20, 40])) == [10, 20]
 
 
-def test_tables_and_arrays_agree(spark):
+@pytest.mark.parametrize("stretch", [10_000, 37])
+def test_tables_and_arrays_agree(spark, monkeypatch, stretch):
+    monkeypatch.setattr(ordering, "STRETCH", stretch)
     rows = [(c, p, float(v)) for c, seed in ((0, 1), (1, 5)) for p, v in enumerate(planted(seed=seed))]
     df = spark.createDataFrame(rows, "channel long, pos long, value double")
     for lo, hi in ((0.05, 0.2), (0.3, 0.5)):
