@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numeric as num
 from ..operators import langmodel, profile, report, reports
 from ..operators.staging import shared_path
 from ..sources import lanes
@@ -116,6 +117,33 @@ def scaled_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.tap_filter(lanes.event_lanes(spark, sf_dir), r.PATTERN, 0.5, 2.0).select("channel", "pos", *r.r4("y"))
 
 
+def _smoothed_sql(taps) -> str:
+    raw = r._profile_ctes([r.M]).replace("round(least(", "(least(").replace(", 6) AS d", ") AS d")
+    dot = " + ".join(f"lead(d, {k}) OVER w * CAST({float(t)!r} AS DOUBLE)" for k, t in enumerate(taps))
+    return raw + f" SELECT channel, m, i, round(y, 4) AS d, n - {len(taps) - 1} AS n FROM (SELECT *, {dot} AS y FROM prof WINDOW w AS (PARTITION BY channel, m ORDER BY i)) WHERE y IS NOT NULL"
+
+
+@r.query(_smoothed_sql(num.gauss_kernel(3 * r.M, r.M / 2)))
+def smoothed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.profiles(lanes.event_lanes(spark, sf_dir), [r.M], mode="GAUSS", digits=9)
+    return found.select("channel", "m", "i", F.round("d", 4).alias("d"), "n")
+
+
+@r.query(r.LANES + f""", g AS (SELECT channel * 1000000 + pos // 24 AS grp, list(value ORDER BY pos) AS v, count(*) AS n FROM lanes GROUP BY channel, pos // 24),
+lens AS (SELECT grp, v, n, m FROM g, (SELECT unnest([8, 12, 40]) AS m) WHERE m <= n - 1
+  UNION ALL SELECT grp, v, n, n - 1 FROM g WHERE n - 1 >= 2 AND n <= 40 AND n NOT IN (9, 13)),
+wins AS (SELECT grp, n, m, i, v[i + 1 : i + m] AS w FROM (SELECT *, unnest(range(0, n - m + 1)) AS i FROM lens)),
+stats AS (SELECT *, list_avg(w) AS mu, list_var_pop(w) AS s2 FROM wins),
+best AS (SELECT a.grp, a.m, a.i, a.n, min(1 - (list_dot_product(a.w, b.w) / a.m - a.mu * b.mu) / sqrt(CASE WHEN a.s2 <= 0 THEN 1e-4 ELSE a.s2 END * CASE WHEN b.s2 <= 0 THEN 1e-4 ELSE b.s2 END)) AS d
+  FROM stats a JOIN stats b ON a.grp = b.grp AND a.m = b.m AND a.i <> b.i WHERE a.n - a.m + 1 > 1 GROUP BY ALL)
+SELECT grp AS channel, m, i, round(least(2.0, greatest(0.0, d)), 4) AS d, n - m + 1 AS n FROM best""")
+def length_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of lanes of 24 elements at lengths of which the longest does not fit: it falls back to the longest that does."""
+    short = lanes.event_lanes(spark, sf_dir).select((F.col("channel") * 1_000_000 + F.expr("pos div 24")).alias("channel"), (F.col("pos") % 24).alias("pos"), "value")
+    found = profile.profiles(short, [8, 12, 40], zone_factor=0.0, digits=9)
+    return found.where("n > 1").select("channel", "m", "i", F.round("d", 4).alias("d"), "n")
+
+
 @r.query("SELECT CAST(7 AS BIGINT) AS source_id, CAST(i % 5 AS BIGINT) AS channel, CAST(i AS BIGINT) AS data_id FROM range(1000) t(i)")
 def counter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pull source that is polled lane by lane: it reads no table."""

@@ -62,6 +62,16 @@ def test_tables_and_arrays_agree(spark, monkeypatch, stretch):
         assert labels == motifs.expand([w[1:] for w in want if w[0] == 0], 400)
 
 
+def test_smoothed_profiles_of_tables_are_those_of_arrays(spark):
+    x = planted(n=900)
+    df = spark.createDataFrame([(0, p, float(v)) for p, v in enumerate(x)], "channel long, pos long, value double")
+    for mode in ("GAUSS", "NORM_LOG"):
+        want = profile.filtered(profile.matrix_profile(x, 16), mode, 16)
+        got = profile.profiles(df, [16], mode=mode, buffer=250, digits=9).orderBy("i").collect()
+        assert [r.i for r in got] == list(range(len(want))) and {r.n for r in got} == {len(want)}
+        assert np.allclose([r.d for r in got], want, atol=1e-6)
+
+
 def test_segments_exclude_ends_and_take_the_exit_value():
     d = np.array([0.0, 0.01, 0.02, 0.05, 0.5, 0.01, 0.0])
     assert motifs.segments(d, 4, 0.025, 0.075) == [(1, 4, 0.5), (5, 4, 0.0)]
