@@ -40,6 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/streamlanes/{purpose}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(_remove, spark, self.path)
 
     def of(self, name: str) -> str:
@@ -49,11 +50,19 @@ class Workspace:
         """``batch_rows``: rows of an Arrow batch at most, where texts may be long."""
         with arrow_batches(self.spark, batch_rows):
             df.write.option("compression", "zstd").parquet(self.of(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.of(name))
 
     def drop(self, name: str) -> None:
+        """Remove a staged table that nothing reads any more."""
+        self.names.discard(name)
         _remove(self.spark, self.of(name))
 
+    def keep(self, *prefixes: str) -> None:
+        """Remove all staged tables but those whose names begin so."""
+        for name in [n for n in self.names if not n.startswith(prefixes)]:
+            self.drop(name)
+
 
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int | None):
@@ -131,4 +140,5 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
         after = following.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         before = (tuple(after), tuple(after) == tuple(state))
         work = following
+        ws.drop(f"{name}-{turn - 1}")
     return work.select(F.col("u").alias("node"), F.col("v").alias("component"))

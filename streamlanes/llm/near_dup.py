@@ -240,6 +240,7 @@ def near_duplicates(
 
 
 def _result(ws: Workspace, sketched: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
+    ws.keep("sketches", "classes", "cc-last", "cc-twice")
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     if found is not None:

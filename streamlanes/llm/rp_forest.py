@@ -246,6 +246,7 @@ def embedding_near_duplicates(
     many = named.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("vec_id", "b")
     same = named.join(many, "vec_id").select(F.col("rep").alias("a"), "b")
     found = connected_components(ws, parts.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same))
+    ws.keep("classes", "parts", "cc")
     of_class = classes.select(*by, "key", "rep", "weight").join(links, "key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = rows.join(of_class.withColumn("fine", F.lit(True)), [*by, "fine"], "left")
     out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
