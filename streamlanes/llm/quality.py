@@ -15,21 +15,23 @@ from .common import fold
 PASSAGE = 512
 
 # The classes of bytes whose shares describe a passage.
-CLASSES = (b" ", b"\t\n\x0b\x0c\r", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"!", b"?", b"|", b"#$%&*@^~=+<>{}[]\\/_", b"\"'()-:;`", bytes(range(128, 256)))
+CLASSES = (b" ", b"\t\n\x0b\x0c\r", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"!", b"?", b"#$%&*@^~=+<>{}[]|\\/_", b"\"'()-:;`", bytes(range(128, 256)))
 OTHER = len(CLASSES)
 _CLASS = np.full(256, OTHER, np.uint8)
 for _i, _members in enumerate(CLASSES):
     _CLASS[np.frombuffer(_members, np.uint8)] = _i
 _BYTE_HASH = np.random.default_rng(3).integers(1, 1 << 62, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-WIDTH = OTHER + 1 + 10
+#: Hashed pairs of neighbouring bytes, whose shares say more of a passage's language and style than classes do.
+PAIRS = 48
+WIDTH = OTHER + 1 + 8 + PAIRS
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of ``texts``, and each text's number of passages (1 for an empty one).
 
-    Shares of byte classes, words by byte, length, shares of words equal to the one before them, two and three before,
-    of capitalised words, and of words that end in a symbol or a bar.
+    Shares of byte classes and of hashed pairs of bytes, words by byte, length, shares of words equal to the one before
+    them, two and three before, of capitalised words, and of words that end in a symbol or a full stop.
     """
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raws])
@@ -74,10 +76,14 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 same[lag:] = (word[lag:] == word[:-lag]) & (text[lag:] == text[:-lag])
             x[:, c + lag - 1] = share(same)
         x[:, c + 3] = share(kind[begin] == 3)
-        for i, k in enumerate((7, 9, 10, 5)):
+        for i, k in enumerate((9, 5)):
             x[:, c + 4 + i] = share(kind[end] == k)
-        x[:, c + 8] = np.minimum(share(end - begin + 1.0) / 20, 3)
-        x[:, c + 9] = np.log1p(length) / 6
+        x[:, c + 6] = np.minimum(share(end - begin + 1.0) / 20, 3)
+        x[:, c + 7] = np.log1p(length) / 6
+        pair = (data[:-1].astype(np.uint32) * 40503 + data[1:].astype(np.uint32) * 2246822519 >> np.uint32(12)) % np.uint32(PAIRS)
+        joined = of[:-1] == of[1:]
+        at = of[:-1][joined] * PAIRS + pair[joined]
+        x[:, c + 8 :] = np.bincount(at, minlength=total * PAIRS).reshape(total, PAIRS) / np.maximum(length, 1)[:, None]
     return x, n_pass
 
 
