@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import position
+from .ordering import PART, position, with_lead
 
 
 def demux(stream: DataFrame, lane: int) -> DataFrame:
@@ -52,12 +52,11 @@ def sync_prefix(stream: DataFrame, lanes: Sequence[int] | None = None) -> DataFr
 
 
 def assert_ordered(stream: DataFrame) -> DataFrame:
-    """``stream``, failing where a lane's times fall."""
-    from pyspark.sql import Window
-
-    before = F.lag("time_ms").over(Window.partitionBy("channel").orderBy("pos"))
-    bad = before > F.col("time_ms")
-    return stream.withColumn("time_ms", F.when(bad, F.raise_error(F.lit("times of a lane fall"))).otherwise(F.col("time_ms")))
+    """``stream``, failing where a lane's times fall. Lanes are cut into parts that overlap by an element."""
+    before = F.lag("time_ms").over(Window.partitionBy("channel", PART).orderBy("pos"))
+    rows = with_lead(stream, "pos", 1).withColumn("__before", before).where("own")
+    fine = F.when(F.col("__before") > F.col("time_ms"), F.raise_error(F.lit("times of a lane fall"))).otherwise(F.col("time_ms"))
+    return rows.withColumn("time_ms", fine).select(stream.columns)
 
 
 def tee(stream: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -118,15 +118,17 @@ def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _taps(spark, sf_dir, LOG)
 
 
-@query(LANES + """, g AS (SELECT channel, pos // 20 AS grp, list(value ORDER BY pos) AS v FROM lanes GROUP BY channel, pos // 20 HAVING count(*) = 20)
-SELECT channel, grp, round(list_avg(v), 4) AS mean, round(list_var_samp(v), 4) AS variance, abs(v[1] - v[2]) <= 1e-4 AS close, round(least(v[1], v[2]), 4) AS low, round(greatest(v[1], v[2]), 4) AS high FROM g""")
+@query(LANES + """, g AS (SELECT channel, pos // 20 AS grp, list(value ORDER BY pos) AS v FROM lanes GROUP BY channel, pos // 20)
+SELECT channel, grp, round(list_avg(v), 4) AS mean, CASE WHEN len(v) > 1 THEN round(list_var_samp(v), 4) END AS variance, abs(v[1] - v[2]) <= 1e-4 AS close,
+  CASE WHEN len(v) > 1 THEN round(least(v[1], v[2]), 4) END AS low, CASE WHEN len(v) > 1 THEN round(greatest(v[1], v[2]), 4) END AS high FROM g""")
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = lanes.event_lanes(spark, sf_dir).groupBy("channel", F.expr("pos div 20").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
     v = F.transform("v", lambda x: x["value"])
-    g = g.where(F.size("v") == 20).select("channel", "grp", v.alias("v"))
-    one, two = F.slice("v", 1, 1), F.slice("v", 2, 1)
-    return g.select("channel", "grp", F.round(num.mean(F.col("v")), 4).alias("mean"), F.round(num.variance(F.col("v")), 4).alias("variance"), num.within_limits(F.element_at("v", 1), F.element_at("v", 2)).alias("close"),
-                    F.round(num.pairwise_min(one, two)[0], 4).alias("low"), F.round(num.pairwise_max(one, two)[0], 4).alias("high"))
+    g = g.select("channel", "grp", v.alias("v"))
+    one, two, several = F.slice("v", 1, 1), F.slice("v", 2, 1), F.size("v") > 1
+    if_several = lambda c: F.when(several, F.round(c, 4))
+    return g.select("channel", "grp", F.round(num.mean(F.col("v")), 4).alias("mean"), if_several(num.variance(F.col("v"))).alias("variance"), num.within_limits(F.get("v", F.lit(0)), F.get("v", F.lit(1))).alias("close"),
+                    if_several(num.pairwise_min(one, two)[0]).alias("low"), if_several(num.pairwise_max(one, two)[0]).alias("high"))
 
 
 @query("SELECT event_id, CAST(event_id AS INTEGER) AS as_int, (event_id % 2) = 1 AS as_flag, CAST(event_id AS DOUBLE) AS as_double FROM events")
@@ -149,7 +151,7 @@ p{m} AS (SELECT a.channel, a.buffer, CAST({m} AS BIGINT) AS m, a.i, round(least(
   CASE WHEN a.s2 <= 0 THEN 1e-4 ELSE a.s2 END * CASE WHEN b.s2 <= 0 THEN 1e-4 ELSE b.s2 END)))), 6) AS d
   FROM w{m} a JOIN w{m} b ON a.channel = b.channel AND a.buffer = b.buffer AND abs(a.i - b.i) > {m} GROUP BY ALL)""" for m in lengths]
     union = " UNION ALL ".join(f"SELECT * FROM p{m}" for m in lengths)
-    return LANES + ", buffers AS (SELECT channel, pos // 10000 AS buffer, pos % 10000 AS i, value FROM lanes)" + "".join(parts) + f"""
+    return LANES + ", buffers AS (SELECT channel, CAST(0 AS BIGINT) AS buffer, pos AS i, value FROM lanes)" + "".join(parts) + f"""
 , prof AS (SELECT *, count(*) OVER (PARTITION BY channel, buffer, m) AS n FROM ({union}))"""
 
 
