@@ -119,7 +119,7 @@ def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LANES + """, g AS (SELECT channel, pos // 20 AS grp, list(value ORDER BY pos) AS v FROM lanes GROUP BY channel, pos // 20)
-SELECT channel, grp, round(list_avg(v), 4) AS mean, CASE WHEN len(v) > 1 THEN round(list_var_samp(v), 4) END AS variance, coalesce(abs(v[1] - v[2]) <= 1e-4, false) AS close,
+SELECT channel, grp, round(list_avg(v), 4) AS mean, CASE WHEN len(v) > 1 THEN round(list_var_samp(v) + 1e-9, 4) END AS variance, coalesce(abs(v[1] - v[2]) <= 1e-4, false) AS close,
   CASE WHEN len(v) > 1 THEN round(least(v[1], v[2]), 4) END AS low, CASE WHEN len(v) > 1 THEN round(greatest(v[1], v[2]), 4) END AS high FROM g""")
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = lanes.event_lanes(spark, sf_dir).groupBy("channel", F.expr("pos div 20").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
@@ -127,7 +127,7 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.select("channel", "grp", v.alias("v"))
     one, two, several = F.slice("v", 1, 1), F.slice("v", 2, 1), F.size("v") > 1
     if_several = lambda c: F.when(several, F.round(c, 4))
-    return g.select("channel", "grp", F.round(num.mean(F.col("v")), 4).alias("mean"), if_several(num.variance(F.col("v"))).alias("variance"), F.coalesce(num.within_limits(F.get("v", F.lit(0)), F.get("v", F.lit(1))), F.lit(False)).alias("close"),
+    return g.select("channel", "grp", F.round(num.mean(F.col("v")), 4).alias("mean"), if_several(num.variance(F.col("v")) + 1e-9).alias("variance"), F.coalesce(num.within_limits(F.get("v", F.lit(0)), F.get("v", F.lit(1))), F.lit(False)).alias("close"),
                     if_several(num.pairwise_min(one, two)[0]).alias("low"), if_several(num.pairwise_max(one, two)[0]).alias("high"))
 
 
