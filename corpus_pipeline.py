@@ -22,9 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored as one passage without characters, very long ones by all passages; a score of
     exactly 0.5 stays; repeated rows stay or go together; null ids are not learnt from but judged. An empty table gives
-    an empty table, and a table without labels of both kinds loses nothing. Columns may have any names.
+    an empty table, and a table without labels of both kinds loses nothing. Columns may have any names. Texts pass the
+    classifier in short batches, as they are in memory on both sides of it.
     """
-    return keep_good(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+    kept = keep_good(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
+    return Workspace(spark, "quality").stage(kept, "kept", batch_rows=1000)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
