@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import WORD, read_table
 from .decontam import find_contamination
 from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .oracles import EMBEDDINGS, MIX, NEAR_DUPLICATES, WARC
+from .periodic_runs import periodic_runs
 from .quality import score_quality, train_quality
 from .rp_forest import embedding_near_duplicates
 from .secrets import scan_secrets
@@ -85,3 +87,25 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_masked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The contract's texts: in every tenth document the words from a place on repeat.
+    words = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("g", F.floor(F.col("h") / 10))
+    words = words.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    n = F.size("w")
+    a = F.when(n > 0, F.col("g") % n).otherwise(0).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    words = words.withColumn("a", a).withColumn("p", p)
+    tail = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    texts = words.select("doc_id", F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(texts, least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
