@@ -18,6 +18,7 @@ from .secrets import scan_secrets
 from .token_planes import read_token_planes, write_token_planes
 from .url_filter import filter_urls
 from .warc import normalise_archives, read_warc, write_warc
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -109,3 +110,10 @@ def op13_masked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
         F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+@query
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(read_table(spark, sf_dir, "embeddings"), components=8)
+    each = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
