@@ -11,6 +11,7 @@ from .langid import identify_language
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .oracles import EMBEDDINGS, MIX, NEAR_DUPLICATES, WARC
+from .packing import pack_documents
 from .periodic_runs import periodic_runs
 from .quality import score_quality, train_quality
 from .rp_forest import embedding_near_duplicates
@@ -117,3 +118,9 @@ def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whiten(read_table(spark, sf_dir, "embeddings"), components=8)
     each = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+@query
+def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
