@@ -135,8 +135,11 @@ def near_duplicates(
     4. Documents in lists that still hold several components (all documents if ``exact``) are listed again by their
        whole sets, in one order of rarity. A linked pair meets at its first common value, where what follows on either
        side still reaches the overlap that the two sizes need. Each document's place tells which sizes it can reach at
-       all: as the smaller of a pair only with few values of its own. So edited copies of a common text that differ
-       from each other too much are not paired, however many they are. What is left across components is verified.
+       all: as the smaller of a pair only with few values of its own.
+    5. What is open then is split into groups of similar sketches. Pages of one template have most of their values in
+       common, so within a group only what they differ in is listed and compared (``_links_in_groups``), in rounds that
+       join a list's documents to one of them before any are paired. Pairs of different groups that step 4 leaves are
+       verified on full sets. Grouping decides what is compared by which way, not what is linked.
 
     Pairs inside a component say nothing new and are not made. No list is cut short. Only step 2 can miss a link: of
     a pair exactly at ``percent`` with sets over k, with a probability below 1e-8, if no third document links the two;
@@ -181,8 +184,8 @@ def near_duplicates(
         each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         return pairs.join(hot, "b", "left").select("a", "b", part.alias("part")), parts.select("b", each)
 
-    def close(pairs: DataFrame, name: str) -> DataFrame:
-        """Of ``pairs`` (a, b), those whose sketches leave room for a link."""
+    def close(pairs: DataFrame, name: str, least: Column | None = None) -> DataFrame:
+        """Of ``pairs`` (a, b), those whose sketches leave room for a link, or whose union's sketch shares ``least`` values."""
         pairs, parts = dealt(pairs, name)
         a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -190,7 +193,7 @@ def near_duplicates(
         need = F.when(F.size("union") < k, F.ceil(F.size("union") * F.lit(percent) / 100)).otherwise(F.lit(sure))
         return (
             pairs.join(a, "a").join(parts.join(b, "b"), ["b", "part"]).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            .withColumn("union", union).where(both >= need).select("a", "b")
+            .withColumn("union", union).where(both >= (need if least is None else least)).select("a", "b")
         )
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -224,21 +227,102 @@ def near_duplicates(
     )
     again = split_lists(ws.stage(_lists(ws, whole, None, percent, "again"), "listed-whole"), "several-again")
     # A set that cannot reach an overlap with the smallest of its list, or of the sizes that link at all, pairs with none.
-    able = ws.stage(again.where(reaches(F.greatest("least", F.ceil(F.col("n") * F.lit(percent) / 100)))).drop("least", "component"), "listed-able")
+    able = ws.stage(again.where(reaches(F.greatest("least", F.ceil(F.col("n") * F.lit(percent) / 100)))).drop("least", "component"), "listed-reaching")
     able = ws.stage(split_lists(able, "several-able").drop("least"), "listed-open")
-    columns = ("doc_id", "n", "place", "component")
+    if able.isEmpty():
+        return _result(ws, sketched, classes, connected_components(ws, links, "cc-last"))
+    hubs = able.groupBy("v").agg(F.min(F.struct("alone", "doc_id"))["doc_id"].alias("b"))
+    spokes = able.select("v", F.col("doc_id").alias("a")).join(ws.stage(hubs, "hubs-able"), "v").where("a <> b").select("a", "b")
+    alike = ws.stage(close(spokes, "alike", F.ceil(F.size("union") / 2)), "alike")
+    groups = connected_components(ws, alike, "cc-alike").select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    open_docs = able.select("doc_id").distinct().join(groups, "doc_id", "left")
+    grouped = ws.stage(open_docs.select("doc_id", F.coalesce("g", "doc_id").alias("g")), "groups")
+    links = links.unionByName(_links_in_groups(ws, whole.join(grouped, "doc_id").select("doc_id", "g", "n", "sketch"), links, percent, dealt))
+
+    able = able.drop("component").join(grouped, "doc_id")
+    found = connected_components(ws, links, "cc-groups").withColumnRenamed("node", "doc_id")
+    able = ws.stage(split_lists(able.drop("least"), "several-groups").drop("least"), "listed-last")
+    columns = ("doc_id", "n", "place", "component", "g")
     small = able.where(reaches(F.col("n"))).select("v", *[F.col(c).alias(f"{c}_b") for c in columns])
     large = able.select("v", *[F.col(c).alias(f"{c}_a") for c in columns])
     na, nb = F.col("n_a"), F.col("n_b")
     reach = 1 + F.least(na - F.col("place_a"), nb - F.col("place_b"))
     open_pairs = large.join(small, "v").where(
-        (F.col("component_a") != F.col("component_b")) & ((na > nb) | ((na == nb) & (F.col("doc_id_a") > F.col("doc_id_b"))))
+        (F.col("g_a") != F.col("g_b")) & (F.col("component_a") != F.col("component_b")) & ((na > nb) | ((na == nb) & (F.col("doc_id_a") > F.col("doc_id_b"))))
         & (nb * 100 >= na * percent) & (reach * (100 + percent) >= (na + nb) * percent)
     ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
     last = verified(open_pairs, "open")
     return _result(ws, sketched, classes, connected_components(ws, links.unionByName(last), "cc-last"))
 
 
+#: Rounds in which the documents of a list are compared with one of them, before all that are still apart are.
+ROUNDS = 2
+
+
+def _links_in_groups(ws: Workspace, docs: DataFrame, links: DataFrame, percent: int, dealt) -> DataFrame:
+    """Links (a, b) that, with ``links``, join all linked documents of a group: ``docs`` (doc_id, g, n, sketch) with whole sets.
+
+    A group's core are the values that more than half of its sets hold, and a set is told by its delta, the values in
+    which it differs from the core. Two sets differ in just the values in which their deltas differ, so whether they are
+    linked follows from deltas, exactly. With s values in a delta and u = (100 + percent) s - (100 - percent) n, two
+    documents are linked where u_a + u_b <= 0, whatever their deltas hold, and else where these share as many values as
+    (u_a + u_b) / (2 (100 + percent)). Of the first kind all are linked to the group's smallest u; of the second kind
+    both hold their first common value, in one order of rarity, where enough values follow.
+    """
+    sizes = ws.stage(docs.groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "group-sizes")
+    docs = docs.join(sizes, "g")
+    held = docs.select("g", "members", F.explode("sketch").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"), F.first("members").alias("members"))
+    core = ws.stage(held.where("2 * c > members").groupBy("g").agg(F.collect_list("v").alias("core")), "cores")
+    delta = F.concat(F.array_except("sketch", "core"), F.array_except("core", "sketch"))
+    deltas = docs.join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>"))).select("doc_id", "g", "n", delta.alias("delta"))
+    deltas = deltas.withColumn("s", F.size("delta")).withColumn("u", (F.col("s") * (100 + percent) - F.col("n") * (100 - percent)).cast("long"))
+    deltas = ws.stage(deltas, "deltas")
+    best = ws.stage(deltas.groupBy("g").agg(F.min(F.struct("u", "doc_id")).alias("best")).select("g", F.col("best.u").alias("least_u"), F.col("best.doc_id").alias("b")), "group-hubs")
+    found = deltas.join(best, "g").where((F.col("u") + F.col("least_u") <= 0) & (F.col("doc_id") != F.col("b"))).select(F.col("doc_id").alias("a"), "b")
+    found = ws.stage(found, "links-certain")
+
+    def shared_least(total: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(total / (2 * (100 + percent)))).cast("int")
+
+    values = deltas.join(best.select("g", "least_u"), "g").select("doc_id", "g", "n", "s", "u", shared_least(F.col("u") + F.col("least_u")).alias("least_shared"), F.explode("delta").alias("v"))
+    of_one = Window.partitionBy("doc_id")
+    shared = values.join(ws.stage(values.groupBy("g", "v").count().where("count > 1"), "counts-deltas"), ["g", "v"])
+    place = F.col("s") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("count", "v"))
+    lists = shared.withColumn("place", place.cast("int")).where(F.col("place") <= F.col("s") - F.col("least_shared") + 1)
+    lists = ws.stage(lists.select("g", "v", "doc_id", "n", "s", "u", "place"), "listed-deltas")
+
+    def still_open(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Lists that hold several components of ``edges``, and the components as edges."""
+        of = connected_components(ws, edges, f"cc-{name}").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        named = lists.join(of.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = named.groupBy("g", "v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("g", "v")
+        return ws.stage(named.join(ws.stage(several, f"several-{name}"), ["g", "v"]), f"listed-{name}"), of
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("g", "v", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "s", "u", "place", "component")])
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among pairs of rows of lists, the ``b`` of which may have many partners."""
+        na, nb = F.col("n_a"), F.col("n_b")
+        reach = 1 + F.least(F.col("s_a") - F.col("place_a"), F.col("s_b") - F.col("place_b"))
+        pairs = pairs.where((F.col("component_a") != F.col("component_b")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (reach >= shared_least(F.col("u_a") + F.col("u_b"))))
+        pairs, parts = dealt(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), name)
+        a, b = (deltas.select(F.col("doc_id").alias(x), F.col("u").alias(f"u{x}"), F.col("delta").alias(f"d{x}")) for x in "ab")
+        both = F.size(F.array_intersect("da", "db"))
+        return ws.stage(pairs.join(a, "a").join(parts.join(b, "b"), ["b", "part"]).where(2 * (100 + percent) * both >= F.col("ua") + F.col("ub")).select("a", "b"), f"links-{name}")
+
+    rows, edges = still_open(links.unionByName(found), "turn-0")
+    for turn in range(ROUNDS):
+        if rows.isEmpty():
+            return found
+        hub = rows.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "s", "u", "place", "component")).alias("hub"))
+        hubs = ws.stage(side(hub.select("g", "v", "hub.*"), "b"), f"delta-hubs-{turn}")
+        more = linked(side(rows, "a").join(hubs, ["g", "v"]), f"deltas-{turn}")
+        found = found.unionByName(more)
+        rows, edges = still_open(edges.unionByName(more), f"turn-{turn + 1}")
+    return found.unionByName(linked(side(rows, "a").join(side(rows, "b"), ["g", "v"]).where("doc_id_a < doc_id_b"), "deltas-last"))
+
+
 def _result(ws: Workspace, sketched: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
     ws.keep("sketches", "classes", "cc-last", "cc-twice")
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")

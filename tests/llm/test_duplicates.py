@@ -107,22 +107,64 @@ def test_long_texts_near_the_threshold(spark):
         assert got == components(docs, plain_links(sets, 80))
 
 
-def test_copies_that_differ_too_much_are_not_paired(spark, monkeypatch):
-    """Many edited copies of a long text, none linked: what is verified stays far below all pairs."""
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(900)]
-    df = spark.createDataFrame([(i, " ".join(edited(rng, base, 30))) for i in range(300)], "doc_id long, text string")
+def counted_pairs(monkeypatch):
     counts, stage = {}, Workspace.stage
 
     def counted(self, df, name, batch_rows=None):
         out = stage(self, df, name, batch_rows)
         if name.startswith("pairs-"):
-            counts[name] = out.count()
+            counts[name] = counts.get(name, 0) + out.count()
         return out
 
     monkeypatch.setattr(Workspace, "stage", counted)
+    return counts
+
+
+def test_copies_that_differ_too_much_are_not_paired(spark, monkeypatch):
+    """Many edited copies of a long text, none linked: what is compared stays far below all pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(900)]
+    df = spark.createDataFrame([(i, " ".join(edited(rng, base, 30))) for i in range(300)], "doc_id long, text string")
+    counts = counted_pairs(monkeypatch)
     assert sum(r.kept for r in near_duplicates(df, percent=85).collect()) == 300
-    assert max(counts.values()) <= 4 * 300 and counts["pairs-open"] < 300  # of 44,850 pairs
+    assert max(counts.values()) <= 4 * 300 and counts.get("pairs-open", 0) < 300  # of 44,850 pairs
+
+
+def pages(n, words, seed=4):
+    """Pages of one template that is not among them: so many of its 200 words are changed, each to a word of its own."""
+    rng, base = random.Random(seed), [f"w{i}" for i in range(200)]
+    out = {}
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(200), words):
+            t[at] = f"x{rng.randrange(10**9)}"
+        out[i] = " ".join(t)
+    return out
+
+
+def test_pages_of_a_template_are_not_all_paired(spark, monkeypatch):
+    counts, seen = counted_pairs(monkeypatch), {}
+    for words, n in ((2, 300), (2, 600), (3, 300)):
+        docs = pages(n, words)
+        counts.clear()
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=85).collect()}
+        assert got == components(docs, plain_links(plain_sets(docs.items()), 85)), (words, n)
+        seen[words, n] = sum(counts.values())
+        assert counts.get("pairs-open", 0) == 0  # no text moves for a pair of one template
+    assert seen[2, 600] <= 2.5 * seen[2, 300]  # of 44,850 and 179,700 pairs
+    assert seen[3, 300] <= 0.15 * 44_850
+
+
+def test_templates_that_share_a_passage(spark):
+    """Two templates with a common half and a page between them: groups meet, and no link is lost at 80."""
+    docs = {}
+    for i, t in pages(60, 3, 1).items():
+        docs[i] = t
+    for i, t in pages(60, 2, 2).items():
+        docs[100 + i] = " ".join([*t.split()[:100], *(f"y{j}" for j in range(100))])
+    docs[300] = " ".join([*(f"w{j}" for j in range(110)), *(f"y{j}" for j in range(10, 100))])
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == components(docs, plain_links(plain_sets(docs.items()), 80))
 
 
 def test_near_duplicates_of_a_table_match_their_oracle(spark):
