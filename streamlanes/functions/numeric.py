@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-4
@@ -39,8 +39,10 @@ def within_limits(a: Column, b: Column, eps: float = EPSILON) -> Column:
 def lossless_cast(value: Column, to: str) -> Column:
     """``value`` as another type; an error where information would be lost. 0 and 1 are false and true."""
     done = value.try_cast(to)
-    # There and back in the value's own type, if not its text: through a double, whole numbers above 2^53 would pass.
-    again = F.coalesce(done.try_cast("decimal(38,0)") == value.try_cast("decimal(38,0)"), F.lit(True)) & (done.try_cast("double") == value.try_cast("double"))
+    # As whole numbers: through a double, those above 2^53 would pass. With all digits that fit, and as doubles.
+    whole = F.coalesce(done.try_cast("decimal(38,0)") == value.try_cast("decimal(38,0)"), F.lit(True))
+    exact = F.coalesce(done.try_cast("decimal(38,18)") == value.try_cast("decimal(38,18)"), F.lit(True))
+    again = whole & exact & (done.try_cast("double") == value.try_cast("double"))
     back = F.when(value.isNull(), True).otherwise(F.coalesce(again, F.lit(False)))
     return F.when(back, done).otherwise(F.raise_error(F.lit(f"value does not fit {to}")))
 
@@ -52,20 +54,35 @@ def duration_text(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d:%03d", hours, F.floor(rest / 60_000), F.floor(rest % 60_000 / 1000), rest % 1000)
 
 
+#: From so many taps on sliding dot products are taken by FFT.
+DIRECT_TAPS = 64
+
+
+def sliding_dot(x: Sequence[float], taps: Sequence[float]) -> np.ndarray:
+    """Dot products of ``taps`` along ``x`` where they lie inside it, not flipped.
+
+    Many taps go by overlap-save: pieces of ``x`` of a few times their length, each with what the next needs of it, are
+    multiplied in the frequency domain, so a result costs the logarithm of the taps, not their number.
+    """
+    x, taps = np.asarray(x, float), np.asarray(taps, float)
+    k, n = len(taps), len(x) - len(taps) + 1
+    if k < DIRECT_TAPS or n < 1:
+        return np.correlate(x, taps, "valid") if n > 0 else np.empty(0)
+    size = 1 << (4 * k - 1).bit_length()
+    step = size - k + 1
+    pieces = -(-n // step)
+    centre = x.mean()  # what all values have in common would only cost digits
+    padded = np.zeros((pieces - 1) * step + size)
+    padded[: len(x)] = x - centre
+    windows = np.lib.stride_tricks.sliding_window_view(padded, size)[::step]
+    spectrum = np.fft.rfft(taps[::-1], size)
+    y = np.fft.irfft(np.fft.rfft(windows, axis=1) * spectrum, size, axis=1)[:, k - 1 :]
+    return y.reshape(-1)[:n] + centre * taps.sum()
+
+
 def correlate(x: Sequence[float], y: Sequence[float], factor: float = 1.0, offset: float = 0.0) -> np.ndarray:
-    """Sliding dot products of ``y`` along factor * x + offset, only where it lies inside; not flipped."""
-    return np.correlate(factor * np.asarray(x, float) + offset, np.asarray(y, float), "valid")
-
-
-def correlate_column(value: str, taps: Sequence[float], by: Sequence[str], order: Sequence[str], factor: float = 1.0, offset: float = 0.0) -> Column:
-    """The same along a lane: at each row the dot product of ``taps`` with it and those after it, null where they run out."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    total = None
-    for k, t in enumerate(taps):
-        x = F.lead(value, k).over(w)
-        term = (x if factor == 1 and offset == 0 else x * F.lit(float(factor)) + F.lit(float(offset))) * F.lit(float(t))
-        total = term if total is None else total + term
-    return total
+    """factor * d + offset of the sliding dot products d of ``y`` along ``x``."""
+    return factor * sliding_dot(x, y) + offset
 
 
 def _density(at: np.ndarray, centre: float, sd: float) -> np.ndarray:

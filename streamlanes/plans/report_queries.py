@@ -112,7 +112,7 @@ def provenance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.read_report_csv(spark, path).select(*[F.col(f"`{c}`").cast("long").alias(c) for c in reports.PROVENANCE_COLUMNS])
 
 
-@r.query(r._taps_sql(r.PATTERN).replace("lead(value,", "lead(value * 0.5 + 2.0,"))
+@r.query(r._taps_sql(r.PATTERN).replace("round(y, 4)", "round(0.5 * y + 2.0, 4)"))
 def scaled_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.tap_filter(lanes.event_lanes(spark, sf_dir), r.PATTERN, 0.5, 2.0).select("channel", "pos", *r.r4("y"))
 
@@ -135,13 +135,13 @@ lens AS (SELECT grp, v, n, m FROM g, (SELECT unnest([8, 12, 40]) AS m) WHERE m <
 wins AS (SELECT grp, n, m, i, v[i + 1 : i + m] AS w FROM (SELECT *, unnest(range(0, n - m + 1)) AS i FROM lens)),
 stats AS (SELECT *, list_avg(w) AS mu, list_var_pop(w) AS s2 FROM wins),
 best AS (SELECT a.grp, a.m, a.i, a.n, min(1 - (list_dot_product(a.w, b.w) / a.m - a.mu * b.mu) / sqrt(CASE WHEN a.s2 <= 0 THEN 1e-4 ELSE a.s2 END * CASE WHEN b.s2 <= 0 THEN 1e-4 ELSE b.s2 END)) AS d
-  FROM stats a JOIN stats b ON a.grp = b.grp AND a.m = b.m AND a.i <> b.i WHERE a.n - a.m + 1 > 1 GROUP BY ALL)
+  FROM stats a JOIN stats b ON a.grp = b.grp AND a.m = b.m AND a.i <> b.i GROUP BY ALL)
 SELECT grp AS channel, m, i, round(least(2.0, greatest(0.0, d)), 4) AS d, n - m + 1 AS n FROM best""")
 def length_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of lanes of 24 elements at lengths of which the longest does not fit: it falls back to the longest that does."""
     short = lanes.event_lanes(spark, sf_dir).select((F.col("channel") * 1_000_000 + F.expr("pos div 24")).alias("channel"), (F.col("pos") % 24).alias("pos"), "value")
     found = profile.profiles(short, [8, 12, 40], zone_factor=0.0, digits=9)
-    return found.where("n > 1").select("channel", "m", "i", F.round("d", 4).alias("d"), "n")
+    return found.select("channel", "m", "i", F.round("d", 4).alias("d"), "n")
 
 
 @r.query("SELECT CAST(7 AS BIGINT) AS source_id, CAST(i % 5 AS BIGINT) AS channel, CAST(i AS BIGINT) AS data_id FROM range(1000) t(i)")
@@ -151,12 +151,12 @@ def counter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("lanes_counter").option("rows", 1000).option("source", 7).option("lanes", 5).load()
 
 
-@r.query("SELECT user_id, round(value, 1) AS value FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT user_id, round(value * 2, 1) FROM events WHERE event_type NOT IN ('click', 'view')")
+@r.query("SELECT user_id, round_even(value, 1) AS value FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT user_id, round_even(value * 2, 1) FROM events WHERE event_type NOT IN ('click', 'view')")
 def concatenated_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id", "value")
     some = F.col("event_type").isin("click", "view")
     both = report.concatenated([e.where(some).select("user_id", "value"), e.where(~some).select("user_id", (F.col("value") * 2).alias("value"))])
-    return report.sorted_by(both, ["user_id", "value"]).select("user_id", F.round("value", 1).alias("value"))
+    return report.sorted_by(both, ["user_id", "value"]).select("user_id", report.rounded(F.col("value"), 1).alias("value"))
 
 
 # The application's oracle puts the other queries' parts together: motifs found, labels and words merged, errors and scores.

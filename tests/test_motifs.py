@@ -140,3 +140,66 @@ def test_profiles_of_long_lanes_are_whole(spark):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-6)
     smooth = sorted((r.i, r.d) for r in profile.profiles(df, [24], mode="GAUSS", buffer=150).collect())
     assert np.allclose([d for _, d in smooth], profile.filtered(naive_profile(x, 24), "GAUSS", 24), atol=1e-6)
+
+
+def direct_profile(x, m):
+    """By products of centred and scaled windows."""
+    mean, var = profile.rolling(x, m)
+    z = (np.lib.stride_tricks.sliding_window_view(x, m) - mean[:, None]) / np.sqrt(m * var)[:, None]
+    c, i = z @ z.T, np.arange(len(z))
+    c[np.abs(i[:, None] - i[None, :]) <= m] = -np.inf
+    return np.clip(1 - c.max(axis=1), 0, 2)
+
+
+def test_recurrence_keeps_its_digits_and_its_time(monkeypatch):
+    import time
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(6000).cumsum() * 3 + 40
+    x[700:900], x[2000:2100] = 5.0, x[4000:4100]
+    took = {}
+    for restart in (2048, 10**9):
+        monkeypatch.setattr(profile, "RESTART", restart)
+        for m in (16, 256):
+            took[m] = []
+            for _ in range(3):
+                began = time.process_time()
+                d = profile.matrix_profile(x, m)
+                took[m].append(time.process_time() - began)
+            assert np.abs(d - direct_profile(x, m)).max() < 1e-9
+    assert min(took[256]) < 1.5 * min(took[16])  # sixteen times the window
+
+
+def test_blocks_meet_as_in_one_series():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(700).cumsum()
+    for m, size in ((8, 300), (40, 220), (20, 350)):
+        n, zone = 700 - m + 1, m
+        top = np.full(n, -np.inf)
+        cuts = range(0, 700, size)
+        sides = [profile.Windows(x[c : c + size + m - 1], m) for c in cuts]
+        for i, a in enumerate(sides):
+            for j in range(i, len(sides)):
+                ta, tb = profile.closest(a, sides[j], (j - i) * size, zone)
+                for k, t in ((i, ta), (j, tb)):
+                    top[k * size : k * size + len(t)] = np.maximum(top[k * size : k * size + len(t)], t)
+        assert np.allclose(np.clip(1 - top, 0, 2), direct_profile(x, m), atol=1e-9)
+
+
+def test_many_taps_have_a_plan_of_constant_size(spark):
+    rng = np.random.default_rng(5)
+    values = {c: rng.standard_normal(n) * 50 + 20 for c, n in ((0, 3000), (1, 25_000), (2, 100))}
+    df = spark.createDataFrame([(c, p, float(v)) for c, vs in values.items() for p, v in enumerate(vs)], "channel long, pos long, value double")
+    sizes = []
+    for k in (7, 300):
+        taps = num.gauss_kernel(k, k / 6)
+        out = profile.tap_filter(df, taps, 0.5, 2.0)
+        sizes.append(len(out._jdf.queryExecution().executedPlan().toString().splitlines()))
+        got = {c: [r.y for r in out.where(f"channel = {c}").orderBy("pos").collect()] for c in values}
+        for c, vs in values.items():
+            want = 0.5 * np.correlate(vs, taps, "valid") + 2.0 if k <= len(vs) else []
+            assert len(got[c]) == len(want) and np.allclose(got[c], want, atol=1e-9)
+    assert sizes[0] == sizes[1]
+    x, taps = rng.standard_normal(5000) + 1000, rng.standard_normal(333)
+    assert np.abs(num.sliding_dot(x, taps) - np.correlate(x, taps, "valid")).max() < 1e-9
+    assert len(num.sliding_dot([1.0], [1.0] * 80)) == 0 and len(num.sliding_dot(np.ones(80), np.ones(80))) == 1

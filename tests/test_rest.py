@@ -91,6 +91,9 @@ def test_lossless_casts_and_durations(spark):
     with pytest.raises(Exception, match="does not fit"):
         spark.sql(f"SELECT {2**53 + 1} AS v").select(num.lossless_cast(F.col("v"), "double")).collect()
     assert num.total_of([1, 2.5]) == 3.5 and num.indices(2, 5) == [2, 3, 4] and num.same_sets({1}, {1})
+    with pytest.raises(Exception, match="does not fit"):
+        spark.sql("SELECT CAST('1.000000000000000001' AS DECIMAL(38,18)) AS v").select(num.lossless_cast(F.col("v"), "double")).collect()
+    assert spark.sql("SELECT CAST('1.5' AS DECIMAL(38,18)) AS v").select(num.lossless_cast(F.col("v"), "double").alias("x")).first().x == 1.5
     for value, to in ((2.5, "int"), (2.0, "boolean"), (1e12, "int")):
         with pytest.raises(Exception, match="does not fit"):
             spark.createDataFrame([(value,)], "v double").select(num.lossless_cast(F.col("v"), to)).collect()
