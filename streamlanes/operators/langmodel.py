@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .motifs import BEGIN, NONE
-from .ordering import PART, in_parts, numbered_parts, position, running_sums, with_lead
+from .ordering import PART, carried, in_parts, numbered_parts, position, running_sums, with_lead
 from .staging import staged
 
 IDLE = "idle"
@@ -104,16 +104,16 @@ def predictions(states: DataFrame) -> DataFrame:
     one task.
     """
     rows = staged(numbered_parts(states, "seq"))
-    earlier = Window.partitionBy("state", "word").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("state", "word", PART).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = staged(rows.groupBy("state", "word", PART).agg(F.count("*").alias("n")))
+    before = carried(counts, {"n": "sum"}, ["state", "word"]).withColumnRenamed("n", "start")
+    counts = counts.join(before, ["state", "word", PART]).withColumn("start", F.coalesce("start", F.lit(0)))
     # The most frequent word at the end of a part, the first by name where counts tie; then of all parts before.
     tops = counts.groupBy("state", PART).agg(F.min(F.struct((-(F.col("start") + F.col("n"))).alias("c"), F.col("word"))).alias("top"))
-    carried = tops.withColumn("carried", F.min("top").over(Window.partitionBy("state").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))).select("state", PART, "carried")
+    tops = carried(tops, {"top": "min"}, ["state"]).withColumnRenamed("top", "carried")
     nth = F.row_number().over(Window.partitionBy("state", "word", PART).orderBy("seq"))
     counted = rows.join(counts.select("state", "word", PART, "start"), ["state", "word", PART]).withColumn("c", -(F.col("start") + nth))
     inside = F.min(F.struct("c", "word")).over(Window.partitionBy("state", PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    best = counted.join(carried, ["state", PART]).withColumn("best", F.least(inside, F.col("carried")))
+    best = counted.join(tops, ["state", PART]).withColumn("best", F.least(inside, F.col("carried")))
     return best.withColumn("predicted", F.col("best")["word"]).drop("c", "start", "carried", "best", PART)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordering
-from .ordering import PART, numbered_parts, running_sums
+from .ordering import PART, carried, numbered_parts, running, running_sums
 from .profile import filtered, matrix_profile, usable_lengths
 from .staging import staged
 
@@ -36,8 +36,7 @@ def hysteresis(profile: DataFrame, lo: float, hi: float, unfitness: str = "exit"
     rows = cut.unionByName(following).withColumn("after", F.lead("d").over(order)).where(inner).withColumn("mark", mark)
     marks = numbered_parts(given, "i").where((F.col("i") >= 1) & (F.col("i") <= F.col("n") - 2)).withColumn("mark", mark)
     last = marks.groupBy(*by, PART).agg(F.max(F.when(F.col("mark").isNotNull(), F.struct("i", "mark")))["mark"].alias("last"))
-    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select(*by, PART, F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(0)).alias("carried"))
+    last = carried(last, {"last": "last"}, by).select(*by, PART, F.coalesce("last", F.lit(0)).alias("carried"))
     state = F.coalesce(F.last("mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
     rows = rows.join(last, [*by, PART]).withColumn("state", state)
     rows = rows.withColumn("flip", F.col("state") != F.coalesce(F.lag("state").over(order), F.col("carried")))
@@ -54,17 +53,22 @@ def shortest_by_start(candidates: DataFrame) -> DataFrame:
 
 
 def overlap_sets(candidates: DataFrame) -> DataFrame:
-    """Candidates with ``set``: those that overlap, directly or through others, share one. Ends are inclusive; starts are distinct."""
-    order = Window.partitionBy("channel", "buffer").orderBy("start")
-    reach = F.max(F.col("start") + F.col("length") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    return candidates.withColumn("fresh", fresh).withColumn("set", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    """Candidates with ``set``: those that overlap, directly or through others, share one. Ends are inclusive; starts are distinct.
+
+    A set begins where no candidate before reaches. How far those before reach, and how many sets have begun, are running
+    values by parts, so no task has a lane's candidates.
+    """
+    by = ["channel", "buffer"]
+    rows = running(candidates, {"reach": ("max", F.col("start") + F.col("length") - 1)}, keys=by, order=["start"], before=True)
+    rows = rows.withColumn("fresh", F.col("reach").isNull() | (F.col("start") > F.col("reach"))).drop("reach")
+    return running_sums(rows, {"set": F.col("fresh")}, keys=by, order=["start"]).drop("fresh", PART)
 
 
 def merge_overlaps(candidates: DataFrame) -> DataFrame:
     """The best candidate of each overlap set: lowest unfitness, then the longest, then the leftmost."""
-    nth = F.row_number().over(Window.partitionBy("channel", "buffer", "set").orderBy("unfitness", F.desc("length"), "start"))
-    return overlap_sets(candidates).withColumn("nth", nth).where("nth = 1").select("channel", "buffer", "start", "length", "unfitness")
+    rank = F.struct("unfitness", (-F.col("length")).alias("shorter"), "start", "length")
+    best = overlap_sets(candidates).groupBy("channel", "buffer", "set").agg(F.min(rank).alias("best"))
+    return best.select("channel", "buffer", "best.start", "best.length", "best.unfitness")
 
 
 def motif_labels(lanes: DataFrame, motifs: DataFrame, buffer: int, begin: str = BEGIN, inside: str = INSIDE, none: str = NONE) -> DataFrame:

@@ -51,3 +51,39 @@ def test_connect():
     assert routing.connect(["a", "b"], ["x"]) == [("a", "x")]
     with pytest.raises(ValueError):
         routing.connect([], ["x"])
+
+
+def test_running_values_by_parts_and_spans(spark, monkeypatch):
+    """Sums, maxima, minima and last values over parts of a few rows and spans of two parts, against a plain loop."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from streamlanes.operators import ordering
+
+    monkeypatch.setattr(ordering, "SPAN", 2)
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice([None, rng.randint(-9, 9)])) for k, n in ((0, 57), (1, 9), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, x long").withColumn(ordering.PART, F.expr("i div 4"))
+    kinds = {n: (n, F.col("x")) for n in ("sum", "max", "min", "last")}
+    together = {"sum": sum, "max": max, "min": min, "last": lambda v: v[-1]}
+    for before in (False, True):
+        got = {(r.k, r.i): r for r in ordering.running(df, kinds, keys=["k"], order=["i"], before=before).collect()}
+        assert len(got) == len(rows)
+        for k, i, _ in rows:
+            seen = [x for kk, j, x in rows if kk == k and j < i + (not before) and x is not None]
+            assert all(got[k, i][n] == (f(seen) if seen else None) for n, f in together.items()), (k, i)
+
+
+def test_overlap_sets_have_no_window_over_a_lane(spark):
+    import random
+
+    from streamlanes.operators import motifs
+
+    rng = random.Random(2)
+    rows = [(c, 0, s, rng.randint(2, 9), float(rng.randint(0, 3))) for c in (0, 1) for s in sorted(rng.sample(range(900), 200))] + [(2, 0, 0, 5000, 1.0), (2, 0, 10, 3, 0.5), (2, 0, 4999, 4, 0.5), (2, 0, 5003, 4, 0.5)]
+    df = spark.createDataFrame(rows, "channel long, buffer long, start long, length long, unfitness double")
+    got = sorted((r.channel, r.start, r.length, r.unfitness) for r in motifs.merge_overlaps(df).collect())
+    assert got == sorted((c, *m) for c in (0, 1, 2) for m in motifs.merged([r[2:] for r in rows if r[0] == c]))
+    plan = motifs.overlap_sets(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__part" in line or "__span" in line for line in plan.splitlines() if "windowspecdefinition" in line)
