@@ -96,15 +96,20 @@ def probabilities(counts: DataFrame, smoothing: float = 0.0, n_words: int | None
     return counts.withColumn("p", (F.col("n") + smoothing) / total)
 
 
-def predictions(states: DataFrame) -> DataFrame:
+def predictions(states: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Word events with ``predicted``: the likeliest word after their state by the events before them; ties go to the first word.
 
+    ``earlier`` (state, word, n) counts events before those of ``states``.
+
     Counts only grow, so the likeliest word so far is that of the earlier event with the highest running count. Counts
     and the best so far are summed up by parts of the stream first: no state, the empty one least, is gone through in
     one task.
     """
     rows = staged(numbered_parts(states, "seq"))
-    counts = staged(rows.groupBy("state", "word", PART).agg(F.count("*").alias("n")))
+    counts = rows.groupBy("state", "word", PART).agg(F.count("*").alias("n"))
+    if earlier is not None:
+        counts = counts.unionByName(earlier.select("state", "word", F.lit(-1).cast("long").alias(PART), "n"))
+    counts = staged(counts)
     before = carried(counts, {"n": "sum"}, ["state", "word"]).withColumnRenamed("n", "start")
     counts = counts.join(before, ["state", "word", PART]).withColumn("start", F.coalesce("start", F.lit(0)))
     # The most frequent word at the end of a part, the first by name where counts tie; then of all parts before.
@@ -125,29 +130,46 @@ def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100, counts:
     and how many of the second kind came before (char_before). Events are numbered and cut into parts that overlap by
     ``last``, so no task needs the whole stream.
     """
-    wrong = (F.col("predicted").isNull() | (F.col("predicted") != F.col("word"))).cast("long")
-    lane = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("long")
-    char = (lane(F.col("word")) >= numeric) | (F.coalesce(lane(F.col("predicted")), F.lit(-1)) >= numeric)
-    rows = numbered_parts(predicted.withColumn("wrong", wrong).withColumn("char", char.cast("long")), "seq")
-    rows = staged(running_sums(rows, {"char_no": F.col("char")}, order=["seq"]).drop(PART))
+    rows = with_outcomes(predicted, numeric)
     out = _rolling(rows, "seq", last, "")
-    chars = _rolling(rows.where("char = 1").withColumn("place", F.col("char_no") - 1), "place", last, "char_").select("char_no", "char_error", "char_n", "char_wrong_n")
+    chars = char_errors(rows, last)
     # An event carries the value of the last char event up to it, which has the same running number.
     joined = out.join(chars, "char_no", "left").withColumn("char_before", F.col("char_no") - F.col("char")).drop("wrong", "char", "char_no")
     return joined if counts else joined.drop("n", "wrong_n", "char_n", "char_wrong_n", "char_before")
 
 
+def with_outcomes(predicted: DataFrame, numeric: int, chars_before: int = 0) -> DataFrame:
+    """Predicted word events, staged, with ``wrong`` and ``char`` (0 or 1) and ``char_no``, the char events up to and with each, ``chars_before`` of them before all."""
+    wrong = (F.col("predicted").isNull() | (F.col("predicted") != F.col("word"))).cast("long")
+    lane = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("long")
+    char = (lane(F.col("word")) >= numeric) | (F.coalesce(lane(F.col("predicted")), F.lit(-1)) >= numeric)
+    rows = numbered_parts(predicted.withColumn("wrong", wrong).withColumn("char", char.cast("long")), "seq")
+    rows = running_sums(rows, {"char_no": F.col("char")}, order=["seq"]).drop(PART)
+    return staged(rows.withColumn("char_no", F.col("char_no") + chars_before))
+
+
+def char_errors(rows: DataFrame, last: int) -> DataFrame:
+    """(char_no, char_error, char_n, char_wrong_n) of the char events among ``rows``."""
+    chars = rows.where("char = 1").withColumn("place", F.col("char_no") - 1)
+    return _rolling(chars, "place", last, "char_").select("char_no", "char_error", "char_n", "char_wrong_n")
+
+
 def _rolling(rows: DataFrame, place: str, last: int, name: str) -> DataFrame:
     w = Window.partitionBy(PART).orderBy(place).rowsBetween(-(last - 1), 0)
     out = with_lead(rows, place, last - 1).withColumns({f"{name}n": F.count("*").over(w), f"{name}wrong_n": F.sum("wrong").over(w), f"{name}error": F.avg("wrong").over(w)})
     return out.where("own").drop(PART, "own")
 
 
-def model_sizes(states: DataFrame) -> DataFrame:
-    """(seq, n_states, n_transitions) after each word event: distinct ones seen so far. First times come from grouping, not from a state's window."""
+def model_sizes(states: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(seq, n_states, n_transitions) after each word event: distinct ones seen so far, without those of ``earlier`` (state, word). First times come from grouping, not from a state's window."""
     rows = staged(states.select("seq", "state", "word"))
-    new = rows.groupBy("state").agg(F.min("seq").alias("seq")).select("seq", F.lit(1).alias("s"), F.lit(0).alias("t"))
-    new = new.unionByName(rows.groupBy("state", "word").agg(F.min("seq").alias("seq")).select("seq", F.lit(0).alias("s"), F.lit(1).alias("t")))
+
+    def firsts(*by: str) -> DataFrame:
+        found = rows.groupBy(*by).agg(F.min("seq").alias("seq"))
+        return found if earlier is None else found.join(earlier.select(*by).distinct(), list(by), "left_anti")
+
+    new = firsts("state").select("seq", F.lit(1).alias("s"), F.lit(0).alias("t"))
+    new = new.unionByName(firsts("state", "word").select("seq", F.lit(0).alias("s"), F.lit(1).alias("t")))
     every = rows.select("seq", F.lit(0).alias("s"), F.lit(0).alias("t")).unionByName(new).groupBy("seq").agg(F.max("s").alias("s"), F.max("t").alias("t"))
     return running_sums(numbered_parts(every, "seq"), {"n_states": F.col("s"), "n_transitions": F.col("t")}, order=["seq"]).select("seq", "n_states", "n_transitions")
 

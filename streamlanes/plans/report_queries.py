@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import langmodel, profile, report, reports
+from ..operators.ordering import PART, in_parts
 from ..operators.staging import shared_path
 from ..sources import lanes
+from ..streaming.model import StreamedModel, run_model
 from . import registry as r
 from .application import SPEC, operators
 from .graph import Application
@@ -159,6 +161,21 @@ def concatenated_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sorted_by(both, ["user_id", "value"]).select("user_id", report.rounded(F.col("value"), 1).alias("value"))
 
 
+@r.query(ERRORS + """ SELECT seq, CAST(session AS BIGINT) AS session, word, guess AS predicted, round(wn / n, 4) AS error, CASE WHEN cn > 0 THEN round(cw / cn, 4) END AS char_error, CAST(n_states AS BIGINT) AS n_states, CAST(n_moves AS BIGINT) AS n_transitions
+FROM counts JOIN predicted USING (seq)""")
+def streamed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence model on a stream of four micro-batches, the query stopped and started again between them."""
+    rows = in_parts(lanes.labelled_lanes(spark, sf_dir).select(*langmodel.MERGED, "label"), langmodel.MERGED)
+    folder, schema = shared_path(spark, f"streamed-{uuid.uuid4().hex}"), "time_ms long, channel long, pos long, label string"
+    parts = (rows.agg(F.max(PART)).first()[0] or 0) + 1
+    for k in range(4):
+        rows.where(F.expr(f"{PART} * 4 div {parts} = {k}")).select(*[F.col(c).cast(t) for c, t in (x.split() for x in schema.split(", "))]).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        run_model(stream, f"{folder}/model", numeric=r.NUMERIC, timeout_ms=r.IDLE_MS, history=r.HISTORY, last=r.ERRORS).trigger(availableNow=True).start().awaitTermination()
+    found = StreamedModel(spark, f"{folder}/model", numeric=r.NUMERIC, timeout_ms=r.IDLE_MS, history=r.HISTORY, last=r.ERRORS).results()
+    return found.select("seq", "session", "word", "predicted", *r.r4("error", "char_error"), "n_states", "n_transitions")
+
+
 # The application's oracle puts the other queries' parts together: motifs found, labels and words merged, errors and scores.
 _FOUND = r._candidate_ctes().replace("states AS (", "opened AS (").replace("FROM states WHERE", "FROM opened WHERE") + """,
 seen AS (SELECT l.*, CASE WHEN l.pos % 48 = 16 THEN 'MOTIF_BEGIN' WHEN l.pos % 48 BETWEEN 17 AND 31 THEN 'MID_MOTIF' ELSE 'NA' END AS truth,
