@@ -1,6 +1,6 @@
 """Sequence model over the merged stream of word events: sessions, transitions, predictions, rolling errors.
 
-Probabilities and smoothing are this library's own definitions: an event's state is the words since the last idle, at
+Probabilities, smoothing and back-off are this library's own definitions: an event's state is the words since the last idle, at
 most ``history`` of them; a word's probability is its count after that state over the state's; smoothing adds a
 constant to each word's count.
 """
@@ -96,6 +96,45 @@ def probabilities(counts: DataFrame, smoothing: float = 0.0, n_words: int | None
     return counts.withColumn("p", (F.col("n") + smoothing) / total)
 
 
+def _suffixes(states: DataFrame, longest: int) -> DataFrame:
+    """``states`` with a row for each suffix of 1 to ``longest`` words: its length ``k`` and two hashes of it, ``h1`` and ``h2``."""
+    words = F.when(F.col("state") == "", F.array().cast("array<string>")).otherwise(F.split("state", " "))
+    rows = states.withColumn("__words", words).where(F.size("__words") > 0)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.size("__words"), F.lit(longest)))))
+    suffix = F.array_join(F.slice("__words", -F.col("k"), F.col("k")), " ")
+    return rows.withColumn("h1", F.xxhash64(suffix)).withColumn("h2", F.xxhash64(F.lit(1), suffix)).drop("__words")
+
+
+def suffix_index(states: DataFrame, longest: int = 8) -> DataFrame:
+    """(k, h1, h2, word, n): how often each word came after each suffix of up to ``longest`` words of its state; k = 0 is the empty one.
+
+    Suffixes are told by two 64-bit hashes, so rows stay short whatever the history.
+    """
+    rows = _suffixes(states.select("state", "word"), longest).groupBy("k", "h1", "h2", "word").agg(F.count("*").alias("n"))
+    empty = states.groupBy("word").agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "word", "n")
+    return rows.unionByName(empty)
+
+
+def smoothed_lookup(events: DataFrame, index: DataFrame, *, smoothing: float = 0.0, n_words: int = 0, longest: int = 8) -> DataFrame:
+    """``events`` (seq, state, word, ...) with ``k``, ``n``, ``total`` and ``p``: the word's share after the longest suffix of its state that the index has.
+
+    A state that was never seen backs off to its longest known suffix, at last to the empty one, which says how frequent
+    words are. Each of ``n_words`` words counts ``smoothing`` more, so a word never seen after that suffix gets
+    smoothing / (total + n_words * smoothing). Suffixes meet by equality of hashes; the empty one is joined by word, so
+    no key gathers all events. An empty index gives k, n and total of 0 and, without smoothing, no p.
+    """
+    index = staged(index)
+    totals = staged(index.where("k > 0").groupBy("k", "h1", "h2").agg(F.sum("n").alias("total")))
+    of_all = index.where("k = 0").agg(F.sum("n")).first()[0] or 0
+    known = _suffixes(events.select("seq", "state"), longest).join(totals, ["k", "h1", "h2"])
+    best = known.groupBy("seq").agg(F.max(F.struct("k", "h1", "h2", "total")).alias("best")).select("seq", "best.*")
+    rows = staged(events.join(best, "seq", "left"))
+    deep = rows.where("k IS NOT NULL").join(index.where("k > 0"), ["k", "h1", "h2", "word"], "left")
+    flat = rows.where("k IS NULL").drop("k", "total").join(index.where("k = 0").select("word", "n"), "word", "left").withColumn("k", F.lit(0)).withColumn("total", F.lit(of_all).cast("long"))
+    both = deep.drop("h1", "h2").unionByName(flat.drop("h1", "h2")).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return both.withColumn("p", F.try_divide(F.col("n") + F.lit(float(smoothing)), F.col("total") + F.lit(float(smoothing * n_words))))
+
+
 def predictions(states: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Word events with ``predicted``: the likeliest word after their state by the events before them; ties go to the first word.
 
@@ -209,3 +248,99 @@ def finish_model(counts: Mapping[tuple[str, str], float], current: str, idle: st
     stationary /= stationary.sum()
     entropy = float(-(stationary[:, None] * p * np.log2(np.where(p > 0, p, 1))).sum())
     return {"min_error": float((stationary * (1 - p.max(axis=1))).sum()), "entropy_rate": entropy, "perplexity_rate": 2**entropy}
+
+
+# The finished model as tables ----------------------------------------------------------------------------------------
+
+def order_one_moves(events: DataFrame, idles: DataFrame, idle: str = IDLE) -> DataFrame:
+    """(state, word, n): moves from each word to the next, from ``idle`` to a session's first word and back from its last, for ``sessions`` and ``idle_timeouts``."""
+    events = staged(events.select("seq", "session", "word"))
+    within = with_states(events, 1).select(F.when(F.col("state") == "", idle).otherwise(F.col("state")).alias("state"), "word")
+    closed = events.groupBy("session").agg(F.max_by("word", "seq").alias("state")).where(F.col("session") < idles.count()).select("state", F.lit(idle).alias("word"))
+    return within.unionByName(closed).groupBy("state", "word").agg(F.count("*").alias("n"))
+
+
+def current_state(events: DataFrame, idles: DataFrame, idle: str = IDLE) -> str:
+    """The last word, or ``idle`` where it went idle since, or nothing came."""
+    last = events.agg(F.max(F.struct("seq", "session", "word")).alias("last")).first()["last"]
+    return idle if last is None or last["session"] < idles.count() else last["word"]
+
+
+def reachable(moves: DataFrame, start: str, back: bool = False) -> DataFrame:
+    """(node) that moves lead to from ``start``, itself included, or from which they lead to it if ``back``: a join for each step away."""
+    a, b = ("word", "state") if back else ("state", "word")
+    edges = staged(moves.select(F.col(a).alias("a"), F.col(b).alias("node")).distinct())
+    seen = frontier = staged(moves.sparkSession.createDataFrame([(start,)], "node string"))
+    while True:
+        following = edges.join(frontier.withColumnRenamed("node", "a"), "a").select("node").distinct()
+        frontier = staged(following.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = staged(seen.unionByName(frontier))
+
+
+def finish_moves(moves: DataFrame, current: str, idle: str = IDLE) -> DataFrame:
+    """``moves`` with one from ``current`` to ``idle`` where it is not idle and some word cannot be reached from, or cannot reach, ``idle``: strong connection by reach in both directions."""
+    moves = staged(moves)
+    if current == idle:
+        return moves
+    nodes = moves.select(F.col("state").alias("node")).unionByName(moves.select(F.col("word").alias("node"))).distinct()
+    both = reachable(moves, idle).join(reachable(moves, idle, back=True), "node")
+    if nodes.join(both, "node", "left_anti").isEmpty():
+        return moves
+    more = moves.sparkSession.createDataFrame([(current, idle, 1)], "state string, word string, n long")
+    return moves.unionByName(more).groupBy("state", "word").agg(F.sum("n").alias("n"))
+
+
+#: A node of no word's name, through which nodes that nothing leaves share out their weight.
+_EVEN = "\0even"
+
+
+def stationary(shares: DataFrame, nodes: DataFrame, *, tolerance: float = 1e-12, steps: int = 1000, together: int = 8) -> DataFrame:
+    """(node, weight): the distribution that moves by ``shares`` (state, word, p) leave as it is, by power iteration from the even one.
+
+    Half of the weight stays in each step, so that cycles settle. Nodes that nothing leaves share their weight out
+    evenly, through a node of their own that is left out at the end. ``together`` steps, a join and a sum each, are one
+    job, whose result is staged, until no weight changes by more than ``tolerance``.
+    """
+    n = nodes.count()
+    dangling = nodes.join(shares.select(F.col("state").alias("node")).distinct(), "node", "left_anti")
+    edges = shares.select(F.col("state").alias("a"), F.col("word").alias("b"), (F.col("p") / 2).alias("p"))
+    edges = edges.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.5).alias("p")))
+    edges = edges.unionByName(dangling.select(F.col("node").alias("a"), F.lit(_EVEN).alias("b"), F.lit(0.5).alias("p")))
+    edges = staged(edges.unionByName(nodes.select(F.lit(_EVEN).alias("a"), F.col("node").alias("b"), F.lit(1.0 / max(n, 1)).alias("p"))))
+    weights = staged(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("weight")))
+    for _ in range(0, steps, together):
+        now = weights
+        for _ in range(together):
+            now = now.join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("weight") * F.col("p")).alias("weight"))
+        now = staged(now)
+        change = now.join(weights.withColumnRenamed("weight", "before"), "node", "left").agg(F.max(F.abs(F.col("weight") - F.coalesce("before", F.lit(0.0))))).first()[0]
+        weights = now
+        if change is None or change <= tolerance:
+            break
+    real = staged(weights.where(F.col("node") != _EVEN))
+    total = real.agg(F.sum("weight")).first()[0]
+    return real.select("node", (F.col("weight") / F.lit(total)).alias("weight"))
+
+
+def model_rates(moves: DataFrame, idle: str = IDLE) -> DataFrame:
+    """(n_states, min_error, entropy_rate, perplexity_rate) of finished moves; rates are null for fewer than three states.
+
+    Rates weigh each state by the stationary distribution: how often the likeliest next word is wrong, and the bits that
+    the next word tells.
+    """
+    moves = staged(moves)
+    only_idle = moves.sparkSession.createDataFrame([(idle,)], "node string")
+    nodes = staged(moves.select(F.col("state").alias("node")).unionByName(moves.select(F.col("word").alias("node"))).unionByName(only_idle).distinct())
+    n = nodes.count()
+    if n < 3:
+        none = F.lit(None).cast("double")
+        return only_idle.select(F.lit(n).cast("long").alias("n_states"), none.alias("min_error"), none.alias("entropy_rate"), none.alias("perplexity_rate"))
+    totals = moves.groupBy("state").agg(F.sum("n").alias("total"))
+    shares = staged(moves.join(totals, "state").select("state", "word", (F.col("n") / F.col("total")).alias("p")))
+    own = shares.groupBy(F.col("state").alias("node")).agg((1 - F.max("p")).alias("error"), F.sum(-F.col("p") * F.log2("p")).alias("bits"))
+    weighed = stationary(shares, nodes).join(own, "node", "left")
+    error, bits = F.coalesce("error", F.lit(1 - 1 / n)), F.coalesce("bits", F.lit(float(np.log2(n))))
+    rates = weighed.agg(F.sum(F.col("weight") * error).alias("min_error"), F.sum(F.col("weight") * bits).alias("entropy_rate"))
+    return rates.select(F.lit(n).cast("long").alias("n_states"), "min_error", "entropy_rate", F.pow(F.lit(2.0), "entropy_rate").alias("perplexity_rate"))

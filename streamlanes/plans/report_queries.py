@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..operators import langmodel, profile, report, reports
 from ..operators.ordering import PART, in_parts
-from ..operators.staging import shared_path
+from ..operators.staging import shared_path, staged
 from ..sources import lanes
 from ..streaming.model import StreamedModel, run_model
 from . import registry as r
@@ -161,6 +161,56 @@ def concatenated_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sorted_by(both, ["user_id", "value"]).select("user_id", report.rounded(F.col("value"), 1).alias("value"))
 
 
+#: Back-off: suffixes of up to so many words, and what each word counts more.
+LONGEST, SMOOTHING = 6, 0.5
+
+
+@r.query(r.WORDS + f""", parts AS (SELECT *, CASE WHEN state = '' THEN [] ELSE string_split(state, ' ') END AS ws FROM states),
+cuts AS (SELECT seq, session, word, k, array_to_string(ws[len(ws) - k + 1:], ' ') AS suffix FROM (SELECT *, unnest(range(0, least(len(ws), {LONGEST}) + 1)) AS k FROM parts)),
+idx AS (SELECT k, suffix, word, count(*) AS n FROM cuts WHERE session % 2 = 0 GROUP BY ALL), totals AS (SELECT k, suffix, sum(n) AS total FROM idx GROUP BY ALL),
+vocabulary AS (SELECT count(DISTINCT word) AS size FROM states WHERE session % 2 = 0),
+best AS (SELECT seq, word, max(k) AS k, arg_max(suffix, k) AS suffix, arg_max(total, k) AS total FROM (SELECT c.*, t.total FROM cuts c JOIN totals t USING (k, suffix) WHERE c.session % 2 = 1) GROUP BY seq, word)
+SELECT b.seq, b.word, CAST(b.k AS INTEGER) AS k, CAST(coalesce(i.n, 0) AS BIGINT) AS n, CAST(b.total AS BIGINT) AS total, round((coalesce(i.n, 0) + {SMOOTHING}) / (b.total + {SMOOTHING} * (SELECT size FROM vocabulary)), 6) AS p
+FROM best b LEFT JOIN idx i ON i.k = b.k AND i.suffix = b.suffix AND i.word = b.word""")
+def smoothed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every second session by a model of the others: their states are new and back off to known suffixes."""
+    states = staged(langmodel.with_states(langmodel.sessions(lanes.labelled_lanes(spark, sf_dir), r.NUMERIC, r.IDLE_MS), r.HISTORY))
+    seen = states.where("session % 2 = 0")
+    index = langmodel.suffix_index(seen, LONGEST)
+    found = langmodel.smoothed_lookup(states.where("session % 2 = 1").select("seq", "state", "word"), index, smoothing=SMOOTHING, n_words=seen.select("word").distinct().count(), longest=LONGEST)
+    return found.select("seq", "word", "k", "n", "total", F.round("p", 6).alias("p"))
+
+
+@r.query(r.WORDS.replace("WITH kinds", "WITH RECURSIVE kinds", 1) + """, ends AS (SELECT session, arg_max(word, seq) AS word FROM sess GROUP BY session), idles AS (SELECT count(*) AS n FROM fired),
+pairs AS (SELECT coalesce(lag(word) OVER (PARTITION BY session ORDER BY seq), 'idle') AS state, word FROM sess UNION ALL SELECT word, 'idle' FROM ends WHERE session < (SELECT n FROM idles)),
+open_moves AS (SELECT state, word, count(*) AS n FROM pairs GROUP BY ALL),
+ahead(node) AS (SELECT 'idle' UNION SELECT m.word FROM ahead a JOIN open_moves m ON m.state = a.node),
+behind(node) AS (SELECT 'idle' UNION SELECT m.state FROM behind a JOIN open_moves m ON m.word = a.node),
+nodes AS (SELECT state AS node FROM open_moves UNION SELECT word FROM open_moves UNION SELECT 'idle'),
+apart AS (SELECT count(*) AS n FROM nodes WHERE node NOT IN (SELECT node FROM ahead) OR node NOT IN (SELECT node FROM behind)),
+closing AS (SELECT arg_max(word, session) AS state, 'idle' AS word, 1 AS n FROM ends HAVING max(session) >= (SELECT n FROM idles) AND (SELECT n FROM apart) > 0),
+moves AS (SELECT state, word, sum(n) AS n FROM (SELECT * FROM open_moves UNION ALL SELECT * FROM closing) GROUP BY ALL),
+shares AS (SELECT state, word, n / sum(n) OVER (PARTITION BY state) AS p FROM moves),
+walk(step, node, weight) AS (SELECT 0, node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) FROM nodes
+  UNION ALL SELECT step + 1, node, sum(weight) FROM (SELECT w.step, w.node, w.weight / 2 AS weight FROM walk w UNION ALL SELECT w.step, s.word, w.weight * s.p / 2 FROM walk w JOIN shares s ON s.state = w.node) WHERE step < 200 GROUP BY step, node),
+own AS (SELECT state, 1 - max(p) AS error, -sum(p * log2(p)) AS bits FROM shares GROUP BY state)
+SELECT (SELECT count(*) FROM nodes) AS n_states, (SELECT state FROM closing) AS closed, round(sum(weight * error), 6) AS min_error, round(sum(weight * bits), 6) AS entropy_rate, round(pow(2, sum(weight * bits)), 6) AS perplexity_rate
+FROM walk JOIN own ON own.state = walk.node WHERE step = 200""")
+def finished_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-1 model of all words, closed by a move to idle where it must be, and its rates."""
+    stream = lanes.labelled_lanes(spark, sf_dir)
+    events, idles = staged(langmodel.sessions(stream, r.NUMERIC, r.IDLE_MS)), staged(langmodel.idle_timeouts(stream, r.NUMERIC, r.IDLE_MS))
+    moves = staged(langmodel.order_one_moves(events, idles))
+    current = langmodel.current_state(events, idles)
+    finished = staged(langmodel.finish_moves(moves, current))
+    closed = None if finished.agg(F.sum("n")).first()[0] == moves.agg(F.sum("n")).first()[0] else current
+    return langmodel.model_rates(finished).select("n_states", F.lit(closed).cast("string").alias("closed"), *_six("min_error", "entropy_rate", "perplexity_rate"))
+
+
+def _six(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
 @r.query(ERRORS + """ SELECT seq, CAST(session AS BIGINT) AS session, word, guess AS predicted, round(wn / n, 4) AS error, CASE WHEN cn > 0 THEN round(cw / cn, 4) END AS char_error, CAST(n_states AS BIGINT) AS n_states, CAST(n_moves AS BIGINT) AS n_transitions
 FROM counts JOIN predicted USING (seq)""")
 def streamed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
