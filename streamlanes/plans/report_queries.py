@@ -12,6 +12,7 @@ from ..operators import langmodel, profile, report, reports
 from ..operators.ordering import PART, in_parts
 from ..operators.staging import shared_path, staged
 from ..sources import lanes
+from ..streaming.control import FanOut, fan_out
 from ..streaming.model import StreamedModel, run_model
 from . import registry as r
 from .application import SPEC, operators
@@ -211,6 +212,22 @@ def _six(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+@r.query(r.ORACLES["junction_fanout"])
+def streamed_junction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The junction on a stream of two micro-batches: sums of each output's batches, put together from what both sinks hold."""
+    rows = lanes.labelled_lanes(spark, sf_dir).select("channel", "pos", "value", "label")
+    folder, schema = shared_path(spark, f"junction-{uuid.uuid4().hex}"), "channel long, pos long, value double, label string"
+    values = lambda df: df.where("channel < 2").groupBy("channel").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    labels = lambda df: df.groupBy("channel").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") != "NA", 1)).cast("double").alias("total"))
+    outputs = {"values": values, "labels": labels}
+    for k in range(2):
+        rows.where(F.expr(f"pos div 1000 % 2 = {k}")).select(*[F.col(c).cast(t) for c, t in (x.split() for x in schema.split(", "))]).write.mode("append").parquet(f"{folder}/in")
+        fan_out(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", outputs).trigger(availableNow=True).start().awaitTermination()
+    held = FanOut(spark, f"{folder}/out", outputs)
+    sums = lambda name, total: held.read(name).groupBy("channel").agg(F.sum("n").alias("n"), total.alias("total")).select(F.lit(name).alias("output"), "channel", "n", "total")
+    return sums("values", F.round(F.sum("total"), 4)).unionByName(sums("labels", F.sum("total")))
+
+
 @r.query(ERRORS + """ SELECT seq, CAST(session AS BIGINT) AS session, word, guess AS predicted, round(wn / n, 4) AS error, CASE WHEN cn > 0 THEN round(cw / cn, 4) END AS char_error, CAST(n_states AS BIGINT) AS n_states, CAST(n_moves AS BIGINT) AS n_transitions
 FROM counts JOIN predicted USING (seq)""")
 def streamed_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,32 @@ def test_batches_without_words_or_rows_and_late_elements(spark, tmp_path):
     assert shown(streamed.results()) == batch_rows(spark, [x for b in batches for x in b])
     with pytest.raises(ValueError, match="before those seen"):
         streamed(spark.createDataFrame([(3, 0, 0, "NA")], SCHEMA), len(batches))
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_both_sinks_hold_each_row_once_after_a_kill_between_them(spark, tmp_path, monkeypatch, form):
+    from streamlanes.streaming.control import FanOut, fan_out
+
+    kill, write = {(0, "second"), (1, "first")}, FanOut._write
+
+    def killed(self, df, name, batch_id):
+        if (batch_id, name) in kill:
+            kill.discard((batch_id, name))
+            raise RuntimeError("killed")
+        return write(self, df, name, batch_id)
+
+    monkeypatch.setattr(FanOut, "_write", killed)
+    outputs = {"first": lambda df: df, "second": lambda df: df.where("v % 2 = 0").withColumn("v", F.col("v") * 10)}
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).withColumnRenamed("id", "v").write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            try:
+                query = fan_out(spark.readStream.schema("v long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), outputs, form).trigger(availableNow=True).start()
+                assert query.awaitTermination(120)
+                break
+            except Exception as e:
+                assert "killed" in str(e)
+    assert not kill
+    held = FanOut(spark, str(tmp_path / "out"), outputs, form)
+    assert sorted(r.v for r in held.read("first", "v long").collect()) == list(range(30))
+    assert sorted(r.v for r in held.read("second", "v long").collect()) == [10 * v for v in range(0, 30, 2)]
