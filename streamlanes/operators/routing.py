@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import PART, position, with_lead
+from .ordering import PART, position, running_sums, with_lead
 
 
 def demux(stream: DataFrame, lane: int) -> DataFrame:
@@ -15,24 +15,22 @@ def demux(stream: DataFrame, lane: int) -> DataFrame:
     return stream.where(F.col("channel") == lane)
 
 
-def lane_sizes(stream: DataFrame) -> dict[int, int]:
-    """Rows of each lane: as many numbers as there are lanes."""
-    return {r.channel: r.n for r in stream.groupBy("channel").agg(F.count("*").alias("n")).collect()}
+def each_lane(stream: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+    """(channel, aggregates) of every lane of a demuxed stream: one grouping, whatever the number of lanes."""
+    return stream.groupBy("channel").agg(*aggregates)
 
 
 def sequential_mux(stream: DataFrame, chunk: int) -> DataFrame:
     """``stream`` with ``seq``, its place where each turn takes up to ``chunk`` elements of every lane, lane by lane.
 
-    The model where all lanes are full: order by (pos div chunk, channel, pos). The place is computed from the lanes'
-    sizes, so nothing is sorted or shuffled.
+    The model where all lanes are full: order by (pos div chunk, channel, pos). Elements are counted by turn and lane;
+    running sums of these counts, by parts, are where each lane's turn begins, and a join brings them to its elements.
+    No element is sorted, and the plan is the same for any number of lanes.
     """
-    sizes = sorted(lane_sizes(stream).items())
-    turn = F.floor(F.col("pos") / chunk)
-    before = F.col("pos") - turn * chunk
-    for lane, n in sizes:
-        earlier = F.least(F.lit(n), turn * chunk)
-        before = before + earlier + F.when(F.lit(lane) < F.col("channel"), F.least(F.lit(n), (turn + 1) * chunk) - earlier).otherwise(0)
-    return stream.withColumn("seq", before.cast("long"))
+    rows = stream.withColumn("turn", F.expr(f"pos div {chunk}"))
+    turns = running_sums(rows.groupBy("turn", "channel").agg(F.count("*").alias("n")), {"upto": F.col("n")}, order=["turn", "channel"])
+    starts = turns.select("turn", "channel", (F.col("upto") - F.col("n")).alias("start"))
+    return rows.join(starts, ["turn", "channel"]).withColumn("seq", (F.col("start") + F.col("pos") % chunk).cast("long")).select(*stream.columns, "seq")
 
 
 def time_merge(stream: DataFrame) -> DataFrame:

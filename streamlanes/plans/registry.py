@@ -47,7 +47,7 @@ def r4(*names: str) -> list:
 def demux_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = lanes.event_lanes(spark, sf_dir)
     sums = [F.count("*").alias("n"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.round(F.sum("value"), 4).alias("total")]
-    return report.concatenated([routing.demux(stream, lane).groupBy("channel").agg(*sums) for lane in sorted(routing.lane_sizes(stream))])
+    return routing.each_lane(stream, sums)
 
 
 @query("SELECT event_id, CAST(event_id % 5 AS BIGINT) AS channel FROM events")
