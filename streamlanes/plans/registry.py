@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import langmodel, metrics, motifs, profile, report, routing
-from ..operators.detector import detect
+from ..operators.detector import detect_by_parts
 from ..operators.staging import shared_path, staged
 from ..sources import lanes
 
@@ -208,7 +208,7 @@ def motif_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def buffered_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(lanes.labelled_lanes(spark, sf_dir), size=500, purge=0.2, lengths=LENGTHS, lo=LO, hi=HI)
+    return detect_by_parts(lanes.labelled_lanes(spark, sf_dir), size=500, purge=0.2, lengths=LENGTHS, lo=LO, hi=HI)
 
 
 WORDS = LABELLED + """,

@@ -203,3 +203,33 @@ def test_many_taps_have_a_plan_of_constant_size(spark):
     x, taps = rng.standard_normal(5000) + 1000, rng.standard_normal(333)
     assert np.abs(num.sliding_dot(x, taps) - np.correlate(x, taps, "valid")).max() < 1e-9
     assert len(num.sliding_dot([1.0], [1.0] * 80)) == 0 and len(num.sliding_dot(np.ones(80), np.ones(80))) == 1
+
+
+def test_parts_of_a_lane_fold_as_the_whole_lane_does(spark, monkeypatch):
+    from streamlanes.operators import detector
+
+    rng = np.random.default_rng(7)
+    shape = np.sin(np.arange(24) * 0.9) * 4
+    lanes = {}
+    for c, n in ((0, 1500), (1, 1501), (2, 149), (3, 150), (4, 700)):
+        x = rng.standard_normal(n).cumsum() * 0.2
+        for a in range(30, n - 30, 37 + 11 * c):
+            x[a : a + 24] += shape
+        lanes[c] = x
+    rows = [(c, p, p * 10 + c, "NA", float(v)) for c, x in lanes.items() for p, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "channel long, pos long, time_ms long, label string, value double")
+    rounds, folder = [], detector._folder
+
+    def counted(*args):
+        rounds.append(1)
+        return folder(*args)
+
+    monkeypatch.setattr(detector, "_folder", counted)
+    options = {"size": 150, "purge": 0.3, "lengths": (24, 32), "lo": 0.05, "hi": 0.2}
+    want = sorted(tuple(r) for r in detect(df, **options).collect())
+    for span in (150, 400):
+        rounds.clear()
+        assert sorted(tuple(r) for r in detector.detect_by_parts(df, span=span, **options).collect()) == want
+        assert 1 <= len(rounds) <= 6  # of ten parts
+    assert sum(r[3] == "MOTIF_BEGIN" for r in want) > 20
+    assert detector.detect_by_parts(df.where("false"), **options).count() == 0
