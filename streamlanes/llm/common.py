@@ -47,7 +47,7 @@ class Workspace:
         return f"{self.path}/{name}"
 
     def stage(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """``batch_rows``: rows of an Arrow batch at most, where texts may be long."""
+        """``batch_rows``: rows of an Arrow batch at most; it ends after ``BATCH_BYTES`` too."""
         with arrow_batches(self.spark, batch_rows):
             df.write.option("compression", "zstd").parquet(self.of(name))
         self.names.add(name)
@@ -64,18 +64,22 @@ class Workspace:
             self.drop(name)
 
 
+#: Bytes after which an Arrow batch of a staged table ends, whatever its rows.
+BATCH_BYTES = "16m"
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int | None):
-    """Within it, Arrow batches hold so many rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    if rows:
-        spark.conf.set(key, str(rows))
+    """Within it, Arrow batches hold so many rows at most, and so many bytes that very long texts come a few at a time."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows) if rows else None, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k, v in wanted.items() if v}
+    for k in before:
+        spark.conf.set(k, wanted[k])
     try:
         yield
     finally:
-        if rows:
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

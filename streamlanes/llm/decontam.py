@@ -156,15 +156,18 @@ def _window_finder(sizes: list[int], bits: np.ndarray):
 
 
 def _tiler(least: int, threshold: float):
+    """Items contained in texts, from rows (key, part, item_id, text) by key and part: the text itself, without an item's id, precedes its items."""
     types = [pa.binary(), *[pa.int64()] * 4, pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = np.empty(0, np.uint64)
         for batch in batches:
-            rows, last, tokens = [], None, np.empty(0, np.uint64)
-            for key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    last, tokens = key, token_hashes(text)
-                p = token_hashes(item)
+            rows = []
+            for key, item_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                p = token_hashes(text.as_py())
+                if item_id is None:
+                    tokens = p
+                    continue
                 covered, tiles = coverage(p, tokens, least)
                 if covered >= threshold * len(p):
                     rows.append((key, item_id, len(p), covered, tiles, covered / len(p)))
@@ -174,6 +177,10 @@ def _tiler(least: int, threshold: float):
     return run
 
 
+#: Items that are tiled against one text in one task.
+ITEMS_A_TASK = 256
+
+
 def _text_key(column: str) -> Column:
     """16 bytes that stand for a text."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
@@ -207,8 +214,13 @@ def _contaminated(texts: DataFrame, benchmark: DataFrame, least: int, threshold:
     windows = ws.stage(texts.select("key", "text").mapInArrow(_window_finder(sizes, bits), "key binary, h long"), "windows", batch_rows=500)
     met = windows.distinct().join(seeds, "h").groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("need").alias("need"))
     pairs = ws.stage(met.where("places >= need").select("key", "item"), "pairs")
-    some = texts.join(pairs.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text"))
-    rows = pairs.join(ws.stage(some, "texts"), "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "text", "item_id", "item_text")
+    # A text moves once, with all its items behind it; one with very many is dealt to several tasks.
+    parts = ws.stage(pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS_A_TASK).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part")
+    of_items = pairs.join(parts, "key").select("key", part, "item").join(items.select("item", "item_id", "text"), "item").select("key", "part", "item_id", "text")
+    some = texts.join(parts, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("parts").alias("parts"))
+    each = some.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("item_id"), "text")
+    rows = each.unionByName(of_items).repartition("key", "part").sortWithinPartitions("key", "part", F.col("item_id").asc_nulls_first())
     return ws.stage(rows.mapInArrow(_tiler(least, threshold), "key binary, item_id long, item_tokens long, covered long, tiles long, coverage double"), "found", batch_rows=200)
 
 
@@ -220,8 +232,8 @@ def find_contamination(
 
     Words are compared in lower case without punctuation, by 64-bit hashes. An item counts as contained if tiles of
     ``least`` words or more, in whatever order they stand in the document, cover ``threshold`` of its words. An item of
-    fewer words is contained where it stands whole; items below ``shortest`` words are left out. Windows of ``least``
-    words shared with an item (seeds) lead to the pairs that are tiled, and none that can reach the threshold is missed.
+    fewer words is contained where it stands whole; whoever has items of a word or two, which say nothing of where a text
+    comes from, can leave out those below ``shortest`` words. Windows of ``least`` words shared with an item (seeds) lead to the pairs that are tiled, and none that can reach the threshold is missed.
     Neither table is gathered anywhere: windows that pass a filter of 2 MB are shuffled, and the texts of pairs.
 
     Null or empty texts contain nothing; items that are null, empty or have a null id are contained in nothing. Very
@@ -237,12 +249,11 @@ def find_contamination(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5, threshold: float = 0.8,
-    shortest: int = 5,
+    shortest: int = 1,
 ) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with all their columns, whatever their names.
 
-    Items as in ``find_contamination``, but those below ``shortest`` words do not count: a word or two say nothing of
-    where a text comes from. Null or empty texts stay; equal texts stay or go together; null ids are no matter; empty
+    Items as in ``find_contamination``. Null or empty texts stay; equal texts stay or go together; null ids are no matter; empty
     tables are fine.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))

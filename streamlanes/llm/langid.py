@@ -18,7 +18,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 20
 #: Letters after which the forward pass brings its numbers back into range.
 RESCALE = 16
-#: Longer runs of letters are scored alone, place by place instead of many runs at once; the sum is the same. None is learnt from.
+#: Longer runs of letters are scored alone, place by place instead of many runs at once; the sum is the same. They are learnt from in stretches of so many letters.
 LONG = 256
 UNKNOWN = 1e-7
 START = "▁"
@@ -168,10 +168,14 @@ def marked(run: str) -> str:
 
 
 def train_pieces(texts: Iterable[tuple[str, str]], vocabulary: Pieces, rounds: int = 2, smooth: float = 200.0) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities by expectation maximisation over (lang, text), smoothed by all languages' mean."""
+    """Languages and their piece probabilities by expectation maximisation over (lang, text), smoothed by all languages' mean.
+
+    Every letter is learnt from: of a run longer than ``LONG`` only pieces that lie over a cut between its stretches do
+    not count.
+    """
     counts: dict[str, Counter] = {}
     for lang, text in texts:
-        counts.setdefault(lang, Counter()).update(w for w in map(marked, letters_of(text)) if 0 < len(w) <= LONG)
+        counts.setdefault(lang, Counter()).update(w[i : i + LONG] for w in map(marked, letters_of(text)) for i in range(0, len(w), LONG))
     langs = sorted(k for k, c in counts.items() if c)
     size = len(vocabulary.pieces) + 1
     start = np.array([0.0] + [10.0 ** (-0.5 * (8 - min(8, len(x)))) for x in vocabulary.pieces])

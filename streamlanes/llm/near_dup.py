@@ -137,7 +137,7 @@ def near_duplicates(
        side still reaches the overlap that the two sizes need. Each document's place tells which sizes it can reach at
        all: as the smaller of a pair only with few values of its own.
     5. What is open then is split into groups of similar sketches. Pages of one template have most of their values in
-       common, so within a group only what they differ in is listed and compared (``_links_in_groups``), in rounds that
+       common, so within a group only what they differ in is listed and compared (``_joined_in_groups``), in rounds that
        join a list's documents to one of them before any are paired. Pairs of different groups that step 4 leaves are
        verified on full sets. Grouping decides what is compared by which way, not what is linked.
 
@@ -170,7 +170,7 @@ def near_duplicates(
     twice = named.join(ws.stage(many, "ids-of-several"), "doc_id")
     links = ws.stage(twice.select(F.col("rep").alias("a"), "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b")).distinct(), "links-twice")
     if not exact and listed.isEmpty():
-        return _result(ws, sketched, classes, connected_components(ws, links, "cc-twice"))
+        return _result(ws, sketched, classes, _merged(ws, None, links, "cc-twice"))
     members = classes.select(F.col("rep").alias("doc_id")).distinct() if exact else listed.select("doc_id").distinct()
     texts = ws.stage(own.join(members, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
     sketches = ws.stage(classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id"), "listed-sketches")
@@ -207,7 +207,8 @@ def near_duplicates(
     hubs = listed.groupBy("v").agg(F.min(F.struct("alone", "doc_id")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.doc_id").alias("hub"))
     stars = listed.join(ws.stage(hubs, "hubs"), "v").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     links = links.unionByName(verified(close(stars, "star-sketches"), "star"))
-    found = connected_components(ws, links, "cc-star").withColumnRenamed("node", "doc_id")
+    joined = _merged(ws, None, links, "cc-star")
+    found = joined.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
 
     # What stars left open: lists that hold several components. Their documents are listed anew by their whole sets.
     def split_lists(lists: DataFrame, name: str) -> DataFrame:
@@ -230,18 +231,22 @@ def near_duplicates(
     able = ws.stage(again.where(reaches(F.greatest("least", F.ceil(F.col("n") * F.lit(percent) / 100)))).drop("least", "component"), "listed-reaching")
     able = ws.stage(split_lists(able, "several-able").drop("least"), "listed-open")
     if able.isEmpty():
-        return _result(ws, sketched, classes, connected_components(ws, links, "cc-last"))
+        return _result(ws, sketched, classes, joined)
     hubs = able.groupBy("v").agg(F.min(F.struct("alone", "doc_id"))["doc_id"].alias("b"))
     spokes = able.select("v", F.col("doc_id").alias("a")).join(ws.stage(hubs, "hubs-able"), "v").where("a <> b").select("a", "b")
     alike = ws.stage(close(spokes, "alike", F.ceil(F.size("union") / 2)), "alike")
     groups = connected_components(ws, alike, "cc-alike").select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
     open_docs = able.select("doc_id").distinct().join(groups, "doc_id", "left")
     grouped = ws.stage(open_docs.select("doc_id", F.coalesce("g", "doc_id").alias("g")), "groups")
-    links = links.unionByName(_links_in_groups(ws, whole.join(grouped, "doc_id").select("doc_id", "g", "n", "sketch"), links, percent, dealt))
+    joined = _joined_in_groups(ws, whole.join(grouped, "doc_id").select("doc_id", "g", "n", "sketch"), joined, percent, dealt)
 
-    able = able.drop("component").join(grouped, "doc_id")
-    found = connected_components(ws, links, "cc-groups").withColumnRenamed("node", "doc_id")
-    able = ws.stage(split_lists(able.drop("least"), "several-groups").drop("least"), "listed-last")
+    found = joined.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    able = able.drop("component", "least").join(grouped, "doc_id").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    ends = [f(c).alias(f"{c}{i}") for c in ("component", "g") for i, f in enumerate((F.min, F.max))]
+    across = able.groupBy("v").agg(*ends).where("component0 <> component1 AND g0 <> g1").select("v")
+    able = ws.stage(able.join(ws.stage(across, "several-groups"), "v"), "listed-last")
+    if able.isEmpty():
+        return _result(ws, sketched, classes, joined)
     columns = ("doc_id", "n", "place", "component", "g")
     small = able.where(reaches(F.col("n"))).select("v", *[F.col(c).alias(f"{c}_b") for c in columns])
     large = able.select("v", *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -251,16 +256,23 @@ def near_duplicates(
         (F.col("g_a") != F.col("g_b")) & (F.col("component_a") != F.col("component_b")) & ((na > nb) | ((na == nb) & (F.col("doc_id_a") > F.col("doc_id_b"))))
         & (nb * 100 >= na * percent) & (reach * (100 + percent) >= (na + nb) * percent)
     ).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    last = verified(open_pairs, "open")
-    return _result(ws, sketched, classes, connected_components(ws, links.unionByName(last), "cc-last"))
+    return _result(ws, sketched, classes, _merged(ws, joined, verified(open_pairs, "open"), "cc-last"))
+
+
+def _merged(ws: Workspace, joined: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """Components as edges (a, b) from each node to its smallest, of ``joined``, such edges already, and more ``links``."""
+    if joined is not None and links.isEmpty():
+        return joined
+    every = links if joined is None else joined.unionByName(links)
+    return connected_components(ws, every, name).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-#: Rounds in which the documents of a list are compared with one of them, before all that are still apart are.
-ROUNDS = 2
+#: Rounds at most in which the documents of a list are compared with one of them, as long as that finds links; then all that are still apart are compared.
+ROUNDS = 4
 
 
-def _links_in_groups(ws: Workspace, docs: DataFrame, links: DataFrame, percent: int, dealt) -> DataFrame:
-    """Links (a, b) that, with ``links``, join all linked documents of a group: ``docs`` (doc_id, g, n, sketch) with whole sets.
+def _joined_in_groups(ws: Workspace, docs: DataFrame, joined: DataFrame, percent: int, dealt) -> DataFrame:
+    """Components ``joined`` (edges from each node to its smallest) and all links within groups of ``docs`` (doc_id, g, n, sketch), with whole sets.
 
     A group's core are the values that more than half of its sets hold, and a set is told by its delta, the values in
     which it differs from the core. Two sets differ in just the values in which their deltas differ, so whether they are
@@ -291,12 +303,11 @@ def _links_in_groups(ws: Workspace, docs: DataFrame, links: DataFrame, percent:
     lists = shared.withColumn("place", place.cast("int")).where(F.col("place") <= F.col("s") - F.col("least_shared") + 1)
     lists = ws.stage(lists.select("g", "v", "doc_id", "n", "s", "u", "place"), "listed-deltas")
 
-    def still_open(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Lists that hold several components of ``edges``, and the components as edges."""
-        of = connected_components(ws, edges, f"cc-{name}").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        named = lists.join(of.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    def still_open(name: str) -> DataFrame:
+        """Rows of lists that hold several components."""
+        named = lists.join(joined.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         several = named.groupBy("g", "v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("g", "v")
-        return ws.stage(named.join(ws.stage(several, f"several-{name}"), ["g", "v"]), f"listed-{name}"), of
+        return ws.stage(named.join(ws.stage(several, f"open-values-{name}"), ["g", "v"]), f"open-{name}")
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         return rows.select("g", "v", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "s", "u", "place", "component")])
@@ -311,24 +322,27 @@ def _links_in_groups(ws: Workspace, docs: DataFrame, links: DataFrame, percent:
         both = F.size(F.array_intersect("da", "db"))
         return ws.stage(pairs.join(a, "a").join(parts.join(b, "b"), ["b", "part"]).where(2 * (100 + percent) * both >= F.col("ua") + F.col("ub")).select("a", "b"), f"links-{name}")
 
-    rows, edges = still_open(links.unionByName(found), "turn-0")
+    joined = _merged(ws, joined, found, "cc-certain")
     for turn in range(ROUNDS):
+        rows = still_open(f"turn-{turn}")
         if rows.isEmpty():
-            return found
+            return joined
         hub = rows.groupBy("g", "v").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "s", "u", "place", "component")).alias("hub"))
-        hubs = ws.stage(side(hub.select("g", "v", "hub.*"), "b"), f"delta-hubs-{turn}")
-        more = linked(side(rows, "a").join(hubs, ["g", "v"]), f"deltas-{turn}")
-        found = found.unionByName(more)
-        rows, edges = still_open(edges.unionByName(more), f"turn-{turn + 1}")
-    return found.unionByName(linked(side(rows, "a").join(side(rows, "b"), ["g", "v"]).where("doc_id_a < doc_id_b"), "deltas-last"))
-
-
-def _result(ws: Workspace, sketched: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
-    ws.keep("sketches", "classes", "cc-last", "cc-twice")
+        partners = ws.stage(side(hub.select("g", "v", "hub.*"), "b"), f"delta-hubs-{turn}")
+        more = linked(side(rows, "a").join(partners, ["g", "v"]), f"deltas-{turn}")
+        if more.isEmpty():
+            break
+        joined = _merged(ws, joined, more, f"cc-turn-{turn}")
+    else:
+        rows = still_open("last")
+    more = linked(side(rows, "a").join(side(rows, "b"), ["g", "v"]).where("doc_id_a < doc_id_b"), "deltas-last")
+    return _merged(ws, joined, more, "cc-deltas")
+
+
+def _result(ws: Workspace, sketched: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    ws.keep("sketches", "classes", "cc-")
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    if found is not None:
-        out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        node = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    out = out.join(found.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")
+    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = out.withColumn("component_id", node)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -89,8 +89,10 @@ def test_contamination(spark):
     assert set(got) == {1, 2, None, 8, 9} and got[2].tiles == 2 and got[2].coverage == 1.0
     two = decontam.find_contamination(df, bench.unionByName(bench.selectExpr("item_id + 10 AS item_id", "text")).unionByName(bench))
     assert sorted(r.item_id for r in two.where("doc_id = 1").collect()) == [1, 1, 11]
-    short = decontam.find_contamination(df.selectExpr("doc_id", "'Too short, an item!' AS text"), bench)
-    assert {r.item_id for r in short.collect()} == {2}  # whole
+    short = df.selectExpr("doc_id", "'Too short, an item!' AS text")
+    assert {r.item_id for r in decontam.find_contamination(short, bench).collect()} == {2}  # whole
+    assert decontam.drop_contaminated(short, bench).count() == 0  # the filter takes the same items
+    assert decontam.find_contamination(short, bench, shortest=5).count() == 0 and decontam.drop_contaminated(short, bench, shortest=5).count() == 9
     clash = df.withColumnRenamed("u", "TEXT_KEY").withColumnRenamed("size", "key").withColumnRenamed("source", "h")
     left = decontam.drop_contaminated(clash, bench)
     assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7]
@@ -370,3 +372,23 @@ def test_the_mix_of_a_table_matches_its_oracle(spark):
         got = QUERIES["op5_pareto_mix"](spark, f"/root/testdata/{d}")
         want = con.sql(ORACLES["op5_pareto_mix"]).select(*got.columns).fetchall()
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_a_text_with_more_items_than_a_task_takes(spark, monkeypatch):
+    """Equal texts move once, and a text that holds very many items is dealt to several tasks."""
+    monkeypatch.setattr(decontam, "ITEMS_A_TASK", 3)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(words[10 * i : 10 * i + 9])) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[:50])), (4, "nothing")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(df, bench).collect())
+    assert got == sorted([(d, i) for d in (1, 2) for i in range(40)] + [(3, i) for i in range(5)])
+
+
+def test_runs_longer_than_the_limit_are_learnt_from():
+    vocabulary = langid.Pieces(["\u2581", *"abxyz", "ab", "ba", "xy", "yx"])
+    texts = [("p", "ab" * 500), ("q", "xy" * 500)]
+    langs, table = langid.train_pieces(texts, vocabulary)
+    assert langs == ["p", "q"]
+    place = {x: i + 1 for i, x in enumerate(vocabulary.pieces)}
+    assert table[place["ab"], 0] > 3 * table[place["ab"], 1] and table[place["xy"], 1] > 3 * table[place["xy"], 0]
