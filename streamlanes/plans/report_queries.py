@@ -243,6 +243,24 @@ def streamed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "session", "word", "predicted", *r.r4("error", "char_error"), "n_states", "n_transitions")
 
 
+@r.query(r.LANES + " SELECT channel, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT pos) AS places, max(pos) AS last_pos FROM lanes GROUP BY channel")
+def streamed_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events beside the elements that a synthetic stream, stopped and started again between micro-batches, has at their places.
+
+    The stream is as long as the longest lane, so each event meets one element, if places have no gap and none is twice.
+    """
+    events = staged(lanes.event_lanes(spark, sf_dir).select("channel", "pos", "value"))
+    longest, channels = events.agg(F.max("pos"), F.max("channel")).first()
+    least = sum(lanes.DISTRIBUTIONS[k][2] for k in ("gap", "motif", "inside", "motif", "padding"))
+    batches, folder = 3, shared_path(spark, f"synthetic-{uuid.uuid4().hex}")
+    per_batch = -(-((longest or 0) + 1) // (batches * int(least)))
+    for _ in range(batches):
+        made = lanes.streamed_lanes(spark, per_batch, numeric=2, words=max(0, (channels or 0) - 1))
+        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    met = events.join(spark.read.schema(lanes.SCHEMA).parquet(f"{folder}/out").select("channel", "pos", F.col("label").alias("made")), ["channel", "pos"])
+    return met.groupBy("channel").agg(F.count("made").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("pos").alias("places"), F.max("pos").alias("last_pos"))
+
+
 # The application's oracle puts the other queries' parts together: motifs found, labels and words merged, errors and scores.
 _FOUND = r._candidate_ctes().replace("states AS (", "opened AS (").replace("FROM states WHERE", "FROM opened WHERE") + """,
 seen AS (SELECT l.*, CASE WHEN l.pos % 48 = 16 THEN 'MOTIF_BEGIN' WHEN l.pos % 48 BETWEEN 17 AND 31 THEN 'MID_MOTIF' ELSE 'NA' END AS truth,

@@ -6,9 +6,11 @@ import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordering import PART, position, running_sums
 
@@ -152,13 +154,8 @@ def synthetic_lanes(spark: SparkSession, rows: int, *, numeric: int = 2, words:
 DISTRIBUTIONS = {"gap": (750, 125, 500, 1000), "padding": (55, 22.5, 10, 100), "inside": (75, 12.5, 50, 100), "motif": (100, 0, 100, 100), "delay": (10, 1, 1, 30), "noise": (0.1, 0.03, 0.0, 1.0)}
 
 
-def configured_lanes(spark: SparkSession, sequences: int, *, numeric: int = 2, words: int = 2, repeats: int = 2, vocabulary: int = 10, seed: int = 234545, distributions: dict | None = None) -> DataFrame:
-    """A seeded synthetic stream in the shape of SCHEMA, of ``sequences`` sequences a lane, with drawn lengths and delays.
-
-    A sequence is a gap, then ``repeats`` motifs with a stretch between them, then padding; each length is a normal draw
-    within its limits, and so are the delay before each element and the noise of each motif. Lanes are laid out by
-    running sums of lengths and of delays, so no task makes a lane.
-    """
+def _elements(base: DataFrame, *, numeric: int, repeats: int, vocabulary: int, seed: int, distributions: dict | None) -> DataFrame:
+    """(channel, sequence, part, at, delay, label, value_num, value_str): the elements of sequences (channel, sequence), drawn from their own place alone."""
     told = DISTRIBUTIONS | (distributions or {})
 
     def draw(name: str, *keys: str):
@@ -166,28 +163,62 @@ def configured_lanes(spark: SparkSession, sequences: int, *, numeric: int = 2, w
         u, v = ((F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.lit(k), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40) for k in (1, 2))
         return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), mean + sd * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)))
 
-    n = numeric + words
-    base = spark.range(sequences * n).select(F.pmod("id", F.lit(n)).alias("channel"), F.expr(f"id div {n}").alias("sequence"))
     parts = [F.struct(F.lit(0).alias("part"), F.lit("gap").alias("kind"), draw("gap", "channel", "sequence").alias("length"))]
     for k in range(repeats):
         parts.append(F.struct(F.lit(2 * k + 1).alias("part"), F.lit("motif").alias("kind"), draw("motif", "channel", "sequence").alias("length")))
         last = k == repeats - 1
         parts.append(F.struct(F.lit(2 * k + 2).alias("part"), F.lit("gap").alias("kind"), draw("padding" if last else "inside", "channel", "sequence").alias("length")))
     cut = base.select("channel", "sequence", F.explode(F.array(*parts)).alias("p")).select("channel", "sequence", "p.part", "p.kind", F.round("p.length").cast("long").alias("length"))
-    cut = running_sums(cut, {"end": F.col("length")}, keys=["channel"], order=["sequence", "part"]).drop(PART)
-    rows = cut.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1))).withColumn("pos", F.col("end") - F.col("length") + F.col("at"))
-    rows = rows.withColumn("delay", F.round(draw("delay", "channel", "pos")).cast("long"))
-    rows = running_sums(rows, {"time_ms": F.col("delay")}, keys=["channel"], order=["pos"]).drop(PART)
+    rows = cut.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    place = ("channel", "sequence", "part", "at")
     inside, is_num = F.col("kind") == "motif", F.col("channel") < numeric
     word = F.concat(F.lit("w"), F.pmod(F.xxhash64(F.lit(seed + 1), "channel", "sequence"), F.lit(vocabulary)).cast("string"))
     label = F.when(is_num & inside, F.when(F.col("at") == 0, "MOTIF_BEGIN").otherwise("MID_MOTIF")).when(~is_num & inside & (F.col("at") == 0), word).otherwise("NA")
-    centred = (F.pmod(F.xxhash64(F.lit(seed + 2), "channel", "pos"), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 2
+    centred = (F.pmod(F.xxhash64(F.lit(seed + 2), *place), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 2
     wave = F.when(inside, F.sin(F.col("at") * 0.4) * 3 + F.sin(F.col("at") * 0.17) * 2).otherwise(0.0)
     return rows.select(
-        "channel", "pos", "time_ms", label.alias("label"), F.when(is_num, wave + centred * draw("noise", "channel", "sequence", "part")).alias("value_num"), F.when(~is_num, label).alias("value_str"),
+        *place, F.round(draw("delay", *place)).cast("long").alias("delay"), label.alias("label"),
+        F.when(is_num, wave + centred * draw("noise", "channel", "sequence", "part")).alias("value_num"), F.when(~is_num, label).alias("value_str"),
     )
 
 
+def configured_lanes(spark: SparkSession, sequences: int, *, numeric: int = 2, words: int = 2, repeats: int = 2, vocabulary: int = 10, seed: int = 234545, distributions: dict | None = None) -> DataFrame:
+    """A seeded synthetic stream in the shape of SCHEMA, of ``sequences`` sequences a lane, with drawn lengths and delays.
+
+    A sequence is a gap, then ``repeats`` motifs with a stretch between them, then padding; each length is a normal draw
+    within its limits, and so are the delay before each element and the noise of each motif. Places and times are running
+    sums by parts, so no task makes a lane.
+    """
+    n = numeric + words
+    base = spark.range(sequences * n).select(F.pmod("id", F.lit(n)).alias("channel"), F.expr(f"id div {n}").alias("sequence"))
+    rows = _elements(base, numeric=numeric, repeats=repeats, vocabulary=vocabulary, seed=seed, distributions=distributions)
+    rows = running_sums(rows, {"ends": F.lit(1), "time_ms": F.col("delay")}, keys=["channel"], order=["sequence", "part", "at"]).drop(PART)
+    return rows.select("channel", (F.col("ends") - 1).cast("long").alias("pos"), F.col("time_ms").cast("long").alias("time_ms"), "label", "value_num", "value_str")
+
+
+def streamed_lanes(spark: SparkSession, per_batch: int, *, numeric: int = 2, words: int = 2, repeats: int = 2, vocabulary: int = 10, seed: int = 234545, distributions: dict | None = None) -> DataFrame:
+    """``configured_lanes`` as an endless stream: each micro-batch holds the next ``per_batch`` sequences of every lane.
+
+    Every lane is an input partition of its own, and elements are drawn where it is read. A lane's state is two numbers,
+    how many elements it had and the time of the last, so a query goes on after a restart where it stopped.
+    """
+    n = numeric + words
+    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch * n).option("numPartitions", n).load()
+    base = rate.select(F.pmod("value", F.lit(n)).alias("channel"), F.expr(f"value div {n}").alias("sequence"))
+    rows = _elements(base, numeric=numeric, repeats=repeats, vocabulary=vocabulary, seed=seed, distributions=distributions)
+    return rows.groupBy("channel").applyInPandasWithState(_placed, SCHEMA, "pos long, time_ms long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _placed(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Places and times of a lane's next elements, from those that its state holds on."""
+    pos, time_ms = state.get if state.exists else (0, 0)
+    rows = pd.concat(list(chunks)).sort_values(["sequence", "part", "at"])
+    rows["pos"] = range(pos, pos + len(rows))
+    rows["time_ms"] = time_ms + rows["delay"].cumsum()
+    state.update((pos + len(rows), int(rows["time_ms"].iloc[-1])))
+    yield rows[["channel", "pos", "time_ms", "label", "value_num", "value_str"]]
+
+
 def read_report_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, selector: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A CSV with ", " between fields: header names without blanks, optionally some columns, optionally a selector over them."""
     df = spark.read.csv(path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)

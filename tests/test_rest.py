@@ -289,6 +289,17 @@ def test_configured_lanes_keep_their_limits(spark):
     assert df.where("channel = 2 AND label <> 'NA'").count() == 8
 
 
+def test_streamed_lanes_equal_their_batch_form(spark, tmp_path):
+    """Three micro-batches of two sequences, the query started anew for each, against six sequences at once."""
+    small = {"gap": (30, 10, 20, 40), "padding": (5, 2, 3, 9), "inside": (6, 2, 4, 9), "motif": (12, 0, 12, 12)}
+    for _ in range(3):
+        made = lanes.streamed_lanes(spark, 2, distributions=small)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got, want = (sorted(map(tuple, d.collect()), key=lambda r: r[:2]) for d in (spark.read.schema(lanes.SCHEMA).parquet(f"{tmp_path}/out"), lanes.configured_lanes(spark, 6, distributions=small)))
+    assert len(got) > 4 * 6 * 50 and got == want
+    assert {k[0] for k in got} == {0, 1, 2, 3} and all(r[4] is None for r in got if r[0] >= 2)
+
+
 def test_table_functions_in_sql(spark):
     from streamlanes.functions.tabular import register_functions
 
