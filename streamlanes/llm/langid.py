@@ -272,12 +272,13 @@ def _predictor(path: str, langs: list[str], table: np.ndarray):
 
 def identify_language(
     docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    folds: int = 5, held: int = 0, sample_rows: int = 250, seed: int = 11,
+    folds: int = 5, held: int = 0, sample_rows: int = 250, sample_bytes: int = 1 << 24, seed: int = 11,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row for each row of ``docs``.
 
     For every language, piece probabilities over the pieces of ``vocabulary`` (a sentencepiece file) are learnt from
-    about ``sample_rows`` rows with that label, drawn by a hash of the id among rows outside the held-out fold. A text
+    about ``sample_rows`` rows with that label, drawn by a hash of the id among rows outside the held-out fold; fewer
+    where they would come to more than about ``sample_bytes``, and never from a text that is longer by itself. A text
     is its runs of letters in lower case; each run's probability sums all its segmentations by a forward pass over the
     whole run, a text's multiplies its runs'. The likeliest language, all held equally likely before,
     is predicted; ``score`` is its probability. Every text is read whole.
@@ -289,10 +290,13 @@ def identify_language(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held_out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    sizes = usable.groupBy("lang").count()  # one row a language
+    length = F.octet_length("text")
+    usable = usable.where(length <= sample_bytes)
+    share = F.least(F.lit(float(sample_rows)) / F.count("*"), F.lit(float(sample_bytes)) / F.greatest(F.sum(length), F.lit(1)))
+    sizes = usable.groupBy("lang").agg(share.alias("share"))  # one row a language
     drawn = (
         usable.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-        .join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("count") < sample_rows).select("lang", "text")
+        .join(F.broadcast(sizes), "lang").where("u < share").select("lang", "text")
     )
     pieces = spm_pieces(vocabulary)
     langs, table = train_pieces(((r.lang, r.text) for r in drawn.toLocalIterator()), Pieces(pieces))
