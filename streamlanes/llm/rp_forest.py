@@ -14,20 +14,15 @@ from pyspark.sql import functions as F
 from .common import Workspace, connected_components
 
 
-def unit_rows(vectors: list, width: int) -> np.ndarray:
-    """Unit vectors in double precision, padded with zeros or cut to ``width`` where that is positive."""
-    lengths = np.array([len(v) for v in vectors])
-    d = width or int(lengths.max(initial=1))
-    if (lengths == d).all():
-        x = np.array(vectors, np.float64).reshape(len(vectors), d)
-    else:
-        x = np.zeros((len(vectors), d))
-        for i, v in enumerate(vectors):
-            x[i, : min(d, len(v))] = v[:d]
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors in double precision, one row for each of the lists, which are equally long."""
+    flat = (vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     top = np.abs(x).max(axis=1, keepdims=True, initial=0)
-    x = x / np.where(top > 0, top, 1)
+    x /= np.where(top > 0, top, 1)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 #: Levels that a node is split by at once, from a sample of its own rows.
@@ -62,19 +57,18 @@ def split_cuts(node: int, x: np.ndarray, levels: int, spill: float, least: int =
     return cuts
 
 
-def fall(node: int, cuts: np.ndarray, x: np.ndarray, spill: float) -> list[list[int]]:
-    """For each row of ``x``, the places in heap order of the leaves below ``node`` that it falls into."""
-    found: list[list[int]] = [[] for _ in range(len(x))]
+def fall(node: int, cuts: np.ndarray, x: np.ndarray, spill: float) -> list[tuple[int, np.ndarray]]:
+    """(place in heap order, rows of ``x`` that fall into it) for each leaf below ``node`` with rows."""
+    found = []
     along = x @ directions(node, len(cuts).bit_length() - 1, x.shape[1]).T
     stack = [(1, np.arange(len(x)))]
     while stack:
         i, rows = stack.pop()
         if i >= len(cuts) or np.isnan(cuts[i]):
-            for r in rows:
-                found[r].append(i)
-        elif len(rows):
+            found.append((i, rows))
+        else:
             at = along[rows, i]
-            stack += [(2 * i, rows[at <= cuts[i] + spill]), (2 * i + 1, rows[at >= cuts[i] - spill])]
+            stack += [(c, own) for c, own in ((2 * i, rows[at <= cuts[i] + spill]), (2 * i + 1, rows[at >= cuts[i] - spill])) if len(own)]
     return found
 
 
@@ -83,7 +77,7 @@ def _fitter(spill_of):
 
     def run(table: pa.Table) -> pa.Table:
         node, rows, most = (table[c][0].as_py() for c in ("node", "rows", "most"))
-        x = unit_rows(table["vec"].to_pylist(), 0)
+        x = unit_rows(table["vec"])
         levels = min(LEVELS, max(1, math.ceil(math.log2(rows / most))))
         return pa.Table.from_arrays([pa.array([node]), pa.array([split_cuts(node, x, levels, spill_of(x.shape[1]))], pa.list_(pa.float64()))], schema=schema)
 
@@ -91,25 +85,28 @@ def _fitter(spill_of):
 
 
 def _faller(spill_of):
-    """Rows (key, node, vec, cuts, most) with ``leaves``: child nodes' numbers, the node's own where it was not split."""
+    """Rows (key, node, vec, cuts, most) as (key, node, most, leaf), once for each child node; the node's own number where it was not split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = np.array(batch.column(1), np.int64)
-            leaves: list = [None] * len(nodes)
-            for node in np.unique(nodes):
-                rows = np.flatnonzero(nodes == node)
-                cuts = np.array(batch.column(3)[int(rows[0])].as_py(), float)
-                x = unit_rows([batch.column(2)[int(r)].as_py() for r in rows], 0)
-                for r, got in zip(rows, fall(int(node), cuts, x, spill_of(x.shape[1])), strict=True):
-                    leaves[r] = [xxhash.xxh3_64_intdigest(f"{node} {i}") - (1 << 63) if i > 1 else int(node) for i in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(leaves, pa.list_(pa.int64()))], names=["key", "node", "most", "leaves"])
+            key, nodes, most = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+            order = np.argsort(nodes, kind="stable")
+            each, starts = np.unique(nodes[order], return_index=True)
+            taken, leaf = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, rows in zip(each.tolist(), np.split(order, starts[1:]), strict=True):
+                cuts = batch.column(3)[int(rows[0])].values.to_numpy(zero_copy_only=False)
+                x = unit_rows(batch.column(2).take(pa.array(rows)))
+                for i, own in fall(node, cuts, x, spill_of(x.shape[1])):
+                    taken.append(rows[own])
+                    leaf.append(np.full(len(own), xxhash.xxh3_64_intdigest(f"{node} {i}") - (1 << 63) if i > 1 else node, np.int64))
+            at = np.concatenate(taken)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[at], nodes[at], most[at], np.concatenate(leaf))], names=["key", "node", "most", "leaf"])
 
     return run
 
 
 def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, block_rows: int, sample_rows: int, spill_of, seed: int) -> DataFrame:
-    """(key, leaf) of every class (label, size, key, vec) in every tree: a tree for each label and size, grown by rounds.
+    """(key, leaf) of every class (label, size, key, vec) in every tree, each once: a tree for each label and size, grown by rounds.
 
     A leaf may have four times the root of its tree's rows, within ``leaf_rows`` and ``block_rows``. In a round every
     node with more is split by up to five levels fitted to about ``sample_rows`` of its own rows, in a task of its own,
@@ -131,8 +128,8 @@ def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, block_
         rows = at.join(large, "node").join(classes.select("key", "vec"), "key").select("key", "node", "most", "rows", "vec")
         drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), "key", "node"), F.lit(1 << 30)) < F.lit(float(sample_rows) * (1 << 30)) / F.col("rows"))
         cuts = ws.stage(drawn.select("node", "most", "rows", "vec").groupBy("node").applyInArrow(_fitter(spill_of), "node long, cuts array<double>"), f"cuts-{turn}")
-        moved = rows.join(cuts, "node").select("key", "node", "vec", "cuts", "most").mapInArrow(_faller(spill_of), "key long, node long, most int, leaves array<long>")
-        moved = ws.stage(moved.select("key", "node", "most", F.explode("leaves").alias("leaf")), f"moved-{turn}")
+        moved = rows.join(cuts, "node").select("key", "node", "vec", "cuts", "most").mapInArrow(_faller(spill_of), "key long, node long, most int, leaf long")
+        moved = ws.stage(moved, f"moved-{turn}")
         done = done.unionByName(moved.where("leaf = node").select("key", "leaf"))
         turn += 1
         at = moved.where("leaf <> node").select("key", F.col("leaf").alias("node"), "most")
@@ -141,47 +138,55 @@ def _grown(ws: Workspace, classes: DataFrame, trees: int, leaf_rows: int, block_
 PART = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("root", pa.int64())])
 
 
-def leaf_links(rep: np.ndarray, weight: np.ndarray, x: np.ndarray, leaves: list[list[int]], side: np.ndarray, leaf: int, cosine: float, chunk: int = 512):
+def leaf_links(rep: np.ndarray, weight: np.ndarray, x: np.ndarray, smaller: tuple[np.ndarray, np.ndarray], side: np.ndarray, cosine: float, chunk: int = 512):
     """Links of the rows of one leaf: each row's linked weight that no smaller leaf counts, and its local component's smallest id.
 
-    ``side`` is null-free; where it has two values only pairs across count. A pair is counted by the smallest leaf that
-    holds both, so counts over all leaves add up to each row's true number without listing pairs.
+    ``smaller`` are (row, leaf) of the smaller leaves that rows are in, too. ``side`` is null-free; where it has two
+    values only pairs across count. A pair is counted by the smallest leaf that holds both, so counts over all leaves
+    add up to each row's true number without listing pairs.
     """
     n = len(rep)
-    smaller = sorted({k for own in leaves for k in own if k < leaf})
-    place = {k: i for i, k in enumerate(smaller)}
-    member = np.zeros((n, len(smaller)), np.float32)
-    for i, own in enumerate(leaves):
-        for k in own:
-            if k < leaf:
-                member[i, place[k]] = 1
     across = len(np.unique(side)) > 1
     linked = np.zeros((n, n), bool)
-    counts = np.zeros(n, np.int64)
     for s in range(0, n, chunk):
         near = x[s : s + chunk] @ x.T >= cosine
         if across:
             near &= side[s : s + chunk, None] != side[None, :]
-        near[np.arange(len(near)), np.arange(s, s + len(near))] = False
         linked[s : s + chunk] = near
-        if near.any():
-            first = near & ~((member[s : s + chunk] @ member.T) > 0) if smaller else near
-            counts[s : s + chunk] = first @ weight
+    linked[np.arange(n), np.arange(n)] = False
     linked |= linked.T  # rounding may differ between the halves
-    root = rep.copy()
+    counts, root = np.zeros(n, np.int64), rep.copy()
+    met = np.flatnonzero(linked.any(axis=1))
+    if not len(met):
+        return counts, root, met
+    linked = linked[np.ix_(met, met)]
+    row, leaf = smaller
+    of_met = np.isin(row, met)
+    each, place = np.unique(leaf[of_met], return_inverse=True)
+    member = np.zeros((len(met), len(each)), np.float32)
+    member[np.searchsorted(met, row[of_met]), place] = 1
+    low, top = rep[met], np.iinfo(np.int64).max
     while True:
-        low = np.array([min(root[i], root[linked[i]].min(initial=root[i])) for i in range(n)]) if linked.any() else root
-        if (low == root).all():
-            return counts, root, linked.any(axis=1)
-        root = low
+        following = low.copy()
+        for s in range(0, len(met), chunk):
+            following[s : s + chunk] = np.minimum(low[s : s + chunk], np.where(linked[s : s + chunk], low, top).min(axis=1))
+        if (following == low).all():
+            break
+        low = following
+    root[met] = low
+    for s in range(0, len(met), chunk):
+        counts[met[s : s + chunk]] = (linked[s : s + chunk] & ~((member[s : s + chunk] @ member.T) > 0)) @ weight[met]
+    return counts, root, met
 
 
 def _leaf_worker(cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        rep, weight = table["rep"].to_numpy(), table["weight"].to_numpy()
-        x = unit_rows(table["vec"].to_pylist(), 0)
-        counts, root, any_link = leaf_links(rep, weight, x, table["leaves"].to_pylist(), table["block"].to_numpy(), table["leaf"][0].as_py(), cosine)
-        return pa.Table.from_arrays([pa.array(x[any_link]) for x in (table["key"].to_numpy(), counts, rep, root)], schema=PART)
+        key, rep, weight, side = (table[c].to_numpy() for c in ("key", "rep", "weight", "block"))
+        lists = table["leaves"].combine_chunks()
+        row, leaf = np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        less = leaf < table["leaf"][0].as_py()
+        counts, root, met = leaf_links(rep, weight, unit_rows(table["vec"]), (row[less], leaf[less]), side, cosine)
+        return pa.Table.from_arrays([pa.array(c[met]) for c in (key, counts, rep, root)], schema=PART)
 
     return run
 
@@ -226,11 +231,11 @@ def embedding_near_duplicates(
     def spill_of(width: int) -> float:
         return spill_sd * math.sqrt(max(0.0, 2 - 2 * cosine) / width)
 
-    leaves = ws.stage(_grown(ws, classes, trees, leaf_rows, block_rows, sample_rows, spill_of, seed).distinct(), "leaves")
+    leaves = ws.stage(_grown(ws, classes, trees, leaf_rows, block_rows, sample_rows, spill_of, seed), "leaves")
     # Alone in a leaf there is nothing to compare with.
     counts = ws.stage(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf-counts")
     met = leaves.join(counts, "leaf")
-    own = met.groupBy("key").agg(F.collect_set("leaf").alias("leaves"))  # a class is in a few leaves of each tree
+    own = met.groupBy("key").agg(F.collect_list("leaf").alias("leaves"))  # a class is in a few leaves of each tree
     blocks = F.when(F.col("n") > block_rows, F.ceil(F.col("n") * 2 / block_rows)).otherwise(1).cast("int")
     met = met.select("key", "leaf", blocks.alias("blocks")).join(classes.select("key", "rep", "weight", "vec").join(own, "key"), "key")
     met = met.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.col("blocks")).cast("int"))
