@@ -58,8 +58,51 @@ church-stjohn.org/services/sunday  volunteer-fire.org/join  farmers-market.net/s
 carrepair-help.com/brakes/replace  electronics-lab.org/circuits/amplifier  telescope-guide.net/planets/saturn  geology.example.org/minerals/quartz  oceans.example.net/whales
 forum.gardentalk.net/viewtopic?t=77  www.jobs-region.eu/stellen/pflege  realestate-lake.com/houses/garden  legal-help.org/tenants/rights  translate-words.eu/en/fr/house  m.timesnow.example.com/en/4821
 """
+# Words that hosts and paths of each kind are made of, a line a category.
+BLOCKED_WORDS = """
+casino slots poker roulette blackjack jackpot bingo lottery lotto gambling betting bets bet odds sportsbook bookmaker wager baccarat craps vegas freespins
+porn porno xxx sex sexy nude naked adult erotic hentai milf amateur webcam camgirl cams escort escorts hookup fetish tube18 boobs anal hardcore lesbian
+viagra cialis levitra tramadol xanax pharmacy pills rx meds steroids slimming weightloss kamagra
+warez crack cracked keygen serial nulled torrent torrents pirate rapidshare fullversion modapk cheats
+adserver adserve ads adclick banner banners popup popunder doubleclick adnetwork adtrack tracker pixel affiliate clicktrack adsystem
+phishing verify-account login-verify account-update unlock-account claim-prize giftcard winner free-iphone wallet-recover seed-phrase
+payday loans quickcash badcredit getrich easymoney forex binary-options bitcoin-double giveaway moneyfast
+replica rolex fake-watches backlinks buy-followers buy-likes hacktool ddos booter stresser malware keylogger spyware trojan botnet spam
+"""
+ALLOWED_WORDS = """
+university college school academy campus faculty students library research science journal physics chemistry biology mathematics history geography lecture
+news times post herald tribune gazette daily weather politics economy world radio zeitung nachrichten journal-du presse diario noticias
+government ministry council parliament courts census taxes health hospital clinic doctor dentist vaccines medicine nutrition therapy
+encyclopedia wiki dictionary atlas museum archive gallery theatre concert orchestra poetry novel books literature film cinema drama
+docs developer software python java linux database compiler server github code forum questions answers tutorial reference packages
+recipes kitchen cooking bakery garden flowers birds forest fishing hiking camping travel hotel island mountain railway flights beach
+family children parents kindergarten church volunteer farm market football tennis chess cycling yoga running swimming stadium
+furniture shoes clothes bicycle cars repair electronics camera telescope geology ocean energy engine tools paper office jobs houses
+bank savings insurance pension mortgage accounting stocks invoice credit-union lawyer notary
+rezepte kochbuch schule gemeinde stadt verein bibliothek reise wetter wirtschaft cuisine recettes mairie ecole voyage musique histoire escuela ciudad cocina viajes salud cultura
+sussex essex middlesex alphabet diabetes tibet better between betterment adapt address download uploads canals analysis analytics assassin classics passport titles
+"""
+# What both kinds of hosts are called besides, so that it tells nothing.
+AFFIXES = "online hub world zone club best my the top free live city stars party 24 365 888 central direct now land house base net web portal pro guide shop group one".split()
+ENDINGS = "com net org info io co biz de fr es eu co.uk".split()
+
+
+def made_of(words: str, forms: int = 3) -> list[str]:
+    """Urls without a scheme, ``forms`` of each word: with an affix behind, before, and two words of a category with a path."""
+    found = []
+    for line in words.strip().splitlines():
+        own = line.split()
+        for i, word in enumerate(own):
+            for k in range(forms):
+                affix, ending = AFFIXES[(7 * len(found) + k) % len(AFFIXES)], ENDINGS[(5 * len(found) + k) % len(ENDINGS)]
+                beside, path = own[(i + 1 + k) % len(own)], own[(i + 3 + k) % len(own)]
+                host = (f"www.{word}{affix}.{ending}/", f"{affix}{word}.{ending}/", f"{word}-{beside}.{ending}/{path}")[k % 3]
+                found.append(host)
+    return found
+
+
 #: 1 is to be blocked.
-LABELLED = tuple((u, label) for label, table in ((1, BLOCKED), (0, ALLOWED)) for u in table.split())
+LABELLED = tuple((u, label) for label, table, words in ((1, BLOCKED, BLOCKED_WORDS), (0, ALLOWED, ALLOWED_WORDS)) for u in [*table.split(), *made_of(words)])
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,25 +124,27 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
 
 
 def features(host: str, path: str, dims: int, sizes: Sequence[int] = (3, 4, 5)) -> np.ndarray:
-    """Hashed places of the character n-grams of a host and a path, each kept apart from the other."""
+    """Hashed places of the character n-grams of a host, without ``www.`` before it, and a path, each kept apart from the other."""
     found = set()
-    for kind, text in (("h", f"^{host}$"), ("p", f"^{path.lower()}$")):
+    for kind, text in (("h", f"^{host.removeprefix('www.')}$"), ("p", f"^{path.lower()}$")):
         for n in sizes:
             found.update(xxhash.xxh3_64_intdigest(kind + text[i : i + n]) % dims for i in range(len(text) - n + 1))
     return np.fromiter(found, np.int64, len(found))
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, dims: int = 1 << 16, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, dims: int = 1 << 16, steps: int = 2000, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
     """Weights of the logistic regression, the bias last, by full gradient steps from zero, so always the same."""
     cut = [re.match(r"([^/?#]*)([^?#]*)", u).groups() for u, _ in labelled]
     rows = [features(host.lower(), path, dims) for host, path in cut]
     y, w = np.array([k for _, k in labelled], float), np.zeros(dims + 1)
-    scale = [1 / np.sqrt(max(1, len(r))) for r in rows]
+    lengths = np.array([len(r) for r in rows])
+    place, scale = np.concatenate(rows), 1 / np.sqrt(lengths)
+    starts = np.cumsum(lengths) - lengths
     for _ in range(steps):
-        z = np.array([w[r].sum() * s + w[-1] for r, s in zip(rows, scale, strict=True)])
-        gap, g = 1 / (1 + np.exp(-z)) - y, decay * w
-        for r, s, e in zip(rows, scale, gap, strict=True):
-            g[r] += e * s * 10 / len(rows)
+        z = np.add.reduceat(w[place], starts) * scale + w[-1]
+        gap = 1 / (1 + np.exp(-z)) - y
+        g = decay * w
+        g[:-1] += np.bincount(place, np.repeat(gap * scale * 10 / len(rows), lengths), dims)
         g[-1] += gap.mean()
         w -= rate * g
     return w

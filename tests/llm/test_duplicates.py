@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from streamlanes.llm.common import Workspace, connected_components
 from streamlanes.llm.near_dup import near_duplicates, shingle_set
 from streamlanes.llm.registry import ORACLES, QUERIES
-from streamlanes.llm.rp_forest import embedding_near_duplicates
+from streamlanes.llm.rp_forest import embedding_near_duplicates, leaf_links
 
 
 def components(ids, links):
@@ -229,6 +229,32 @@ def test_embeddings_match_brute_force(spark):
     assert [r.component_id for r in embedding_near_duplicates(df.where("vec_id in (1000, 1002)")).orderBy("vec_id").collect()] == [1000, 1002]
 
 
+def test_links_of_leaves_match_brute_force():
+    rng = np.random.default_rng(6)
+    n = 90
+    x = np.repeat(rng.standard_normal((9, 6)), 10, 0) + rng.standard_normal((n, 6)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rep, weight, side = rng.permutation(n) + 100, rng.integers(1, 4, n), rng.integers(0, 2, n)
+    others = [set(rng.choice(7, 2).tolist()) for _ in range(n)]
+    smaller = (np.repeat(np.arange(n), [len(o) for o in others]), np.array([k for o in others for k in sorted(o)]))
+    for sides in (np.zeros(n, int), side):
+        near = {(i, j) for i in range(n) for j in range(n) if i != j and x[i] @ x[j] >= 0.98 and (sides is not side or side[i] != side[j])}
+        counts = [sum(int(weight[j]) for j in range(n) if (i, j) in near and not others[i] & others[j]) for i in range(n)]
+        whole = components(rep.tolist(), [(int(rep[i]), int(rep[j])) for i, j in near])
+        got_counts, root, met = leaf_links(rep, weight, x, smaller, sides, 0.98, chunk=32)
+        assert got_counts.tolist() == counts and met.tolist() == sorted({i for i, _ in near})
+        assert root.tolist() == [whole[int(r)] for r in rep]
+
+
+def test_a_cluster_too_tight_to_be_split_is_whole(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((2, 24))
+    x = (centre[np.arange(600) % 5 // 4] + rng.standard_normal((600, 24)) * 1e-3).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {(r.n_links, r.component_id, r.vec_id % 5 // 4) for r in embedding_near_duplicates(df, leaf_rows=16, block_rows=64, sample_rows=128).collect()}
+    assert got == {(479, 0, 0), (119, 4, 1)}
+
+
 def test_vectors_that_share_an_id_share_a_component(spark):
     x, y, z = ([float(i == j) for j in range(4)] for i in range(3))
     rows = [(5, x, 1), (5, y, 1), (3, y, 1), (5, z, 2), (4, z, 2), (8, z, 1)]
