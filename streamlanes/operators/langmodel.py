@@ -79,10 +79,18 @@ def with_states(events: DataFrame, history: int = 100) -> DataFrame:
 
     Events are numbered, so they are cut into parts that overlap by ``history``: a session may last as long as the stream.
     """
-    before = Window.partitionBy(PART).orderBy("seq").rowsBetween(-history, -1)
-    seen = F.filter(F.collect_list(F.struct("session", "word")).over(before), lambda w: w["session"] == F.col("session"))
-    rows = with_lead(events, "seq", history).withColumn("seen", seen)
-    return rows.where("own").withColumn("state", F.array_join(F.transform("seen", lambda w: w["word"]), " ")).drop("seen", "own", PART)
+    before = Window.partitionBy(PART, "session").orderBy("seq").rowsBetween(-history, -1)
+    rows = with_lead(events, "seq", history).withColumn("state", F.array_join(F.collect_list("word").over(before), " "))
+    return rows.where("own").drop("own", PART)
+
+
+#: A state in short, as it may be a hundred words long: two hashes of 64 bits. Counting and ordering go by these.
+KEY = ("h1", "h2")
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the key of its ``state``."""
+    return df.withColumns({"h1": F.xxhash64("state"), "h2": F.xxhash64(F.lit(1), F.col("state"))})
 
 
 def transition_counts(states: DataFrame) -> DataFrame:
@@ -144,21 +152,27 @@ def predictions(states: DataFrame, earlier: DataFrame | None = None) -> DataFram
     and the best so far are summed up by parts of the stream first: no state, the empty one least, is gone through in
     one task.
     """
-    rows = staged(numbered_parts(states, "seq"))
-    counts = rows.groupBy("state", "word", PART).agg(F.count("*").alias("n"))
+    given = staged(keyed(states))
+    return given.join(likeliest(given, None if earlier is None else keyed(earlier)).select("seq", "predicted"), "seq").drop(*KEY)
+
+
+def likeliest(states: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(seq, word, predicted) of ``predictions``, for staged tables with keys: states stay where they are."""
+    rows = numbered_parts(states.select("seq", *KEY, "word"), "seq")
+    counts = rows.groupBy(*KEY, "word", PART).agg(F.count("*").alias("n"))
     if earlier is not None:
-        counts = counts.unionByName(earlier.select("state", "word", F.lit(-1).cast("long").alias(PART), "n"))
+        counts = counts.unionByName(earlier.select(*KEY, "word", F.lit(-1).cast("long").alias(PART), "n"))
     counts = staged(counts)
-    before = carried(counts, {"n": "sum"}, ["state", "word"]).withColumnRenamed("n", "start")
-    counts = counts.join(before, ["state", "word", PART]).withColumn("start", F.coalesce("start", F.lit(0)))
+    before = carried(counts, {"n": "sum"}, [*KEY, "word"]).withColumnRenamed("n", "start")
+    counts = counts.join(before, [*KEY, "word", PART]).withColumn("start", F.coalesce("start", F.lit(0)))
     # The most frequent word at the end of a part, the first by name where counts tie; then of all parts before.
-    tops = counts.groupBy("state", PART).agg(F.min(F.struct((-(F.col("start") + F.col("n"))).alias("c"), F.col("word"))).alias("top"))
-    tops = carried(tops, {"top": "min"}, ["state"]).withColumnRenamed("top", "carried")
-    nth = F.row_number().over(Window.partitionBy("state", "word", PART).orderBy("seq"))
-    counted = rows.join(counts.select("state", "word", PART, "start"), ["state", "word", PART]).withColumn("c", -(F.col("start") + nth))
-    inside = F.min(F.struct("c", "word")).over(Window.partitionBy("state", PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    best = counted.join(tops, ["state", PART]).withColumn("best", F.least(inside, F.col("carried")))
-    return best.withColumn("predicted", F.col("best")["word"]).drop("c", "start", "carried", "best", PART)
+    tops = counts.groupBy(*KEY, PART).agg(F.min(F.struct((-(F.col("start") + F.col("n"))).alias("c"), F.col("word"))).alias("top"))
+    tops = carried(tops, {"top": "min"}, KEY).withColumnRenamed("top", "carried")
+    nth = F.row_number().over(Window.partitionBy(*KEY, "word", PART).orderBy("seq"))
+    counted = rows.join(counts.select(*KEY, "word", PART, "start"), [*KEY, "word", PART]).withColumn("c", -(F.col("start") + nth))
+    inside = F.min(F.struct("c", "word")).over(Window.partitionBy(*KEY, PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    best = counted.join(tops, [*KEY, PART]).withColumn("best", F.least(inside, F.col("carried")))
+    return best.select("seq", "word", F.col("best")["word"].alias("predicted"))
 
 
 def rolling_errors(predicted: DataFrame, numeric: int, last: int = 100, counts: bool = False) -> DataFrame:
@@ -201,14 +215,17 @@ def _rolling(rows: DataFrame, place: str, last: int, name: str) -> DataFrame:
 
 def model_sizes(states: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """(seq, n_states, n_transitions) after each word event: distinct ones seen so far, without those of ``earlier`` (state, word). First times come from grouping, not from a state's window."""
-    rows = staged(states.select("seq", "state", "word"))
+    return sizes(staged(keyed(states).select("seq", *KEY, "word")), None if earlier is None else keyed(earlier))
+
 
+def sizes(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """``model_sizes`` for staged tables with keys."""
     def firsts(*by: str) -> DataFrame:
         found = rows.groupBy(*by).agg(F.min("seq").alias("seq"))
         return found if earlier is None else found.join(earlier.select(*by).distinct(), list(by), "left_anti")
 
-    new = firsts("state").select("seq", F.lit(1).alias("s"), F.lit(0).alias("t"))
-    new = new.unionByName(firsts("state", "word").select("seq", F.lit(0).alias("s"), F.lit(1).alias("t")))
+    new = firsts(*KEY).select("seq", F.lit(1).alias("s"), F.lit(0).alias("t"))
+    new = new.unionByName(firsts(*KEY, "word").select("seq", F.lit(0).alias("s"), F.lit(1).alias("t")))
     every = rows.select("seq", F.lit(0).alias("s"), F.lit(0).alias("t")).unionByName(new).groupBy("seq").agg(F.max("s").alias("s"), F.max("t").alias("t"))
     return running_sums(numbered_parts(every, "seq"), {"n_states": F.col("s"), "n_transitions": F.col("t")}, order=["seq"]).select("seq", "n_states", "n_transitions")
 

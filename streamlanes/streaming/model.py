@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.langmodel import MERGED, _rolling, char_errors, model_sizes, predictions, transition_counts, with_outcomes, with_states
+from ..operators.langmodel import KEY, MERGED, _rolling, char_errors, keyed, likeliest, sizes, transition_counts, with_outcomes, with_states
 from ..operators.motifs import BEGIN, NONE
 from ..operators.ordering import PART, in_parts, running_sums
 from ..operators.staging import staged
@@ -73,14 +73,17 @@ class StreamedModel:
     def counts(self, batch_id: int | None = None) -> DataFrame:
         """(state, word, n) after the batches up to ``batch_id``, or all that are done."""
         done = self._batches("line")
-        upto = batch_id if batch_id is not None else (done[-1] if done else -1)
+        return self._counted(batch_id if batch_id is not None else (done[-1] if done else -1)).groupBy("state", "word").agg(F.sum("n").alias("n"))
+
+    def _counted(self, upto: int) -> DataFrame:
+        """What the batches up to ``upto`` have counted, not put together."""
         bases = [b for b in self._batches("base") if b <= upto]
         first = bases[-1] if bases else -1
         own = [b for b in self._batches("counts") if first < b <= upto]
         paths = [self._at("base", first)] * bool(bases) + [self._at("counts", b) for b in own]
         if not paths:
             return self.spark.createDataFrame([], COUNTS)
-        return self.spark.read.schema(COUNTS).parquet(*paths).groupBy("state", "word").agg(F.sum("n").alias("n"))
+        return self.spark.read.schema(COUNTS).parquet(*paths)
 
     def results(self) -> DataFrame:
         """The rows of all batches that are done."""
@@ -103,16 +106,15 @@ class StreamedModel:
         events, line = self._events(rows, line | dict(zip(("last_time", "last_channel", "last_pos"), ends["last"], strict=True)))
         tail = self._kept("tail", TAIL, before)
         own = with_states(events.unionByName(tail, allowMissingColumns=True), self.history).where(F.col("seq") >= first)
-        states = staged(own)
-        earlier = staged(self.counts(before).join(states.select("state").distinct(), "state", "left_semi"))
-        counted = staged(predictions(states, earlier))
-        sizes = staged(model_sizes(states, earlier))
-        outcomes = with_outcomes(counted, self.numeric, line["chars"])
-        kept = self._kept("outcomes", OUTCOMES, before)
-        both = staged(outcomes.select("seq", "wrong", "char", "char_no").unionByName(kept))
+        # Only keys of states are counted and ordered; the states themselves move once, when all is known of their events.
+        states = staged(keyed(own))
+        earlier = keyed(self._counted(before)).join(states.select(*KEY).distinct(), list(KEY), "left_semi")
+        earlier = staged(earlier.groupBy(*KEY, "word").agg(F.sum("n").alias("n")))
+        outcomes = with_outcomes(staged(likeliest(states, earlier)), self.numeric, line["chars"])
+        both = outcomes.select("seq", "wrong", "char", "char_no").unionByName(self._kept("outcomes", OUTCOMES, before))
         errors = _rolling(both, "seq", self.last, "").select("seq", "error")
-        out = outcomes.join(errors, "seq").join(char_errors(both, self.last).select("char_no", "char_error"), "char_no", "left").join(sizes, "seq")
-        shown = out.select(
+        out = outcomes.drop("word").join(errors, "seq").join(char_errors(both, self.last).select("char_no", "char_error"), "char_no", "left").join(sizes(states, earlier), "seq")
+        shown = states.join(out, "seq").select(
             *MERGED, "word", "seq", "session", "state", "predicted", "error", "char_error",
             (F.col("n_states") + line["n_states"]).alias("n_states"), (F.col("n_transitions") + line["n_transitions"]).alias("n_transitions"),
         )

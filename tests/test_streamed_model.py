@@ -78,6 +78,30 @@ def test_batches_without_words_or_rows_and_late_elements(spark, tmp_path):
         streamed(spark.createDataFrame([(3, 0, 0, "NA")], SCHEMA), len(batches))
 
 
+def test_states_are_counted_and_ordered_by_their_keys(spark, tmp_path, monkeypatch):
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return staged(df)
+
+    staged = langmodel.staged
+    monkeypatch.setattr(langmodel, "staged", noted)
+    monkeypatch.setattr(model, "staged", noted)
+    rows = elements(120)
+    streamed = StreamedModel(spark, str(tmp_path / "model"), **OPTIONS)
+    for k in range(2):
+        written.clear()
+        streamed(spark.createDataFrame(rows[60 * k : 60 * k + 60], SCHEMA), k)
+        assert sum("state" in columns for columns in written) == 1  # once, before anything is counted
+    written.clear()
+    states = langmodel.with_states(langmodel.sessions(spark.createDataFrame(rows, SCHEMA), 1, 12), 4)
+    langmodel.predictions(states)
+    langmodel.model_sizes(states)
+    assert sum("state" in columns for columns in written) == 1
+    assert shown(streamed.results()) == batch_rows(spark, rows)
+
+
 @pytest.mark.parametrize("form", ["parquet", "csv"])
 def test_both_sinks_hold_each_row_once_after_a_kill_between_them(spark, tmp_path, monkeypatch, form):
     from streamlanes.streaming.control import FanOut, fan_out
