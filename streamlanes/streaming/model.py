@@ -106,7 +106,7 @@ class StreamedModel:
         events, line = self._events(rows, line | dict(zip(("last_time", "last_channel", "last_pos"), ends["last"], strict=True)))
         tail = self._kept("tail", TAIL, before)
         own = with_states(events.unionByName(tail, allowMissingColumns=True), self.history).where(F.col("seq") >= first)
-        # Only keys of states are counted and ordered; the states themselves move once, when all is known of their events.
+        # Predictions and sizes go by the states' keys; the states themselves move for the rows and the table of counts only.
         states = staged(keyed(own))
         earlier = keyed(self._counted(before)).join(states.select(*KEY).distinct(), list(KEY), "left_semi")
         earlier = staged(earlier.groupBy(*KEY, "word").agg(F.sum("n").alias("n")))
